@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markcheck.llm import decontamination, exact_dedup, mixing, quality, token_count, toxicity
+from markcheck.llm import decontamination, exact_dedup, mixing, parity_join, quality, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar(_table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,5 +42,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_exact_dedup, op5_token_counts, op7_decontamination, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_source_mix, op4_exact_dedup, op5_token_counts, op7_decontamination, op9_quality, op10_toxicity)}
 ORACLES = {"op3_source_mix": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE}
