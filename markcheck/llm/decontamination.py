@@ -88,59 +88,71 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(block) -> object:
+def _scan(block, text_col: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, index = block.value
         for b in batches:
             names = b.schema.names
             counts, spans, ids = [], [], []
-            old = zip(b.column(names.index("spans")).to_pylist(), b.column(names.index("items")).to_pylist(), strict=True)
-            for text, (was, had) in zip(_binary(b, "text"), old, strict=True):
+            old = zip(b.column(names.index("__spans")).to_pylist(), b.column(names.index("__items")).to_pylist(), strict=True)
+            for text, (was, had) in zip(_binary(b, text_col), old, strict=True):
                 words = words_of(text)
                 hits, found = _find(words, index, items)
                 counts.append(len(words))
                 spans.append([{"start": x, "end": y} for x, y in _union(hits + [(s["start"], s["end"]) for s in was])] if hits else was)
                 ids.append(sorted({*had, *(items[at][0] for at in found)}))
-            made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(ids, pa.list_(pa.string()))}
+            made = {"__words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, _SPANS), "__items": pa.array(ids, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, b.column(i)) for i, n in enumerate(names)], names)
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_words, spans, items, n_hit, n_items, items_sha256, contaminated``.
-
-    ``spans`` are the merged word ranges that lie inside an occurrence of an item window, ``items`` the item ids as
-    sorted strings. A document is contaminated when at least a twentieth of its words are hit. Null and empty texts
-    have no words; items without words or text match nothing; an item without an id counts as the id ''. Repeated
-    rows stay repeated; other columns are ignored; an empty benchmark or table is fine.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _annotated(rows: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """``rows`` with ``__words``, ``__spans``, ``__items``, ``__hit`` and ``__contaminated``."""
+    spark = rows.sparkSession
     asked = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     total = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
 
-    out = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    empty = {"__words": F.lit(0).cast("long"), "__spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), "__items": F.expr("cast(array() as array<string>)")}
+    out = rows.withColumns(empty)
     schema = out.schema
     for block in range(blocks):
         items = [(r.item, w) for r in asked.where(F.col("block") == block).select("item", "text").toLocalIterator() if (w := words_of(r.text.encode()))]
         vocabulary = spark.sparkContext.broadcast({w for _, words in items for w in words})
-        often = rows.select("text").mapInArrow(_frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        often = rows.select(F.col(text_col).alias("text")).mapInArrow(_frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         often = {bytes(r.word): r.n for r in often.toLocalIterator()} if items else {}  # no more words than the block has
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast((items, _index(items, often, width)))), schema)
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast((items, _index(items, often, width))), text_col), schema)
+
+    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.withColumn("__hit", hit).withColumn("__contaminated", (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__words")))
 
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select(
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_words, spans, items, n_hit, n_items, items_sha256, contaminated``.
+
+    ``spans`` are the merged word ranges that lie inside an occurrence of an item window, ``items`` the item ids as
+    sorted strings. A document is contaminated when at least a twentieth of its words are hit. Null and empty texts
+    have no words; items without words or text match nothing; an item without an id counts as the id ''. Repeated
+    rows stay repeated; other columns are ignored; an empty benchmark or table is fine.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _annotated(rows, benchmark, width, block_bytes, "text", item_col, item_text_col).select(
         "doc_id",
-        "n_words",
-        "spans",
-        "items",
-        hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        F.col("__words").alias("n_words"),
+        F.col("__spans").alias("spans"),
+        F.col("__items").alias("items"),
+        F.col("__hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        F.col("__contaminated").alias("contaminated"),
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without its contaminated rows, each judged by itself; columns stay as they are."""
+    return _annotated(docs, benchmark, width, block_bytes, text_col, item_col, item_text_col).where(~F.col("__contaminated")).select(*docs.columns)
 
 
 ORACLE = r"""

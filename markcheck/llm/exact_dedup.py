@@ -87,9 +87,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; all columns stay as they are."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__keep"]), "left_semi")
+    """``docs`` without the rows whose text another row keeps; columns stay as they are, rows without an id stay."""
+    dropped = exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__drop")).distinct()
+    return docs.join(dropped, docs[id_col].cast("long") == dropped["__drop"], "left_anti")
 
 
 ORACLE = r"""

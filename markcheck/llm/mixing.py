@@ -44,14 +44,14 @@ def _level(ranked: DataFrame, cap: float) -> float:
     total, unit, known = None, None, -1
     while True:
         over = F.col("w") * F.lit(unit) > stop if unit is not None else F.lit(False)
-        row = ranged_row(ranked, over, stop)
+        row = _totals(ranked, over, stop)
         total = row["total"] if total is None else total
         if row["capped"] == known or not row["rest"]:
             return unit or 0.0
         known, unit = row["capped"], (total - row["stopped"]) / row["rest"]
 
 
-def ranged_row(ranked: DataFrame, over, stop):
+def _totals(ranked: DataFrame, over, stop):
     return ranked.agg(
         F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"),
         F.count_if(over).alias("capped"),
@@ -93,6 +93,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_
     return base.join(plan, "src").select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken, repeats`` added."""
+    plan = mix(docs, weights, cap, id_col, text_col, source_col).where("repeats > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__id")
+    plan = plan.select("__id", *(F.col(c) for c in ("size", "source_size", "target", "taken", "repeats")))
+    return docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).drop("__id")
+
+
 def _cut(buckets: DataFrame) -> DataFrame:
     """Per source the bucket in which the running sum of sizes passes ``rest``."""
     upto = F.sum("s").over(Window.partitionBy("src").orderBy("b")) + F.col("base")
