@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markcheck.llm import decontamination, exact_dedup, mixing, parity_join, quality, token_count, toxicity
+from markcheck.llm import decontamination, exact_dedup, mixing, parity_join, quality, site_style, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -42,5 +46,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_source_mix, op4_exact_dedup, op5_token_counts, op7_decontamination, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_main_text, op7_decontamination, op9_quality, op10_toxicity)}
 ORACLES = {"op3_source_mix": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE}
