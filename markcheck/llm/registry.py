@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markcheck.llm import decontamination, exact_dedup, mixing, parity_join, quality, site_style, token_count, toxicity
+from markcheck.llm import decontamination, exact_dedup, license_scan, mixing, parity_join, quality, site_style, suffix_dedup, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +40,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -46,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_main_text, op7_decontamination, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_main_text, op7_decontamination, op8_repeated_passages, op9_quality, op10_toxicity)}
 ORACLES = {"op3_source_mix": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE}
