@@ -74,7 +74,7 @@ def relative(directory: Column, target: Column) -> Column:
 
 def import_path(from_file: Column, target: Column) -> Column:
     """Reference to ``target`` as written in ``from_file``: begins with ``./`` or ``../``."""
-    hops = F.array_join(_hops(_segments(dirname(from_file)), _segments(target)), "/")
+    hops = F.array_join(_hops(_segments(dirname(F.regexp_replace(from_file, "/+$", ""))), _segments(target)), "/")
     return F.when(hops == "", ".").when(hops.startswith("."), hops).otherwise(F.concat(F.lit("./"), hops))
 
 

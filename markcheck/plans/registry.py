@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from markcheck.plans import extraction
+from markcheck.plans import extraction, positions, reports
 
-_MODULES = (extraction,)
+_MODULES = (extraction, positions, reports)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

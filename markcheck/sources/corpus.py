@@ -80,6 +80,7 @@ def path_cascade(lookups: DataFrame, keys: DataFrame, path: str = "path", key: s
     single = known.groupBy(paths.basename(F.col("__key")).alias("__base")).agg(F.min("__key").alias("found"), F.count("*").alias("n")).where("n = 1")
     base = asked.withColumn("__base", paths.basename(F.col(path))).where("__base <> ''").join(single, "__base").select(path, "found", F.lit(3).alias("rank"))
     best = exact.unionByName(suffix).unionByName(base).groupBy(path).agg(F.min_by(F.struct("found", "rank"), "rank").alias("best"))
-    how = F.element_at(F.array(*map(F.lit, ("exact", "suffix", "basename"))), F.col("best.rank"))
+    rank = F.col("best.rank")
+    how = F.when(rank == 1, "exact").when(rank == 2, "suffix").when(rank == 3, "basename").otherwise("none")
     cleaned = F.when(F.col(path).startswith("/"), F.col(path)).otherwise(paths.normalized(F.col(path)))
-    return asked.join(best, path, "left").select(path, F.coalesce("best.found", cleaned).alias("found"), F.coalesce(how, F.lit("none")).alias("how"))
+    return asked.join(best, path, "left").select(path, F.coalesce("best.found", cleaned).alias("found"), how.alias("how"))

@@ -21,8 +21,8 @@ def file_stream(spark: SparkSession, root: str, suffixes: Sequence[str], per_bat
 
 
 def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Rows of Parquet files as they come."""
-    return spark.readStream.schema(schema).parquet(path)
+    """Rows of Parquet files as they come; ``path`` is a folder or one file."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a glob: the source takes a lone file only by one
 
 
 def upsert(batch: DataFrame, batch_id: int, check: Check, snapshots: str) -> None:
