@@ -15,23 +15,23 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``bound`` rows ``text, label`` outside the held-out fold: those whose id hashes lowest."""
+    """At most ``bound`` rows ``id, text, label`` outside the held-out fold: those whose id hashes lowest."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("label is not null and id is not null")
     known = known.where(fold(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, "id")
-    return materialize(texts.select("text", "label"), f"sample-{label}")
+    return materialize(texts.select("id", "text", "label"), f"sample-{label}")
 
 
 class Logistic:
     """Ridge logistic regression by Newton steps; standardises its inputs."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40):
-        x = np.asarray(x, float).reshape(len(y), -1)
         self.constant = float(np.mean(y)) if len(y) else 0.0
         self.fitted = 0 < self.constant < 1
         if not self.fitted:
             return
+        x = np.asarray(x, float)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         z = self._design(x)
         w = np.zeros(z.shape[1])

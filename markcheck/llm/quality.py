@@ -90,9 +90,9 @@ def _forward(w: dict, x: np.ndarray, starts: np.ndarray) -> dict:
     return {"bag": bag, "h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ w["out"] + w["out_b"])}
 
 
-def _gradients(w: dict, x: np.ndarray, starts: np.ndarray, y: np.ndarray, cost: np.ndarray) -> dict:
+def _gradients(w: dict, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict:
     f = _forward(w, x, starts)
-    ds = (f["p"] - y) * cost / len(y)
+    ds = (f["p"] - y) / len(y)
     dz = ds[:, None] * w["out"]
     da = (f["h"] * dz[f["bag"]]).sum(1)
     de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[f["bag"]])
@@ -107,9 +107,9 @@ def _gradients(w: dict, x: np.ndarray, starts: np.ndarray, y: np.ndarray, cost:
 
 
 def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> QualityModel:
-    """Adam over shuffled batches of bags; both labels weigh the same in sum of square roots."""
+    """Adam over shuffled batches of bags."""
     share = float(np.mean(y)) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return QualityModel(None, share)
     everything = np.concatenate(bags)
     mean, scale = everything.mean(0), everything.std(0) + 1e-2
@@ -124,7 +124,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> QualityModel:
             ids = order[lo : lo + BATCH]
             x = np.concatenate([bags[i] for i in ids])
             starts = np.cumsum([0, *(len(bags[i]) for i in ids[:-1])])
-            grads, step = _gradients(w, x, starts, y[ids], np.ones(len(ids), np.float32)), step + 1
+            grads, step = _gradients(w, x, starts, y[ids]), step + 1
             rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k in w:
                 g = grads[k] + DECAY * w[k]
@@ -140,12 +140,14 @@ def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bags = [passages(t).astype(np.float16).tobytes() for t in _bytes(b, "text")]
-        yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), b.column(b.schema.get_field_index("label"))], ["bag", "label"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary()), b.column(b.schema.get_field_index("label"))], ["id", "bag", "label"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Learns from at most ``sample`` labelled documents outside the held-out fold; passages are encoded on the executors."""
-    rows = labelled_sample(docs, labels, label, folds, held_out, sample, id_col, text_col).mapInArrow(_encode, "bag binary, label int").collect()
+    known = labelled_sample(docs, labels, label, folds, held_out, sample, id_col, text_col)
+    encoded = known.mapInArrow(_encode, f"id {known.schema['id'].dataType.simpleString()}, bag binary, label int")
+    rows = sorted(encoded.collect(), key=lambda r: (str(r.id), r.bag))  # the order of batches is part of the fit
     bags = [np.frombuffer(r.bag, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     return train(bags, np.array([float(r.label > 0) for r in rows], np.float32))
 
