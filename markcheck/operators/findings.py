@@ -83,6 +83,16 @@ def check_unclosed(events: DataFrame) -> DataFrame:
     return found.select("doc", "start", "end", F.lit("unclosed-tag").alias("code"), F.lit("error").alias("severity"), F.format_string("unclosed tag: <%s>", "name").alias("message"))
 
 
+def check_nesting(events: DataFrame) -> DataFrame:
+    """Mismatched closes and unclosed elements from one pairing of the events."""
+    closes = F.col("kind") == "close"
+    wrong = closes & (F.col("opener.name") != F.col("name"))
+    left_open = ~closes & ~F.col("closed") & (F.lower("name") != "li")
+    message = F.when(closes, F.format_string("mismatched closing tag: expected </%s>, found </%s>", "opener.name", "name")).otherwise(F.format_string("unclosed tag: <%s>", "name"))
+    code = F.when(closes, "mismatched-close").otherwise("unclosed-tag")
+    return nesting.pairs(events).where(wrong | left_open).select("doc", "start", "end", code.alias("code"), F.lit("error").alias("severity"), message.alias("message"))
+
+
 def check_headings(events: DataFrame) -> DataFrame:
     """A heading more than one level deeper than the one before it."""
     headings = events.where(F.col("kind").isin("open", "void") & F.col("name").rlike("^h[1-6]$")).withColumn("level", F.substring("name", 2, 1).cast("int"))
@@ -111,7 +121,7 @@ def check_external_references(references: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("rewritten", F.concat(paths.relative(F.lit(root), F.col("target")), cut["suffix"]))
 
 
-RULES: dict[str, Rule] = {"nesting": lambda e: union(check_mismatched(e), check_unclosed(e)), "a11y": check_headings}
+RULES: dict[str, Rule] = {"nesting": check_nesting, "a11y": check_headings}
 
 
 def run_rules(events: DataFrame, families: Sequence[str] = tuple(RULES), rules: Mapping[str, Rule] = RULES) -> DataFrame:
