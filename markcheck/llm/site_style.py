@@ -5,8 +5,9 @@ all pages of the host. Its presentation importance is the entropy of the child s
 content importance one minus the mean entropy of its words over pages: boilerplate is spread evenly, articles say
 something else on every page. Branches whose combined importance is low are cut from each page.
 
-Elements that say what they are (navigation, scripts, forms, an article) are presentation nodes of known
-importance. Hosts with few pages have no tree worth the name and use the one merged over all such hosts.
+Elements that say what they are (navigation, scripts, forms) are presentation nodes of known importance. A core (an
+article or a main part) is a bonus: what lies outside the cores of a page goes, and a block inside one goes where the
+tree shows it clearly to repeat. Hosts with few pages have no tree worth the name and use the one merged over all such hosts.
 
 Counts are combined inside each task before they are summed per host and node, so a hot host costs every task one
 row per node and word; only the sums that entropies need are kept, never the pages of a host together.
@@ -30,6 +31,8 @@ from markcheck.scratch import materialize
 FEW_PAGES = 8
 #: Branches under this importance go.
 KEEP = 0.35
+#: What lying in a core adds to the importance of a block.
+CORE_BONUS = 0.2
 #: Weight of a node's own presentation against its children's, by number of styles seen.
 GAMMA = 0.9
 #: Parts into which each host's counts are dealt before the final sum.
@@ -114,12 +117,12 @@ def _below(path: str, child: Node) -> str:
 
 
 def _walk(root: Node) -> Iterator[tuple[str, Node]]:
-    """Nodes whose importance is open: neither in a known branch of noise nor in a core."""
+    """Nodes whose importance is open: those not in a known branch of noise."""
     stack = [("", root)]
     while stack:
         path, node = stack.pop()
         yield path, node
-        stack += [(_below(path, c), c) for c in node.children if isinstance(c, Node) and not c.noise and not c.core]
+        stack += [(_below(path, c), c) for c in node.children if isinstance(c, Node) and not c.noise]
 
 
 def _signature(node: Node) -> str:
@@ -213,10 +216,10 @@ def trees(pages: DataFrame, few: int = FEW_PAGES) -> DataFrame:
     return sites.join(weighed, "host").select("site", "paths", "importance")
 
 
-def _blocks(root: Node, importance: dict[str, float], keep: float) -> list[str]:
-    """Texts of the blocks that stay, in page order."""
+def _blocks(parts: list[tuple[str, Node]], importance: dict[str, float], keep: float, core: bool) -> list[str]:
+    """Texts of the blocks that stay, in page order, of ``parts`` as (path of the parent, node)."""
     out: list[list[str]] = [[]]
-    stack = [(iter(root.children), "", False, False, False)]
+    stack = [(iter([node]), path, core, False, False) for path, node in reversed(parts)]
     while stack:
         children, path, core, low, block = stack[-1]
         child = next(children, None)
@@ -230,36 +233,35 @@ def _blocks(root: Node, importance: dict[str, float], keep: float) -> list[str]:
         elif child.name == "br":
             out[-1].append(" ")
         elif not child.noise and (child.name != "header" or core):
-            down = core or child.core
-            where = path if down else _below(path, child)
+            where = _below(path, child) if child.name != "#page" else path
             if child.name in BLOCK:
                 out.append([])
-            # what matters below an unimportant node stays
-            stack.append((iter(child.children), where, down, not down and importance.get(where, 1.0) < keep, child.name in BLOCK))
+            # what matters below an unimportant node stays; in a core, running text is not torn apart
+            if not core or child.name in BLOCK:
+                low = importance.get(where, 1.0) + CORE_BONUS * core < keep
+            stack.append((iter(child.children), where, core, low, child.name in BLOCK))
     return [t for parts in out if (t := " ".join(entities.unescape("".join(parts)).split()))]
 
 
 def extract(page: str | None, importance: dict[str, float], keep: float = KEEP) -> str:
-    """Main text of one page; a page with a core keeps nothing but the core."""
+    """Main text of one page; a page with a core keeps of the core what does not repeat, and nothing else."""
     if not page:
         return ""
     root = parse(page)
-    core = _cores(root)
-    if core:
-        frame = Node("#page")
-        frame.children = core
-        return "\n\n".join(_blocks(frame, importance, keep))
-    return "\n\n".join(_blocks(root, importance, keep))
+    cores = _cores(root)
+    return "\n\n".join(_blocks(cores or [("", root)], importance, keep, bool(cores)))
 
 
-def _cores(root: Node) -> list[Node]:
-    found, stack = [], [root]
+def _cores(root: Node) -> list[tuple[str, Node]]:
+    """Outermost cores with their parents' paths."""
+    found, stack = [], [("", root)]
     while stack:
-        node = stack.pop()
+        path, node = stack.pop()
         if node.core:
-            found.append(node)
+            found.append((path, node))
         elif not node.noise:
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+            where = _below(path, node) if node is not root else path
+            stack += [(where, c) for c in reversed(node.children) if isinstance(c, Node)]
     return found
 
 

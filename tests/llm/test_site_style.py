@@ -49,3 +49,14 @@ def test_edge_rows(spark):
     rows = [(1, None, "<p>x</p>", "s", "t", "p"), (2, "http://a", None, "s", "t", "p"), (None, "nohost", "", "s", "t", "p"), (1, None, "<p>x</p>", "s", "t", "p"), (3, "http://a", "<div>" * 3000 + "deep" + "<p>w </p>" * 20000, "s", "t", "p")]
     out = site_style.main_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.n_chars > 0) for r in out) == [(0, False), (1, True), (1, True), (2, False), (3, True)]
+
+
+def test_tree_cuts_repeated_blocks_inside_a_core(spark):
+    def page(k):
+        story = " ".join(f"story{k}x{j}" for j in range(30))
+        return f"<body><div>Home</div><article><h1>Title{k}</h1><p>{story} <a>as told</a> before</p><div class=x9><a>Tell your friends</a> or <p>read our next story</p></div><p>end{k}</p></article></body>"
+
+    rows = [(k, f"http://one.example/{k}", page(k)) for k in range(20)]
+    for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        story = " ".join(f"story{r.page_id}x{j}" for j in range(30))
+        assert r.text == f"Title{r.page_id}\n\n{story} as told before\n\nend{r.page_id}"
