@@ -7,7 +7,12 @@ something else on every page. Branches whose combined importance is low are cut
 
 Elements that say what they are (navigation, scripts, forms) are presentation nodes of known importance. A core (an
 article or a main part) is a bonus: what lies outside the cores of a page goes, and a block inside one goes where the
-tree shows it clearly to repeat. Hosts with few pages have no tree worth the name and use the one merged over all such hosts.
+tree shows it clearly to repeat.
+
+Entropies are divided by their maximum, the log of the number of pages that show the node, so other pages and hosts do
+not matter to it. Copies of a page count once, and one page that says something else is added to those seen, as two
+pages alone cannot tell boilerplate from a reprint. Hosts with few pages are also merged: of a node's importance on
+its host and on all such hosts, the lesser counts.
 
 Counts are combined inside each task before they are summed per host and node, so a hot host costs every task one
 row per node and word; only the sums that entropies need are kept, never the pages of a host together.
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from markcheck.scratch import materialize
 
-#: A host with fewer pages uses the tree of all such hosts.
+#: A host with fewer pages also uses what all such hosts show.
 FEW_PAGES = 8
 #: Branches under this importance go.
 KEEP = 0.35
@@ -148,6 +153,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 styles[path].add(_signature(node))
                 seen[path].update(w for c in node.children if isinstance(c, str) for w in _WORDS(c.lower()))
             for path, shown in styles.items():
+                sums[host, path, "node", ""][2] += 1
                 for style in shown:
                     s = sums[host, path, "style", style]
                     s[0] += 1
@@ -180,40 +186,48 @@ def _importance(nodes: dict[str, tuple[int, float, float]]) -> dict[str, float]:
     return out
 
 
-def trees(pages: DataFrame, few: int = FEW_PAGES) -> DataFrame:
-    """``site, paths, importance`` of ``pages(site, html)``, as two arrays per site."""
-    seen = pages.mapInArrow(_observe, "site string, path string, kind string, feature string, c double, clogc double, pages long")
-    seen = seen.withColumn("salt", F.pmod(F.xxhash64("feature"), F.lit(SALTS)))
-    sums = [F.sum(c).alias(c) for c in ("c", "clogc", "pages")]
-    features = seen.groupBy("site", "path", "kind", "feature", "salt").agg(*sums)
-    sites = materialize(pages.groupBy("site").agg(F.count("*").alias("n")).withColumn("host", F.when(F.col("n") >= few, F.concat(F.lit("h:"), "site")).otherwise("")), "sites")
-    features = features.join(sites.select("site", "host"), "site").groupBy("host", "path", "kind", "feature", "salt").agg(*sums)
+def _nodes(features: DataFrame, *key: str) -> DataFrame:
+    """Styles, presentation and content importance by ``key`` and path of summed features."""
     # of a word: entropy over pages; of a style: its part of the entropy over styles
     even = F.greatest(F.lit(0.0), F.log("c") - F.col("clogc") / F.col("c"))
-    is_style = F.col("kind") == "style"
-    parts = features.groupBy("host", "path", "salt").agg(
+    is_style, is_word = F.col("kind") == "style", F.col("kind") == "word"
+    parts = features.groupBy(*key, "path", "salt").agg(
+        F.sum(F.when(F.col("kind") == "node", F.col("pages"))).alias("n"),
         F.sum(F.when(is_style, F.col("pages"))).alias("shown"),
         F.count_if(is_style).alias("styles"),
         F.sum(F.when(is_style, F.col("pages") * F.log("pages"))).alias("style_clogc"),
-        F.sum(F.when(~is_style, even)).alias("even"),
-        F.count_if(~is_style).alias("words"),
+        F.sum(F.when(is_word, even)).alias("even"),
+        F.count_if(is_word).alias("words"),
     )
-    nodes = parts.groupBy("host", "path").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("shown", "styles", "style_clogc", "even", "words")))
-    nodes = nodes.join(sites.groupBy("host").agg(F.sum("n").alias("n")), "host")
-    base = F.log(F.greatest(F.col("n"), F.lit(2)).cast("double"))
-    shown = F.greatest(F.col("shown"), F.lit(1)).cast("double")
-    presentation = F.when(F.col("n") == 1, 1.0).otherwise((F.log(shown) - F.col("style_clogc") / shown) / base)
-    content = F.when(F.col("words") == 0, 0.0).when(F.col("n") == 1, 1.0).otherwise(1 - F.col("even") / F.col("words") / base)
-    nodes = nodes.select("host", F.struct("path", F.col("styles").cast("long").alias("styles"), presentation.alias("presentation"), content.alias("content")).alias("node"))
-    merged = nodes.groupBy("host").agg(F.collect_list("node").alias("nodes"))  # the styled paths of a site, not its pages
+    nodes = parts.groupBy(*key, "path").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "shown", "styles", "style_clogc", "even", "words")))
+    n, shown = F.col("n").cast("double"), F.greatest(F.col("shown"), F.lit(1)).cast("double")
+    base = F.log(F.greatest(n, F.lit(2.0)))
+    presentation = F.when(n == 1, 1.0).otherwise(F.least(F.lit(1.0), (F.log(shown) - F.col("style_clogc") / shown) / base))
+    content = F.when(F.col("words") == 0, 0.0).when(n == 1, 1.0).otherwise(1 - (1 - 1 / n) * F.col("even") / F.col("words") / base)
+    return nodes.select(*key, "path", F.col("styles").cast("long").alias("styles"), presentation.alias("presentation"), content.alias("content"))
+
+
+def trees(pages: DataFrame, few: int = FEW_PAGES) -> DataFrame:
+    """``site, paths, importance`` of ``pages(site, html)``, as two arrays per site."""
+    seen = pages.distinct().mapInArrow(_observe, "site string, path string, kind string, feature string, c double, clogc double, pages long")
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("feature"), F.lit(SALTS)))
+    sums = [F.sum(c).alias(c) for c in ("c", "clogc", "pages")]
+    features = materialize(seen.groupBy("site", "path", "kind", "feature", "salt").agg(*sums), "features")
+    small = features.where((F.col("path") == "") & (F.col("kind") == "node") & (F.col("pages") < few)).select("site")
+    pooled = features.join(small, "site", "left_semi").groupBy("path", "kind", "feature", "salt").agg(*sums)
+    shared = _nodes(pooled).select("path", F.col("presentation").alias("p"), F.col("content").alias("c"))
+    own = _nodes(features, "site").join(small.withColumn("small", F.lit(True)), "site", "left")
+    nodes = own.withColumn("at", F.when(F.col("small"), F.col("path"))).join(shared.withColumnRenamed("path", "at"), "at", "left")
+    least = [F.least(a, b).alias(a) for a, b in (("presentation", "p"), ("content", "c"))]  # of nulls, the other one
+    nodes = nodes.select("site", F.struct("path", "styles", *least).alias("node"))
+    merged = nodes.groupBy("site").agg(F.collect_list("node").alias("nodes"))  # the styled paths of a site, not its pages
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [_importance({n["path"]: (n["styles"], n["presentation"], n["content"]) for n in nodes}) for nodes in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["host", "paths", "importance"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["site", "paths", "importance"])
 
-    weighed = merged.mapInArrow(weigh, "host string, paths array<string>, importance array<double>")
-    return sites.join(weighed, "host").select("site", "paths", "importance")
+    return merged.mapInArrow(weigh, "site string, paths array<string>, importance array<double>")
 
 
 def _blocks(parts: list[tuple[str, Node]], importance: dict[str, float], keep: float, core: bool) -> list[str]:

@@ -60,3 +60,17 @@ def test_tree_cuts_repeated_blocks_inside_a_core(spark):
     for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         story = " ".join(f"story{r.page_id}x{j}" for j in range(30))
         assert r.text == f"Title{r.page_id}\n\n{story} as told before\n\nend{r.page_id}"
+
+
+def test_importance_does_not_depend_on_other_pages_and_hosts(spark):
+    def page(host, k):
+        story = " ".join(f"story{host}x{k}x{j}" for j in range(30))
+        odd = "<div class=odd>Seen on some pages only</div>" if host == 99 and k < 8 else ""
+        return f"<body><p>{story}</p><div class=own{host}>{host} brand words{host} again</div><div class=low>brand{host} terms{host}</div>{odd}</body>"
+
+    rows = [(h * 1000 + k, f"http://h{h}.example/{k}", page(h, k)) for h in range(30) for k in range(5)]
+    rows += [(99000 + k, f"http://h99.example/{k}", page(99, k)) for k in range(60)]
+    rows += [(5, "http://copies.example/", "<p>the same page</p>")] * 4
+    for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        host, k = divmod(r.page_id, 1000)
+        assert r.text == ("the same page" if "copies" in r.url else " ".join(f"story{host}x{k}x{j}" for j in range(30)))
