@@ -52,6 +52,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - {"html", "body"}
 NOISE = frozenset("head script style title noscript template iframe object svg canvas nav footer aside form button select textarea input menu dialog".split())
 CORE = frozenset("article main".split())
+FRAMES = CORE | {"html", "body"}
 NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
@@ -60,14 +61,17 @@ _WORDS = re.compile(r"\w+").findall
 
 
 class Node:
-    __slots__ = ("children", "core", "name", "noise", "style")
+    __slots__ = ("children", "core", "held", "name", "named", "noise", "size", "style")
 
     def __init__(self, name: str, attributes: str = ""):
         self.name, self.children = name, []
         labels = " ".join(v for m in _CLASS.finditer(attributes) for v in m.groups()[1:] if v) if attributes else ""
         self.style = f"{name}.{'.'.join(sorted(labels.split()))}" if labels else name
         self.core = name in CORE
-        self.noise = name in NOISE or bool(labels and NOISE_NAMES.search(labels))
+        # a name or a form may be that of a frame around the page, see _spare
+        self.named = name not in FRAMES and (name == "form" or bool(labels and NOISE_NAMES.search(labels)))
+        self.noise = name in NOISE or self.named
+        self.held, self.size = False, 0
 
 
 def parse(page: str) -> Node:
@@ -102,9 +106,46 @@ def parse(page: str) -> Node:
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Elements that only a name or a form makes noise are none if they hold a core, or most of the page's text.
+
+    Most is over half of it, or more than stands outside all noise. Sizes leave out what a tag makes noise.
+    """
+    order, stack = [], [(root, None)]
+    while stack:
+        node, up = stack.pop()
+        order.append((node, up))
+        if not node.noise or (node.named and (node.name == "form" or node.name not in NOISE)):
+            stack += [(c, node) for c in node.children if isinstance(c, Node)]
+            node.size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+    cores = set()
+    for node, up in reversed(order):
+        if up is not None:
+            up.size += node.size
+            if (node.core and not NOISE_NAMES.search(node.style.replace(".", " "))) or node in cores:
+                cores.add(up)
+    named = [n for n, _ in order if n.named and (n.name == "form" or n.name not in NOISE)]
+    for node in named:
+        most = 2 * node.size > root.size
+        node.held = node in cores and not most
+        node.noise = not (most or node.held)
+    hidden, outermost, within = 0, [], set()
+    for node, up in order:  # parents come first
+        if up in within:
+            within.add(node)
+        elif node.noise:
+            within.add(node)
+            outermost.append(node)
+            hidden += node.size
+    largest = max((n for n in outermost if n.size), key=lambda n: n.size, default=None)
+    if largest is not None and largest.size > root.size - hidden:
+        largest.noise = False
+
+
 def _imply_ends(stack: list[Node], name: str) -> None:
     """An open paragraph ends at the next block, an open item at the next item of its list."""
     wanted = {"li"} if name == "li" else {"dt", "dd"} if name in ("dt", "dd") else set()
@@ -263,19 +304,24 @@ def extract(page: str | None, importance: dict[str, float], keep: float = KEEP)
         return ""
     root = parse(page)
     cores = _cores(root)
+    inside = sum(node.size for _, node, _ in cores)
+    if all(held for *_, held in cores) and root.size - inside > inside:
+        cores = []  # named like a list of related or of comments, and less than the rest
+    cores = [(path, node) for path, node, _ in cores]
     return "\n\n".join(_blocks(cores or [("", root)], importance, keep, bool(cores)))
 
 
-def _cores(root: Node) -> list[tuple[str, Node]]:
-    """Outermost cores with their parents' paths."""
-    found, stack = [], [("", root)]
+def _cores(root: Node) -> list[tuple[str, Node, bool]]:
+    """Outermost cores with their parents' paths, and whether an element named like noise holds them."""
+    found, stack = [], [("", root, False)]
     while stack:
-        path, node = stack.pop()
+        path, node, held = stack.pop()
+        held = held or node.held
         if node.core:
-            found.append((path, node))
+            found.append((path, node, held))
         elif not node.noise:
             where = _below(path, node) if node is not root else path
-            stack += [(where, c) for c in reversed(node.children) if isinstance(c, Node)]
+            stack += [(where, c, held) for c in reversed(node.children) if isinstance(c, Node)]
     return found
 
 

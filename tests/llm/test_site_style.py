@@ -74,3 +74,19 @@ def test_importance_does_not_depend_on_other_pages_and_hosts(spark):
     for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         host, k = divmod(r.page_id, 1000)
         assert r.text == ("the same page" if "copies" in r.url else " ".join(f"story{host}x{k}x{j}" for j in range(30)))
+
+
+def test_frames_named_like_noise_keep_their_text():
+    body = "<p>The story goes on for a while</p>"
+    low = "<div class=footer>All rights</div>"
+    for start, end in (("<body class='single no-sidebar'>", "</body>"), ("<body class=has-sidebar><main class=has-sidebar>", "</main></body>"), ("<div class='page menu-closed'>", "</div>"), ("<div class=header-fixed>", "</div>"), ("<form action=x>", "</form>"), ("<html class=has-header><body><form><div class=no-widget>", "</div></form></body></html>")):
+        assert site_style.extract(start + body + low + end, {}) == "The story goes on for a while", start
+        assert site_style.extract(f"{start}<article>{body}</article>{low}{end}", {}) == "The story goes on for a while", start
+        assert site_style.extract(f"{start}<article class='no-share'>{body}</article>{low}{end}", {}) == "The story goes on for a while", start
+    # less than half of the page, but more than what is no noise
+    assert site_style.extract(f"<div class='text has-sidebar'>{body}</div><div class=sidebar>Some links of the site</div><div class=footer>All rights reserved</div>", {}) == "The story goes on for a while"
+    assert site_style.extract(f"<div class=menu-closed><article>Short</article></div>{body * 3}<div class=comments><article class=comment>Bob</article></div>", {}).startswith("Short")
+    # list of links stay out, however long
+    assert site_style.extract("<nav>" + "<a>link to something</a>" * 20 + f"</nav>{body}", {}) == "The story goes on for a while"
+    # cores named as related do not replace the text
+    assert "goes on" in site_style.extract(f"{body * 3}<div class=related><article>Card</article></div>", {})
