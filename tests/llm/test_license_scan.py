@@ -48,3 +48,20 @@ def test_edge_rows(spark):
     rows = [(1, None, "x", "y"), (2, "", "x", "y"), (None, "Released under the MIT License.", "x", "y"), (3, "word " * 50000 + "Released under the MIT License.", "x", "y"), (4, "no", None, None)]
     out = license_scan.licenses(spark.createDataFrame(rows + rows[2:3], schema)).collect()
     assert sorted((r.doc_id or 0, r.license, r.start_word) for r in out) == [(0, "MIT", 0), (0, "MIT", 0), (3, "MIT", 50000)]
+
+
+def test_versions_and_families_are_told_apart(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    rows = [
+        ("GPL-2.0", gpl.format(";", "", ";", 2)), ("GPL-3.0", gpl.format(":", "", ",", 3)), ("LGPL-2.1", gpl.format(";", "Lesser ", ";", 2.1)), ("LGPL-3.0", gpl.format(":", "Lesser ", ",", 3)), ("AGPL-3.0", gpl.format(":", "Affero ", ",", 3)),
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http"),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain."),
+        *license_scan.TEMPLATES,
+    ]
+    docs = spark.createDataFrame([(k, f"see {t} and {'more ' * 400}{t}") for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {}
+    for r in license_scan.licenses(docs).collect():
+        found.setdefault(r.doc_id, []).append(r.license)
+    assert [found[k] for k in range(len(rows))] == [[n, n] for n, _ in rows]
