@@ -1,13 +1,10 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by minimisers and hashes of whole stretches.
 
-Only suffixes at minimiser positions are kept: the word 8-gram with the least hash among those of any 50
-consecutive words. A passage of 50 words or more holds one at the same place wherever it stands. Suffixes whose
-8-gram occurs in several documents get their words to the right and left, are sorted by them, and are compared
-with their neighbours; matches are extended in both directions, and those of 50 words or more are reported.
-
-The sort is a range partitioning by (8-gram, following words, document), so a passage that a third of all documents
-hold is dealt over many tasks; neighbours that two partitions part are compared afterwards. A match longer than the
-words at hand is covered by the minimisers along it, whose matches overlap and are merged.
+Minimisers are the word 8-grams with the least hash among those of any 50 consecutive words. A stretch of 50 words
+holds one at the same place wherever it stands, so only stretches around minimisers that several documents have can
+repeat. These are hashed whole, one hash for each number of words before the minimiser, and equal ones are found by
+grouping, which combines before the shuffle: nothing depends on what else holds the same minimiser. Stretches that
+overlap are merged.
 """
 
 from __future__ import annotations
@@ -16,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +21,6 @@ from markcheck.scratch import materialize
 
 #: Words that a repeat has at least, and words of the gram that stands for a suffix.
 MIN_WORDS, GRAM = 50, 8
-#: Preceding suffixes of other documents that each one is compared with.
-NEIGHBOURS = 4
-
-_CONTEXT = "doc_id long, pos int, h long, after binary, before binary"
-_FOUND = "doc_id long, start int, end int, other long, edge boolean, part int, pos int, h long, after binary, before binary"
-
 
 def _minimisers(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the kept suffixes of a text given as word hashes."""
@@ -68,67 +58,36 @@ def _suffixes(min_words: int):
     return run
 
 
-def _contexts(min_words: int):
+def _stretches(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            wanted = b.column(b.schema.get_field_index("kept")).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for (doc, hashes), kept in zip(_rows(b), wanted, strict=True):
-                symbols = (hashes >> np.uint64(32)).astype(">u4")
-                for k in kept:
-                    p = k["pos"]
-                    for column, value in zip(out, (doc, p, k["h"], symbols[p : p + min_words].tobytes(), symbols[max(0, p - min_words) : p][::-1].tobytes()), strict=True):
-                        column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "pos", "h", "after", "before"])
-
-    return run
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Leading words that two contexts share."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, np.uint32, n // 4), np.frombuffer(b, np.uint32, n // 4)
-    return int((x != y).argmax())
-
-
-def _neighbours(min_words: int):
-    """Compares every suffix of a sorted partition with those before it; also passes on the first and the last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        recent: list[tuple] = []
-        row = None
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "start", "end", "other", "edge", "part", "pos", "h", "after", "before"])
+        out: list[tuple] = []
 
-        def edge(r: tuple) -> tuple:
-            return (r[0], None, None, None, True, part, *r[1:])
+        def table() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "start"])
 
         for b in batches:
-            out = []
-            for new in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "pos", "h", "after", "before")), strict=True):
-                if row is None:
-                    out.append(edge(new))
-                row = new
-                if recent and recent[0][2] != row[2]:
-                    recent = []
-                doc, pos = row[:2]
-                for other in recent:
-                    if other[0] == doc:
-                        continue
-                    right, left = _common(row[3], other[3]), _common(row[4], other[4])
-                    if right + left >= min_words:
-                        out.append((doc, pos - left, pos + right, other[0], False, part, None, None, None, None))
-                        out.append((other[0], other[1] - left, other[1] + right, doc, False, part, None, None, None, None))
-                recent = [row, *(r for r in recent if r[0] != doc)][:NEIGHBOURS]
-            yield table(out)
-        if row is not None:
-            yield table([edge(row)])
+            size = 0
+            kept = b.column(b.schema.get_field_index("kept")).to_pylist()
+            for (doc, hashes), places in zip(_rows(b), kept, strict=True):
+                if len(hashes) < min_words:  # another row of this id is longer
+                    continue
+                n = len(hashes) - min_words + 1
+                opened = np.zeros(n + 1, np.int32)  # starts of stretches that hold a kept gram
+                at = np.array(places)
+                at = at[at <= len(hashes) - GRAM]
+                np.add.at(opened, np.minimum(n, np.maximum(0, at - (min_words - GRAM))), 1)
+                np.add.at(opened, np.minimum(n, at + 1), -1)
+                starts = np.flatnonzero(np.cumsum(opened[:n]))
+                h = gram_hashes(hashes, min_words)[starts]
+                out.append((h.view(np.int64), np.full(len(h), doc, np.int64), starts.astype(np.int32)))
+                size += len(h)
+                if size > 500_000:
+                    yield table()
+                    size = 0
+            if out:
+                yield table()
 
     return run
 
@@ -144,15 +103,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     suffixes = texts.mapInArrow(_suffixes(min_words), "doc_id long, pos int, h long")
     shared = suffixes.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("h")
-    kept = suffixes.join(shared, "h").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("kept"))  # as long as its text
-    contexts = texts.join(kept, "doc_id").mapInArrow(_contexts(min_words), _CONTEXT)
-    contexts = materialize(contexts, "suffixes")
-    key = ["h", "after", "doc_id", "pos"]
-    found = contexts.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_neighbours(min_words), _FOUND)
-    found = materialize(found, "neighbours")
-    edges = found.where("edge").select("part", "doc_id", "pos", "h", "after", "before").repartition(1).sortWithinPartitions("part", *key)  # two rows per partition
-    across = edges.select("doc_id", "pos", "h", "after", "before").mapInArrow(_neighbours(min_words), _FOUND)
-    spans = found.unionByName(across).where("not edge").select("doc_id", "start", "end", "other")
+    kept = suffixes.join(shared, "h").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))  # as long as its text
+    stretches = texts.join(kept, "doc_id").mapInArrow(_stretches(min_words), "h long, doc_id long, start int")
+    stretches = materialize(stretches, "stretches")
+    equal = stretches.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low <> high")
+    found = materialize(stretches.join(equal, "h"), "equal-stretches")
+    # the smallest other document: of two rows it is the higher one, of more it is looked up
+    second = found.where("n > 2 and doc_id <> low").groupBy("h").agg(F.min("doc_id").alias("second"))
+    several = found.where("n > 2 and doc_id = low").select("h", "doc_id", "start").join(second, "h").select("doc_id", "start", F.col("second").alias("other"))
+    other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    spans = found.where("n = 2 or doc_id <> low").select("doc_id", "start", other.alias("other")).unionByName(several)
+    spans = spans.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "other")
     return _merged(spans)
 
 

@@ -65,3 +65,22 @@ def test_cut_and_edge_rows(spark):
     out = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(docs, spans).collect()}
     assert out[1] == f"a {passage} b" and out[2] == "c d" and out[4] is None
     assert suffix_dedup.repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_frequent_line_does_not_part_two_copies(spark):
+    rng = random.Random(3)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def only_minimiser(words):
+        at, _ = suffix_dedup._minimisers(suffix_dedup.word_hashes([w.encode() for w in words]), 50)
+        return list(at) == [42]
+
+    while not only_minimiser((passage := fresh(42)) + (line := fresh(8))):
+        pass
+    rows = [" ".join(fresh(20) + passage + line + fresh(60)) for _ in range(2)]
+    rows += [" ".join(fresh(60) + line + fresh(60)) for _ in range(400)]
+    rows = [(k * 7919 % 402, r) for k, r in enumerate(rows)]
+    expected = brute(rows)
+    assert len(expected) == 2 and found(spark, rows) == expected
