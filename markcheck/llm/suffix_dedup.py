@@ -28,15 +28,7 @@ def _minimisers(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams, span = gram_hashes(hashes, GRAM), min_words - GRAM + 1
     at = np.unique(np.arange(len(grams) - span + 1) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1))
-    found = grams[at]
-    if len(at) > 1 and (found[1:] == found[:-1]).any():  # a run of one word: its copies of a gram stand close
-        keep, last = [0], 0
-        for i in range(1, len(at)):
-            if found[i] != found[last] or at[i] - at[last] >= span // 2:
-                keep.append(i)
-                last = i
-        at, found = at[keep], found[keep]
-    return at, found
+    return at, grams[at]
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:

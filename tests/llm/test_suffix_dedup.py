@@ -84,3 +84,19 @@ def test_frequent_line_does_not_part_two_copies(spark):
     rows = [(k * 7919 % 402, r) for k, r in enumerate(rows)]
     expected = brute(rows)
     assert len(expected) == 2 and found(spark, rows) == expected
+
+
+def test_minimisers_do_not_depend_on_what_precedes():
+    rng = random.Random(5)
+
+    def fresh(n):
+        return [b"w%d" % rng.randrange(10**6) for _ in range(n)]
+
+    def places(words):
+        return set(suffix_dedup._minimisers(suffix_dedup.word_hashes(words), 50)[0].tolist())
+
+    for _ in range(300):
+        line = fresh(10)
+        passage = line + fresh(40)
+        alone, after = places(passage), places(fresh(30) + line + passage)
+        assert {p + 40 for p in alone} <= after
