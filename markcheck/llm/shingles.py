@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from itertools import chain
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 
 #: Words of a shingle.
@@ -59,3 +64,43 @@ def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     if len(words) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     return np.unique(gram_hashes(word_hashes(words), width))
+
+
+def shingle_sets(texts: Sequence[bytes | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The ``shingle_set`` of every text, one after the other, and their sizes."""
+    words = [words_of(t) for t in texts]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    hashes = np.fromiter(map(_HASH.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
+    ends = np.cumsum(lengths)
+    runs = gram_hashes(hashes, width)
+    whole = np.arange(len(runs)) + width <= np.repeat(ends, lengths)[: len(runs)]
+    counts = np.maximum(0, lengths - width + 1)
+    short = np.flatnonzero((lengths > 0) & (lengths < width))
+    counts[short] = 1
+    starts = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.uint64)
+    long = np.ones(len(out), bool)
+    long[starts[short]] = False
+    out[long] = runs[whole]
+    for k in short:
+        out[starts[k]] = xxhash.xxh64_intdigest(b" ".join(words[k]), seed=len(words[k]))
+    for lo, n in zip(starts.tolist(), counts.tolist(), strict=True):
+        out[lo : lo + n].sort()
+    doc = np.repeat(np.arange(len(counts)), counts)
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    return out[fresh], np.bincount(doc[fresh], minlength=len(counts))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, n_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, and of few enough text bytes that what is made of them stays small."""
+    for b in batches:
+        sizes = np.fromiter((x or 0 for x in pa.compute.binary_length(b.column(b.schema.get_field_index(column)).cast(pa.large_binary())).to_pylist()), np.int64, b.num_rows)
+        lo, held = 0, 0
+        for k, size in enumerate(sizes.tolist()):
+            if k > lo and (k - lo >= rows or held + size > n_bytes):
+                yield b.slice(lo, k - lo)
+                lo, held = k, 0
+            held += size
+        if lo < b.num_rows:
+            yield b.slice(lo)
