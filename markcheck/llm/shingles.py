@@ -14,6 +14,8 @@ import xxhash
 WIDTH = 5
 #: Word hashes that a worker remembers; beyond it the memory is emptied.
 MEMO = 200_000
+#: Documents and bytes of text that a task turns into arrays at a time.
+SLICE, SLICE_BYTES = 1_000, 1_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -36,6 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def starts_of(group: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """ASCII-lower-cased runs of anything but ASCII white space."""
     return text.lower().split() if text else []
