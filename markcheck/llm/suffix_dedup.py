@@ -1,10 +1,15 @@
-"""Passages that repeat across documents, by minimisers and hashes of whole stretches.
+"""Passages that repeat across documents, by sparse suffixes at minimisers.
 
 Minimisers are the word 8-grams with the least hash among those of any 50 consecutive words. A stretch of 50 words
-holds one at the same place wherever it stands, so only stretches around minimisers that several documents have can
-repeat. These are hashed whole, one hash for each number of words before the minimiser, and equal ones are found by
-grouping, which combines before the shuffle: nothing depends on what else holds the same minimiser. Stretches that
-overlap are merged.
+holds the same one at the same place wherever it stands, so equal stretches meet where suffixes are kept only at
+minimisers. A suffix there is extended left and right by hashing the stretches of 50 words around it, one for each
+number of words before it; those of one minimiser are sorted, and neighbours compared. This finds every pair, which
+comparing whole suffixes with their neighbours does not: of two copies that share little behind the minimiser and
+much before it, others stand between. Equal stretches that overlap are merged.
+
+Each stretch belongs to one minimiser, so it is sent once, as 8 bytes, and what repeats comes back as spans of whole
+runs. Stretches of a minimiser that very many documents hold are dealt by their own hashes, and those that are
+themselves so frequent are not brought together at all: their smallest documents are aggregated.
 """
 
 from __future__ import annotations
@@ -16,70 +21,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markcheck.llm.shingles import gram_hashes, word_hashes
+from markcheck.llm._sample import Frequencies, frequent, times_of
+from markcheck.llm.shingles import SLICE, SLICE_BYTES, gram_hashes, mix, slices, starts_of, word_hashes
 from markcheck.scratch import materialize
 
 #: Words that a repeat has at least, and words of the gram that stands for a suffix.
 MIN_WORDS, GRAM = 50, 8
+#: Stretches that one group of the comparing step holds on average; what is so frequent by itself is dealt apart.
+BUCKET = 500_000
+
+_PACKED = "bucket long, docs binary, starts binary, lengths binary, stretches binary"
+_FOUND = "doc_id long, start int, end int, other long, frequent long"
+_NONE = np.iinfo(np.int64).max
+_U = np.uint64
+
 
 def _minimisers(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the kept suffixes of a text given as word hashes."""
-    if len(hashes) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Of every stretch of a text, given as word hashes, the place of its minimiser, and the hashes of all grams."""
     grams, span = gram_hashes(hashes, GRAM), min_words - GRAM + 1
-    at = np.unique(np.arange(len(grams) - span + 1) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1))
-    return at, grams[at]
+    return np.arange(len(grams) - span + 1) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1), grams
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def _runs(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, ...]:
+    """Runs of stretches with one minimiser: document, first word, length and minimiser of each, then all stretches."""
     ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
     texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
-    return ((d, word_hashes(t.split() if t else [])) for d, t in zip(ids, texts, strict=True))
+    parts: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.uint64, np.uint64))]
+    for doc, text in zip(ids, texts, strict=True):
+        words = text.split() if text else []
+        if doc is None or len(words) < min_words:
+            continue
+        hashes = word_hashes(words)
+        at, grams = _minimisers(hashes, min_words)
+        first = starts_of(at)
+        parts.append((np.full(len(first), doc), first.astype(np.int32), np.diff(first, append=len(at)).astype(np.int32), mix(grams[at[first]]), gram_hashes(hashes, min_words)))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
 
+def _pack(min_words: int, buckets: int, frequencies, least: int):
+    """Per slice and bucket one row with its runs and their stretches."""
 
-def _suffixes(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [(d, *_minimisers(h, min_words)) for d, h in _rows(b)]
-            docs = np.repeat([d for d, *_ in parts], [len(a) for _, a, _ in parts]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs), pa.array(np.concatenate([a for _, a, _ in parts] or [np.zeros(0)]).astype(np.int32)), pa.array(np.concatenate([h for *_, h in parts] or [np.zeros(0, np.uint64)]).view(np.int64))],
-                ["doc_id", "pos", "h"],
-            )
+        for b in slices(batches, SLICE, SLICE_BYTES):
+            doc, start, length, gram, stretches = _runs(b, min_words)
+            if not len(doc):
+                continue
+            # runs of frequent minimisers fall into single stretches, and frequent ones of these go to any bucket
+            single = times_of(gram, frequencies.value) >= least
+            runs = np.repeat(np.arange(len(doc)), np.where(single, length, 1))
+            inside = np.arange(len(runs)) - np.repeat(np.cumsum(c := np.where(single, length, 1)) - c, c)
+            ends = np.cumsum(length)
+            doc, start, length, single, first = doc[runs], start[runs] + inside.astype(np.int32), np.where(single, 1, length)[runs], single[runs], (ends - length)[runs] + inside
+            bucket = (gram[runs] % _U(buckets)).astype(np.int64)
+            bucket[single] = (mix(stretches[first[single]]) % _U(buckets)).astype(np.int64)
+            apart = np.flatnonzero(single)
+            apart = apart[times_of(stretches[first[apart]], frequencies.value) >= least]
+            bucket[apart] = buckets + (mix(doc[apart].view(_U)) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, doc, start, length, first = (x[order] for x in (bucket, doc, start, length, first))
+            each = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            cut = starts_of(bucket)
+            ends = np.append(cut[1:], len(bucket))
+            words = np.concatenate(([0], np.cumsum(length)))
+            columns = [pa.array([x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()) for x in (doc, start, length.astype(np.int32))]
+            sent = stretches[each]
+            columns.append(pa.array([sent[words[i] : words[j]].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *columns], ["bucket", "docs", "starts", "lengths", "stretches"])
 
     return run
 
 
-def _stretches(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def table() -> pa.RecordBatch:
-            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "start"])
-
-        for b in batches:
-            size = 0
-            kept = b.column(b.schema.get_field_index("kept")).to_pylist()
-            for (doc, hashes), places in zip(_rows(b), kept, strict=True):
-                if len(hashes) < min_words:  # another row of this id is longer
-                    continue
-                n = len(hashes) - min_words + 1
-                opened = np.zeros(n + 1, np.int32)  # starts of stretches that hold a kept gram
-                at = np.array(places)
-                at = at[at <= len(hashes) - GRAM]
-                np.add.at(opened, np.minimum(n, np.maximum(0, at - (min_words - GRAM))), 1)
-                np.add.at(opened, np.minimum(n, at + 1), -1)
-                starts = np.flatnonzero(np.cumsum(opened[:n]))
-                h = gram_hashes(hashes, min_words)[starts]
-                out.append((h.view(np.int64), np.full(len(h), doc, np.int64), starts.astype(np.int32)))
-                size += len(h)
-                if size > 500_000:
-                    yield table()
-                    size = 0
-            if out:
-                yield table()
+def _match(min_words: int, buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Repeated spans of a bucket; of the frequent stretches all, with their hash."""
+        apart = group.column("bucket")[0].as_py() >= buckets
+        doc, start, length, stretch = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("docs", np.int64), ("starts", np.int32), ("lengths", np.int32), ("stretches", np.int64)))
+        group = None
+        if apart:
+            return _table(doc, start, start + min_words, None, stretch)
+        runs = np.repeat(np.arange(len(doc)), length)
+        place = start[runs] + (np.arange(len(runs)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+        order = np.argsort(stretch, kind="stable")
+        stretch = stretch[order]
+        equal = stretch[1:] == stretch[:-1]
+        several = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
+        order, stretch = order[several], stretch[several]
+        cut = starts_of(stretch)
+        at = np.repeat(np.arange(len(cut)), np.diff(cut, append=len(stretch)))
+        of = doc[runs[order]]
+        least = np.minimum.reduceat(of, cut) if len(cut) else of
+        mine = of == least[at]
+        second = np.minimum.reduceat(np.where(mine, _NONE, of), cut) if len(cut) else of
+        other = np.where(mine, second[at], least[at])
+        order, other = order[second[at] != _NONE], other[second[at] != _NONE]
+        back = np.argsort(order)
+        order, other = order[back], other[back]
+        cut = np.flatnonzero(np.concatenate(([True], (np.diff(order) != 1) | (np.diff(runs[order]) != 0))))[: len(order)]
+        last = np.append(cut[1:], len(order))[: len(cut)] - 1
+        return _table(doc[runs[order[cut]]], place[order[cut]], place[order[last]] + min_words, np.minimum.reduceat(other, cut) if len(cut) else other, None)
+
+    return run
+
+
+def _table(doc: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray | None, stretch: np.ndarray | None) -> pa.Table:
+    none = pa.nulls(len(doc), pa.int64())
+    return pa.table({"doc_id": doc, "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "other": none if other is None else other, "frequent": none if stretch is None else stretch})
+
+
+def _both(min_words: int):
+    def run(batch: pa.RecordBatch) -> np.ndarray:
+        *_, gram, stretches = _runs(batch, min_words)
+        return np.concatenate([gram, stretches])
 
     return run
 
@@ -92,23 +144,25 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     document do not count. Texts of fewer words, nulls and rows without an id give nothing; rows that repeat an id
     are one document; words are compared by hash. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    suffixes = texts.mapInArrow(_suffixes(min_words), "doc_id long, pos int, h long")
-    shared = suffixes.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("h")
-    kept = suffixes.join(shared, "h").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))  # as long as its text
-    stretches = texts.join(kept, "doc_id").mapInArrow(_stretches(min_words), "h long, doc_id long, start int")
-    stretches = materialize(stretches, "stretches")
-    equal = stretches.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low <> high")
-    found = materialize(stretches.join(equal, "h"), "equal-stretches")
-    # the smallest other document: of two rows it is the higher one, of more it is looked up
-    second = found.where("n > 2 and doc_id <> low").groupBy("h").agg(F.min("doc_id").alias("second"))
-    several = found.where("n > 2 and doc_id = low").select("h", "doc_id", "start").join(second, "h").select("doc_id", "start", F.col("second").alias("other"))
-    other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
-    spans = found.where("n = 2 or doc_id <> low").select("doc_id", "start", other.alias("other")).unionByName(several)
-    spans = spans.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "other")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    frequencies, weight = frequent(texts, rows, _both(min_words))
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
+    buckets, least = max(16, size // 6 // BUCKET), max(3, int(BUCKET / 25 / weight))
+    packed = texts.mapInArrow(_pack(min_words, buckets, shared, least), _PACKED)
+    found = materialize(packed.groupBy("bucket").applyInArrow(_match(min_words, buckets), _FOUND), "repeats")
+    spans = found.where("frequent is null").select("doc_id", "start", "end", "other").unionByName(_of_frequent(found.where("frequent is not null")))
     return _merged(spans)
 
 
+def _of_frequent(rows: DataFrame) -> DataFrame:
+    """Spans of the frequent stretches that several documents hold, with the smallest other document."""
+    least = rows.groupBy("frequent").agg(F.min("doc_id").alias("least"))
+    second = rows.join(F.broadcast(least), "frequent").where("doc_id <> least").groupBy("frequent", "least").agg(F.min("doc_id").alias("second"))
+    found = rows.join(F.broadcast(second), "frequent")  # a row for each that the sample holds to be frequent
+    return found.select("doc_id", "start", "end", F.when(F.col("doc_id") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("other"))
+
+
 def _merged(spans: DataFrame) -> DataFrame:
     spans = spans.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
     w = Window.partitionBy("doc_id").orderBy("start", "end")
