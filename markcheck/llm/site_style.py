@@ -2,20 +2,20 @@
 
 The DOMs of a host are merged: a node of the merged tree stands for one path of styled elements (tag and class) on
 all pages of the host. Its presentation importance is the entropy of the child styles that pages show there, its
-content importance one minus the mean entropy of its words over pages: boilerplate is spread evenly, articles say
-something else on every page. Branches whose combined importance is low are cut from each page.
+content importance one minus the mean entropy of its sentences over pages: boilerplate is spread evenly, articles
+say something else on every page. Branches whose combined importance is low are cut from each page.
 
 Elements that say what they are (navigation, scripts, forms) are presentation nodes of known importance. A core (an
 article or a main part) is a bonus: what lies outside the cores of a page goes, and a block inside one goes where the
 tree shows it clearly to repeat.
 
 Entropies are divided by their maximum, the log of the number of pages that show the node, so other pages and hosts do
-not matter to it. Copies of a page count once, and one page that says something else is added to those seen, as two
-pages alone cannot tell boilerplate from a reprint. Hosts with few pages are also merged: of a node's importance on
-its host and on all such hosts, the lesser counts.
+not matter to it. Copies of a page share the weight of one, and one page that says something else is added to those
+seen, as two pages alone cannot tell boilerplate from a reprint; what only one page shows is important. Hosts with few
+pages are also merged: of a node's importance on its host and on all such hosts, the lesser counts.
 
-Counts are combined inside each task before they are summed per host and node, so a hot host costs every task one
-row per node and word; only the sums that entropies need are kept, never the pages of a host together.
+Nodes and sentences are counted by their hashes, combined inside each task before they are summed, so a hot host costs
+every task one row per node and sentence. A page is given the unimportant paths of its host, not the tree.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,12 @@ KEEP = 0.35
 CORE_BONUS = 0.2
 #: Weight of a node's own presentation against its children's, by number of styles seen.
 GAMMA = 0.9
-#: Parts into which each host's counts are dealt before the final sum.
-SALTS = 16
 #: Levels of a path.
 DEEPEST = 60
+#: Counts that a task holds before it passes them on.
+HELD = 200_000
+#: Texts with copies whose weights are broadcast to the scan of the pages; more are joined by shuffling the pages.
+BROADCAST = 1_000_000
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +60,9 @@ NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|c
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _CLASS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SENTENCES = re.compile(r"[.!?:;\u3002\uff01\uff1f\u061f\u0964]+(?=\s|\Z)|\n+").split
 _WORDS = re.compile(r"\w+").findall
+_SERIAL = re.compile(r"\d{3,}")  # of one page, like the number of a post
 
 
 class Node:
@@ -66,7 +71,7 @@ class Node:
     def __init__(self, name: str, attributes: str = ""):
         self.name, self.children = name, []
         labels = " ".join(v for m in _CLASS.finditer(attributes) for v in m.groups()[1:] if v) if attributes else ""
-        self.style = f"{name}.{'.'.join(sorted(labels.split()))}" if labels else name
+        self.style = f"{name}.{'.'.join(sorted(_SERIAL.sub('#', labels).split()))}" if labels else name
         self.core = name in CORE
         # a name or a form may be that of a frame around the page, see _spare
         self.named = name not in FRAMES and (name == "form" or bool(labels and NOISE_NAMES.search(labels)))
@@ -175,42 +180,63 @@ def _signature(node: Node) -> str:
     return " ".join(dict.fromkeys(c.style for c in node.children if isinstance(c, Node)))
 
 
+def _key(path: str) -> int:
+    """A path's hash as Spark's long."""
+    return xxhash.xxh64_intdigest(path) - 2**63
+
+
+def _sentences(node: Node) -> list[str]:
+    """What a node says by itself, in lower case and without punctuation."""
+    return [t for c in node.children if isinstance(c, str) for part in _SENTENCES(c.lower()) if (t := " ".join(_WORDS(part)))]
+
+
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, host and path: how often a child style or a word was seen, and the sum of c log c over pages."""
-    sums: dict[tuple, list] = defaultdict(lambda: [0.0, 0.0, 0])
+    """Per task and node: on how many pages it is, and how often a child style or a sentence was seen there.
+
+    A node is known by a hash of host and path; host and path come with its own row only. ``clogc`` is the sum of
+    c log c over pages.
+    """
+    sums: dict[tuple, list] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    names: dict[int, tuple[str, str]] = {}
+    types = {"node": pa.int64(), "at": pa.int64(), "kind": pa.string(), "feature": pa.int64(), "c": pa.float64(), "clogc": pa.float64(), "pages": pa.float64(), "site": pa.string(), "path": pa.string()}
 
     def flush() -> pa.RecordBatch:
-        keys = list(sums)
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
-        values = [pa.array([sums[k][i] for k in keys], (pa.float64(), pa.float64(), pa.int64())[i]) for i in range(3)]
+        rows = [(*k, *v, *(names[k[0]] if k[2] == "node" else (None, None))) for k, v in sums.items()]
         sums.clear()
-        return pa.RecordBatch.from_arrays([*columns, *values], ["site", "path", "kind", "feature", "c", "clogc", "pages"])
+        names.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
     for b in batches:
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen: dict[str, Counter] = defaultdict(Counter)
+        for site, page, weight in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            said: dict[str, Counter] = defaultdict(Counter)
             styles: dict[str, set] = defaultdict(set)
             for path, node in _walk(parse(page)):
                 styles[path].add(_signature(node))
-                seen[path].update(w for c in node.children if isinstance(c, str) for w in _WORDS(c.lower()))
+                said[path].update(_sentences(node))
             for path, shown in styles.items():
-                sums[host, path, "node", ""][2] += 1
+                node, at = _key(f"{site}\n{path}"), _key(path)
+                names[node] = (site, path)
+                sums[node, at, "node", 0][2] += weight
                 for style in shown:
-                    s = sums[host, path, "style", style]
-                    s[0] += 1
-                    s[2] += 1
-                for word, c in seen[path].items():
-                    s = sums[host, path, "word", word]
-                    s[0] += c
-                    s[1] += c * math.log(c)
-                    s[2] += 1
-        if len(sums) > 200_000:
-            yield flush()
+                    s = sums[node, at, "style", _key(style)]
+                    s[0] += weight
+                    s[2] += weight
+                for text, c in said[path].items():
+                    s = sums[node, at, "text", _key(text)]
+                    s[0] += weight * c
+                    s[1] += weight * c * math.log(c)
+                    s[2] += weight
+            if len(sums) > HELD:
+                yield flush()
     yield flush()
 
 
-def _importance(nodes: dict[str, tuple[int, float, float]]) -> dict[str, float]:
-    """Combined importance by path of one tree; a node is (styles, presentation, content)."""
+def _importance(nodes: dict[str, tuple[int, float, float]], others: dict[str, int] | None = None) -> dict[str, float]:
+    """Combined importance by path of one tree; a node is (styles, presentation, content).
+
+    ``others`` counts the children of a path that only one page shows; these are important.
+    """
+    others = others or {}
     below: dict[str, list[str]] = defaultdict(list)
     for path in nodes:
         if path:
@@ -218,60 +244,75 @@ def _importance(nodes: dict[str, tuple[int, float, float]]) -> dict[str, float]:
     out: dict[str, float] = {}
     for path in sorted(nodes, key=lambda p: -p.count("/")):
         styles, presentation, content = nodes[path]
-        if below[path]:
+        seldom = others.get(path, 0)
+        if below[path] or seldom:
             weight = GAMMA**styles
-            inner = sum(out[c] for c in below[path]) / len(below[path])
+            inner = (sum(out[c] for c in below[path]) + seldom) / (len(below[path]) + seldom)
             out[path] = max((1 - weight) * presentation + weight * inner, content)
         else:
             out[path] = content
     return out
 
 
-def _nodes(features: DataFrame, *key: str) -> DataFrame:
-    """Styles, presentation and content importance by ``key`` and path of summed features."""
-    # of a word: entropy over pages; of a style: its part of the entropy over styles
+def _nodes(features: DataFrame, key: str) -> DataFrame:
+    """Pages, styles, presentation and content importance by ``key`` of summed features."""
+    # of a sentence: entropy over pages; of a style: its part of the entropy over styles
     even = F.greatest(F.lit(0.0), F.log("c") - F.col("clogc") / F.col("c"))
-    is_style, is_word = F.col("kind") == "style", F.col("kind") == "word"
-    parts = features.groupBy(*key, "path", "salt").agg(
+    is_style, is_text = F.col("kind") == "style", F.col("kind") == "text"
+    nodes = features.groupBy(key).agg(
         F.sum(F.when(F.col("kind") == "node", F.col("pages"))).alias("n"),
-        F.sum(F.when(is_style, F.col("pages"))).alias("shown"),
+        F.coalesce(F.sum(F.when(is_style, F.col("pages"))), F.lit(0.0)).alias("shown"),
         F.count_if(is_style).alias("styles"),
-        F.sum(F.when(is_style, F.col("pages") * F.log("pages"))).alias("style_clogc"),
-        F.sum(F.when(is_word, even)).alias("even"),
-        F.count_if(is_word).alias("words"),
+        F.coalesce(F.sum(F.when(is_style, F.col("pages") * F.log("pages"))), F.lit(0.0)).alias("style_clogc"),
+        F.coalesce(F.sum(F.when(is_text, even)), F.lit(0.0)).alias("even"),
+        F.count_if(is_text).alias("texts"),
     )
-    nodes = parts.groupBy(*key, "path").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "shown", "styles", "style_clogc", "even", "words")))
-    n, shown = F.col("n").cast("double"), F.greatest(F.col("shown"), F.lit(1)).cast("double")
+    n, shown = F.col("n"), F.greatest(F.col("shown"), F.lit(1.0))
     base = F.log(F.greatest(n, F.lit(2.0)))
-    presentation = F.when(n == 1, 1.0).otherwise(F.least(F.lit(1.0), (F.log(shown) - F.col("style_clogc") / shown) / base))
-    content = F.when(F.col("words") == 0, 0.0).when(n == 1, 1.0).otherwise(1 - (1 - 1 / n) * F.col("even") / F.col("words") / base)
-    return nodes.select(*key, "path", F.col("styles").cast("long").alias("styles"), presentation.alias("presentation"), content.alias("content"))
-
-
-def trees(pages: DataFrame, few: int = FEW_PAGES) -> DataFrame:
-    """``site, paths, importance`` of ``pages(site, html)``, as two arrays per site."""
-    seen = pages.distinct().mapInArrow(_observe, "site string, path string, kind string, feature string, c double, clogc double, pages long")
-    seen = seen.withColumn("salt", F.pmod(F.xxhash64("feature"), F.lit(SALTS)))
+    presentation = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(shown) - F.col("style_clogc") / shown) / base))
+    content = F.when(F.col("texts") == 0, 0.0).otherwise(1 - (1 - 1 / n) * F.col("even") / F.col("texts") / base)
+    alone = F.round("n", 6) <= 1
+    return nodes.select(key, "n", "styles", F.when(alone, 1.0).otherwise(presentation).alias("presentation"), F.when(alone, 1.0).otherwise(content).alias("content"))
+
+
+def trees(pages: DataFrame, keep: float = KEEP, few: int = FEW_PAGES) -> DataFrame:
+    """``site, paths, importance`` of ``pages(site, html)``: the hashes of a site's paths under ``keep``."""
+    pages = pages.withColumn("print", F.xxhash64("html"))
+    copies = materialize(pages.groupBy("site", "print").agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
+    side = F.broadcast(copies) if copies.count() <= BROADCAST else copies
+    weighed = pages.join(side, ["site", "print"], "left").select("site", "html", F.coalesce(1 / F.col("n"), F.lit(1.0)).alias("weight"))
+    seen = weighed.mapInArrow(_observe, "node long, at long, kind string, feature long, c double, clogc double, pages double, site string, path string")
     sums = [F.sum(c).alias(c) for c in ("c", "clogc", "pages")]
-    features = materialize(seen.groupBy("site", "path", "kind", "feature", "salt").agg(*sums), "features")
-    small = features.where((F.col("path") == "") & (F.col("kind") == "node") & (F.col("pages") < few)).select("site")
-    pooled = features.join(small, "site", "left_semi").groupBy("path", "kind", "feature", "salt").agg(*sums)
-    shared = _nodes(pooled).select("path", F.col("presentation").alias("p"), F.col("content").alias("c"))
-    own = _nodes(features, "site").join(small.withColumn("small", F.lit(True)), "site", "left")
-    nodes = own.withColumn("at", F.when(F.col("small"), F.col("path"))).join(shared.withColumnRenamed("path", "at"), "at", "left")
-    least = [F.least(a, b).alias(a) for a, b in (("presentation", "p"), ("content", "c"))]  # of nulls, the other one
-    nodes = nodes.select("site", F.struct("path", "styles", *least).alias("node"))
-    merged = nodes.groupBy("site").agg(F.collect_list("node").alias("nodes"))  # the styled paths of a site, not its pages
+    features = seen.groupBy("node", "at", "kind", "feature").agg(*sums, *(F.max(c).alias(c) for c in ("site", "path")))
+    features = materialize(features, "features")
+    names = features.where("kind = 'node'").select("node", "at", "site", "path", "pages")
+    small = names.where((F.col("path") == "") & (F.col("pages") < few - 0.5)).select("site")
+    at_small = names.join(small, "site", "left_semi").select("node", "at")
+    pooled = features.drop("site", "path").join(at_small.select("node"), "node", "left_semi").groupBy("at", "kind", "feature").agg(*sums)
+    shared = _nodes(pooled, "at").where("round(n, 6) > 1").select("at", F.col("presentation").alias("p"), F.col("content").alias("t"))
+    shared = at_small.join(shared, "at").drop("at")
+    nodes = _nodes(features, "node").join(names.select("node", "site", "path"), "node").join(shared, "node", "left")
+    least = [F.least(a, b).alias(a) for a, b in (("presentation", "p"), ("content", "t"))]  # of nulls, the other one
+    nodes = nodes.select("site", "path", "styles", *least, (F.col("p").isNull() & (F.round("n", 6) <= 1)).alias("seldom"))
+    # what one page alone shows only counts, so a row per site holds the paths of its layouts
+    up = F.regexp_replace("path", "/[^/]*$", "")
+    counted = nodes.where("seldom and path <> ''").groupBy("site", up.alias("path")).agg(F.count("*").alias("others"))
+    known = nodes.where("not seldom").select("site", "path", "styles", "presentation", "content").unionByName(counted, allowMissingColumns=True)
+    merged = known.groupBy("site").agg(F.collect_list(F.struct("path", "styles", "presentation", "content", "others")).alias("nodes"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_importance({n["path"]: (n["styles"], n["presentation"], n["content"]) for n in nodes}) for nodes in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["site", "paths", "importance"])
+            low = []
+            for nodes in b.column(1).to_pylist():
+                tree = {n["path"]: (n["styles"], n["presentation"], n["content"]) for n in nodes if n["others"] is None}
+                found = _importance(tree, {n["path"]: n["others"] for n in nodes if n["others"] is not None})
+                low.append({_key(p): x for p, x in found.items() if x < keep})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in low], pa.list_(pa.int64())), pa.array([list(x.values()) for x in low], pa.list_(pa.float64()))], ["site", "paths", "importance"])
 
-    return merged.mapInArrow(weigh, "site string, paths array<string>, importance array<double>")
+    return merged.mapInArrow(weigh, "site string, paths array<bigint>, importance array<double>")
 
 
-def _blocks(parts: list[tuple[str, Node]], importance: dict[str, float], keep: float, core: bool) -> list[str]:
+def _blocks(parts: list[tuple[str, Node]], importance: dict[int, float], keep: float, core: bool) -> list[str]:
     """Texts of the blocks that stay, in page order, of ``parts`` as (path of the parent, node)."""
     out: list[list[str]] = [[]]
     stack = [(iter([node]), path, core, False, False) for path, node in reversed(parts)]
@@ -293,13 +334,13 @@ def _blocks(parts: list[tuple[str, Node]], importance: dict[str, float], keep: f
                 out.append([])
             # what matters below an unimportant node stays; in a core, running text is not torn apart
             if not core or child.name in BLOCK:
-                low = importance.get(where, 1.0) + CORE_BONUS * core < keep
+                low = importance.get(_key(where), 1.0) + CORE_BONUS * core < keep
             stack.append((iter(child.children), where, core, low, child.name in BLOCK))
     return [t for parts in out if (t := " ".join(entities.unescape("".join(parts)).split()))]
 
 
-def extract(page: str | None, importance: dict[str, float], keep: float = KEEP) -> str:
-    """Main text of one page; a page with a core keeps of the core what does not repeat, and nothing else."""
+def extract(page: str | None, importance: dict[int, float], keep: float = KEEP) -> str:
+    """Main text of one page, given the importance of its site's paths by their hashes; a page with a core keeps of the core what does not repeat, and nothing else."""
     if not page:
         return ""
     root = parse(page)
@@ -327,7 +368,7 @@ def _cores(root: Node) -> list[tuple[str, Node, bool]]:
 
 def _apply(keep: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, float]] = {}
+        known: dict[str, dict[int, float]] = {}
         for b in batches:
             texts = []
             html, host, paths, values = (b.column(b.schema.get_field_index(n)) for n in ("html", "site", "paths", "importance"))
@@ -351,7 +392,7 @@ def main_text(pages: DataFrame, keep: float = KEEP, few: int = FEW_PAGES, id_col
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("site"))
-    merged = materialize(trees(rows.select("site", "html"), few), "style-trees")
+    merged = materialize(trees(rows.select("site", "html"), keep, few), "style-trees")
     with_tree = rows.join(merged, "site", "left").select("page_id", "url", "html", "site", "paths", "importance")
     id_type = rows.schema["page_id"].dataType.simpleString()
     out = with_tree.mapInArrow(_apply(keep), f"page_id {id_type}, url string, text string")
