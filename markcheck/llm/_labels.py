@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("label is not null and id is not null")
     known = known.where(fold(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(bound)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "id")  # of ``bound`` ids
     return materialize(texts.select("id", "text", "label"), f"sample-{label}")
 
 

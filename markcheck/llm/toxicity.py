@@ -1,9 +1,9 @@
 """Compression-distance classification of toxic text.
 
-Two zstandard dictionaries are trained on labelled text: the ordinary one holds what ordinary documents are made
-of, the toxic one holds that and what is peculiar to toxic documents. Every window of a text is compressed with
-both; a window that the toxic dictionary shortens by some bytes more is toxic material. How many windows pass each
-of several byte thresholds, per document length, is calibrated to a probability on the labelled sample.
+Two zstandard dictionaries are trained apart, each on the labelled text of one class alone: a dictionary holds the
+windows that most documents of its class have. Every window of a text is compressed with both; one that the toxic
+dictionary shortens by some bytes more is toxic material. How many windows pass each of several byte thresholds, per
+document length, is calibrated to a probability on the labelled sample.
 
 A window is a run of letters. A fixed frame, which both dictionaries end with, follows it: zstandard starts no
 match within the last bytes of its input, and the frame keeps the words out of that zone.
@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markcheck.llm._labels import Logistic, fold, labelled_sample
+from markcheck.scratch import materialize
 
 #: Labelled documents that the fit reads at most.
 SAMPLE = 20_000
-#: Windows in each dictionary at most.
-TOXIC_WINDOWS, ORDINARY_WINDOWS = 3_000, 8_000
+#: Windows in each dictionary at most, which bounds its size as the trainer of zstandard does.
+WINDOWS = 16_000
+#: Documents that hold a window of a dictionary: three, or this share of the documents of the smaller class.
+SUPPORT = 0.01
 #: Byte thresholds that are calibrated.
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
 LEVEL = 12
@@ -47,7 +50,7 @@ class Distance(dict):
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         super().__init__()
-        self.toxic, self.ordinary = self._compressor(ordinary + toxic), self._compressor(ordinary)
+        self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
 
     @staticmethod
     def _compressor(content: bytes):
@@ -107,18 +110,20 @@ def _features(model) -> object:
     return run
 
 
+def _trained(seen: DataFrame, documents: str, least: int) -> bytes:
+    """A dictionary of the windows of most documents; those come last, where offsets are shortest."""
+    top = seen.where(F.col(documents) >= least).orderBy(F.col(documents).desc(), "window").limit(WINDOWS).select("window").collect()
+    return b"".join(b" " + r.window.encode() + b" " for r in reversed(top))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Trains dictionaries and thresholds on at most ``sample`` labelled documents outside the held-out fold."""
     rows = labelled_sample(docs, labels, label, folds, held_out, sample, id_col, text_col)
-    n = {bool(r.label > 0): r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_plain = n.get(True, 0), n.get(False, 0)
     seen = rows.mapInArrow(_count_windows, "window string, ordinary long, toxic long").groupBy("window").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    odds = F.log(((F.col("toxic") + 0.1) * (n_plain + 0.2)) / ((F.col("ordinary") + 0.1) * (n_toxic + 0.2)))
-    seen = seen.withColumn("odds", odds)
-    peculiar = seen.where("toxic >= 3 and odds > 2.5").orderBy((F.col("toxic") * F.col("odds")).desc(), "window").limit(TOXIC_WINDOWS)
-    common = seen.where("odds < 0.7 and ordinary > 0").orderBy(F.col("ordinary").desc(), "window").limit(ORDINARY_WINDOWS)
-    # What matters most comes last, where offsets are shortest.
-    toxic, ordinary = (b"".join(b" " + r.window.encode() + b" " for r in reversed(part.collect())) for part in (peculiar, common))
+    seen = materialize(seen, "windows")
+    n = {bool(r.label > 0): r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    least = max(3, math.ceil(SUPPORT * min(n.get(True, 0), n.get(False, 0))))
+    toxic, ordinary = (_trained(seen, c, least) for c in ("toxic", "ordinary"))
     model = ToxicityModel(toxic, ordinary)
     known = rows.mapInArrow(_features(rows.sparkSession.sparkContext.broadcast(model)), "x array<double>, label int").collect()
     model.calibrate = Logistic(np.array([r.x for r in known]), np.array([float(r.label > 0) for r in known]))
