@@ -127,11 +127,12 @@ class Templates:
             by_class[math.ceil(2 * math.log2(n))].append(i)
         self.classes = []
         for members in by_class.values():
-            longest, shortest = max(lengths[i] for i in members), min(lengths[i] for i in members)
+            longest = max(lengths[i] for i in members)
             stride = max(1, longest // 4)
             window = longest + stride
             # a window's shingles, of which the template's share is least for the shortest template
-            alike = containment * (shortest - WIDTH + 1) / (window - WIDTH + 1 + (1 - containment) * (shortest - WIDTH + 1))
+            fewest = min(len(self.sets[i]) for i in members)
+            alike = containment * fewest / (window - WIDTH + 1 + (1 - containment) * fewest)
             bands = math.ceil(math.log(1 - probability) / math.log(1 - alike**ROWS))
             seeds = mix(np.arange(1, bands * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
             index = defaultdict(list)

@@ -40,6 +40,36 @@ def test_band_settings_reach_the_asked_probability():
     for window, stride, seeds, index in scan.classes:
         assert len(seeds) % license_scan.ROWS == 0 and index and stride <= window
         assert len(np.unique(seeds)) == len(seeds)
+        # a window around the shortest template of the class, of which the asked share is there
+        template = min(len(scan.sets[i]) for found in index.values() for i in found)
+        shingles = window - license_scan.WIDTH + 1
+        alike = 0.75 * template / (shingles + 0.25 * template)
+        assert 1 - (1 - alike**license_scan.ROWS) ** (len(seeds) // license_scan.ROWS) >= 0.9999
+
+
+def test_the_query_finds_what_brute_force_finds(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        name, template = rng.choice(license_scan.TEMPLATES)
+        texts.append(" ".join([*(f"w{rng.randrange(99)}" for _ in range(rng.randrange(300))), *template.split(), *(f"w{rng.randrange(99)}" for _ in range(rng.randrange(300)))]))
+    texts += [" ".join(f"w{rng.randrange(99)}" for _ in range(500))]
+    out = {}
+    for r in license_scan.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        out.setdefault(r.doc_id, []).append(r)
+    for k, text in enumerate(texts):
+        expected = {n for n, t in license_scan.TEMPLATES if occurs(text, t)}
+        found = {r.license for r in out.get(k, [])}
+        assert found <= expected and bool(found) == bool(expected)
+        words = license_scan.words_of(text.encode())
+        for r in out.get(k, []):
+            inside = {tuple(words[i : i + 5]) for i in range(r.start_word, r.end_word - 4)}
+            shares = []
+            for _, t in (x for x in license_scan.TEMPLATES if x[0] == r.license):
+                wanted = license_scan.words_of(t.encode())
+                grams = {tuple(wanted[i : i + 5]) for i in range(len(wanted) - 4)}
+                shares.append(len(grams & inside) / len(grams))
+            assert min(abs(x - r.containment) for x in shares) < 1e-9
 
 
 def test_edge_rows(spark):
