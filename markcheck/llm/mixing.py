@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markcheck.scratch import materialize
@@ -18,13 +18,13 @@ from markcheck.scratch import materialize
 BITS, STEP = 60, 12
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")).alias("src"),  # null sorts last
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^ \\t\\n\\x0B\\f\\r]+")), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """Source (null sorts last), size and hash of a row."""
+    return {
+        "src": F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")),
+        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^ \\t\\n\\x0B\\f\\r]+")), F.lit(0)).cast("long"),
+        "h": F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long"),
+    }
 
 
 def _ranked(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -60,16 +60,11 @@ def _totals(ranked: DataFrame, over, stop):
     ).first()
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken, repeats``.
+def _plan(base: DataFrame, weights: Sequence[float], cap: int) -> DataFrame:
+    """``src, source_size, target, whole, under`` of ``base(src, size, h)``: one row per source.
 
-    Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes (words); a
-    target stops at ``cap`` times its source and the excess is shared again. A document is taken as often as its
-    source fits whole into the target, and once more if its hash is under the source's threshold. The document at
-    the threshold is taken when that leaves the sum nearer to the target. Null and empty texts have size 0; a null
-    source is a source; rows that repeat an id share its hash and so its fate; an empty table gives no rows.
+    A document is taken ``whole`` times, and once more if its hash is lower than ``under``.
     """
-    base = materialize(_sized(docs, id_col, text_col, source_col), "mix-base")
     hist = materialize(base.groupBy("src", F.shiftright("h", BITS - STEP).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n")), "mix-hist")
     ranked = _ranked(hist.groupBy("src").agg(F.sum("s").alias("source_size")), weights)
     ranked = materialize(ranked, "mix-ranked")
@@ -88,16 +83,38 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_
         cuts = materialize(_cut(finer), "mix-cuts")
     takes = (2 * F.col("before") + F.col("s") <= 2 * F.col("rest")).cast("long")
     plan = plan.join(cuts.select("src", (F.shiftleft(F.col("b") + takes, shift)).alias("under")), "src", "left")
+    return materialize(plan.select("src", "source_size", "target", "whole", F.coalesce("under", F.lit(0)).alias("under")), "mix-plan")
 
-    repeats = (F.col("whole") + F.coalesce((F.col("h") < F.col("under")).cast("long"), F.lit(0))).cast("long")
-    return base.join(plan, "src").select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: ``doc_id, size, source_size, target, taken, repeats``.
+
+    Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes (words); a
+    target stops at ``cap`` times its source and the excess is shared again. A document is taken as often as its
+    source fits whole into the target, and once more if its hash is under the source's threshold. The document at
+    the threshold is taken when that leaves the sum nearer to the target. Null and empty texts have size 0; a null
+    source is a source; rows that repeat an id share its hash and so its fate; an empty table gives no rows.
+    """
+    base = materialize(docs.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in _keys(id_col, text_col, source_col).items())), "mix-base")
+    rows = base.join(_plan(base, weights, cap), "src")
+    repeats = (F.col("whole") + (F.col("h") < F.col("under")).cast("long")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken, repeats`` added."""
-    plan = mix(docs, weights, cap, id_col, text_col, source_col).where("repeats > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__id")
-    plan = plan.select("__id", *(F.col(c) for c in ("size", "source_size", "target", "taken", "repeats")))
-    return docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).drop("__id")
+    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken, repeats`` added.
+
+    An added column whose name ``docs`` has is named ``mix_`` and that name. Every row has its own size, also where
+    rows repeat an id; texts are not shuffled, as only one row per source is joined.
+    """
+    keys = _keys(id_col, text_col, source_col)
+    base = materialize(docs.select(*(c.alias(n) for n, c in keys.items())), "mix-base")
+    plan = _plan(base, weights, cap)
+    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
+    rows = docs.withColumns({f"__{n}": c for n, c in keys.items()}).join(plan, "__src")
+    repeats = (F.col("__whole") + (F.col("__h") < F.col("__under")).cast("long")).cast("long")
+    added = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": F.col("__size") * repeats, "repeats": repeats}
+    return rows.where(repeats > 0).select(*docs.columns, *(c.alias(f"mix_{n}" if n in docs.columns else n) for n, c in added.items()))
 
 
 def _cut(buckets: DataFrame) -> DataFrame:

@@ -70,3 +70,13 @@ def test_rows_that_are_taken(spark):
     out = mixing.mixed(docs)
     assert out.columns == [*docs.columns, "size", "source_size", "target", "taken", "repeats"]
     assert out.where("taken <> size * repeats or repeats = 0").count() == 0 and abs(out.agg({"taken": "sum"}).first()[0] - 400) <= 20
+
+
+def test_rows_that_are_taken_keep_their_own_numbers(spark):
+    rows = [(1, "w " * 500, "a", "mine"), (1, "w w w", "a", "mine"), (2, None, None, "mine"), (3, "x", "b", "mine"), (None, "x y", "b", "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    out = mixing.mixed(docs)
+    assert out.columns == ["doc_id", "text", "source", "size", "mix_size", "source_size", "target", "taken", "repeats"]
+    found = {(r.doc_id, r.mix_size, r.taken) for r in out.collect()}
+    assert found <= {(r.doc_id, r.size, r.taken) for r in mixing.mix(docs).collect()} and {n for d, n, _ in found if d == 1} <= {3, 500}
+    assert mixing.mixed(docs.limit(0)).count() == 0
