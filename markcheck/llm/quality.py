@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markcheck.llm._labels import fold, labelled_sample
+from markcheck.llm.shingles import SLICE_BYTES, slices
 
-#: Labelled documents that the fit reads at most.
-SAMPLE = 4_000
+#: Labelled documents, and bytes of their texts, that the fit reads at most; half as many bytes reach the driver.
+SAMPLE, SAMPLE_BYTES = 4_000, 64_000_000
 #: UTF-8 bytes of a passage; a shorter rest joins the passage before it.
 PASSAGE, REST = 1_000, 250
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 12, 64, 4e-3, 1e-4
@@ -145,7 +146,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Learns from at most ``sample`` labelled documents outside the held-out fold; passages are encoded on the executors."""
-    known = labelled_sample(docs, labels, label, folds, held_out, sample, id_col, text_col)
+    known = labelled_sample(docs, labels, label, folds, held_out, sample, id_col, text_col, SAMPLE_BYTES)
     encoded = known.mapInArrow(_encode, f"id {known.schema['id'].dataType.simpleString()}, bag binary, label int")
     rows = sorted(encoded.collect(), key=lambda r: (str(r.id), r.bag))  # the order of batches is part of the fit
     bags = [np.frombuffer(r.bag, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
@@ -154,12 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
 def _scores(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores: list[float] = []
-            texts = _bytes(b, "text")
-            for lo in range(0, len(texts), 256):
-                bags = [passages(t) for t in texts[lo : lo + 256]]
-                scores += model.value(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])])).tolist()
+        for b in slices(batches, 256, SLICE_BYTES):
+            bags = [passages(t) for t in _bytes(b, "text")]
+            scores = model.value(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])])).tolist()
             keep = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(scores, pa.float64())], [*keep, "score"])
 
