@@ -35,7 +35,7 @@ SUPPORT = 0.01
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
 LEVEL = 12
 #: Windows whose distance a worker remembers; beyond it the memory is emptied, which changes no score.
-MEMO = 400_000
+MEMO = 200_000
 
 _FRAME = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ[]{}"
 _windows = re.compile(r"[^\W\d_]+").findall

@@ -1,10 +1,13 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from markcheck.llm import quality, toxicity
+from markcheck.llm._labels import labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -70,3 +73,29 @@ def test_attention_gradients():
         down = loss()
         w[name][at] = old
         assert abs((up - down) / (2 * eps) - grads[name][at]) < 1e-6
+
+
+def test_distances_equal_plain_compression(spark):
+    docs = spark.createDataFrame([(k, ("you utter moron " if k % 2 else "a calm word ") * 3 + f"text {k % 7}") for k in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    model = toxicity.fit(docs, labels)
+    assert b" moron " in model.toxic and b" moron " not in model.ordinary and b" calm " in model.ordinary and b" calm " not in model.toxic
+    distance, text = model.distance(), "You calm moron, unseen wörd text"
+
+    def size(content, window):
+        trained = zstandard.ZstdCompressionDict(content + toxicity._FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compressor = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(compressor.compress(b" " + window.encode() + b" " + toxicity._FRAME))
+
+    gains = [size(model.ordinary, w) - size(model.toxic, w) for w in ("you", "calm", "moron", "unseen", "wörd", "text")]
+    assert [distance[w] for w in toxicity.windows(text)] == gains and gains[2] > 0 > gains[1]
+    features = distance.features(text)
+    assert features[0] == max(gains) and features[2] == pytest.approx(math.log1p(sum(g >= toxicity.THRESHOLDS[0] for g in gains)))
+    assert {r.predicted for r in toxicity.score(docs, model).where("doc_id % 2 = 1").collect()} == {1}
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * (50 + k)) for k in range(100)] + [(200, "y" * 5000)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    kept = labelled_sample(docs, labels, "quality", 3, 1, 1000, n_bytes=2000).collect()
+    assert 10 < len(kept) and sum(len(r.text) for r in kept) <= 2000

@@ -1,4 +1,5 @@
 import html
+import math
 import re
 
 from markcheck.llm import site_style
@@ -90,3 +91,70 @@ def test_frames_named_like_noise_keep_their_text():
     assert site_style.extract("<nav>" + "<a>link to something</a>" * 20 + f"</nav>{body}", {}) == "The story goes on for a while"
     # cores named as related do not replace the text
     assert "goes on" in site_style.extract(f"{body * 3}<div class=related><article>Card</article></div>", {})
+
+
+def brute_importance(pages):
+    """Importance by path of the pages of one site, from the definition."""
+    pages = [site_style.parse(p) for p in dict.fromkeys(pages)]
+    nodes, children = {}, {}
+    for k, root in enumerate(pages):
+        for path, node in site_style._walk(root):
+            per_page = nodes.setdefault(path, {}).setdefault(k, (set(), []))
+            per_page[0].add(tuple(dict.fromkeys(c.style for c in node.children if not isinstance(c, str))))
+            per_page[1].extend(site_style._sentences(node))
+            if path:
+                children.setdefault(path.rpartition("/")[0], set()).add(path)
+
+    def entropy(counts):
+        return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
+
+    def content(path):
+        seen = nodes[path]
+        if len(seen) == 1:
+            return 1.0
+        said = {t for _, texts in seen.values() for t in texts}
+        if not said:
+            return 0.0
+        even = sum(entropy([c for _, texts in seen.values() if (c := texts.count(t))]) for t in said) / len(said)
+        return 1 - (1 - 1 / len(seen)) * even / math.log(len(seen))
+
+    def importance(path):
+        seen, own = nodes[path], content(path)
+        if len(seen) == 1:
+            return 1.0
+        if path not in children:
+            return own
+        shown = [style for styles, _ in seen.values() for style in styles]
+        kinds = [shown.count(s) for s in set(shown)]
+        weight = site_style.GAMMA ** len(kinds)
+        inner = sum(importance(c) for c in children[path]) / len(children[path])
+        return max((1 - weight) * min(1.0, entropy(kinds) / math.log(len(seen))) + weight * inner, own)
+
+    return {site_style._key(p): importance(p) for p in nodes}
+
+
+def test_importance_equals_brute_force(spark):
+    def page(k):
+        story = " ".join(f"story{k}x{j}." for j in range(9))
+        extra = "<div class=rare><i>Now and then.</i></div>" if k % 4 == 0 else "<ul><li>a</li></ul>" if k % 3 else ""
+        return f"<body><div class=top>Home. About us! Contact</div><div class=b{k % 2}><p>{story}</p>{extra}</div><div id=post-{k}123 class=low>All rights. Page {k % 5}.</div><b>once {k}</b></body>"
+
+    pages = [page(k) for k in range(24)] + [page(3), page(3)]
+    expected = brute_importance(pages)
+    found = site_style.trees(spark.createDataFrame([("s", p) for p in pages], "site string, html string"), keep=2.0).first()
+    mine = dict(zip(found.paths, found.importance, strict=True))
+    assert {k for k, x in expected.items() if x < 1} <= mine.keys() <= expected.keys()
+    assert all(abs(mine[k] - expected[k]) < 1e-9 for k in mine)
+
+
+def test_the_tree_finds_an_article_without_telling_names(spark):
+    def page(k):
+        story = "".join(f"<p>{' '.join(f'w{k}x{i}x{j}' for j in range(12))}.</p>" for i in range(3))
+        return f"<div><a>Home</a><a>News</a></div><div><h2>Title {k}</h2>{story}</div><div><p>Write to us.</p><p>All rights reserved.</p></div>"
+
+    rows = [(k, f"http://plain.example/{k}", page(k)) for k in range(20)]
+    for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = r.page_id
+        kept = [f"Title {k}", *(" ".join(f"w{k}x{i}x{j}" for j in range(12)) + "." for i in range(3))]
+        blocks = r.text.split("\n\n")
+        assert [b for b in blocks if b in kept] == kept
