@@ -100,23 +100,48 @@ def normalized_glob(pattern: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """Anchored regular expression of a glob whose ``*`` also crosses slashes."""
-    out = ["^"]
-    at = 0
+    """Anchored regular expression of a glob whose ``*`` also crosses slashes; ``{a,b}`` and ``[a-z]``, ``[!a-z]`` count too."""
+    out, at, open_braces = ["^"], 0, 0
     while at < len(pattern):
+        c, close = pattern[at], pattern.find("]", at + 2)
         if pattern.startswith("**/", at):
             out.append("(?:.*/)?")
-            at += 3
+            at += 2
         elif pattern.startswith("/**", at) and at + 3 == len(pattern):
             out.append("/.*")
-            at += 3
-        elif pattern[at] == "*":
-            out.append(".*")
-            at += 1
-        elif pattern[at] == "?":
-            out.append(".")
-            at += 1
+            at += 2
+        elif c in "*?":
+            out.append(".*" if c == "*" else ".")
+        elif c == "[" and close > 0:
+            inside = pattern[at + 1 : close]
+            out.append("[" + ("^" + inside[1:] if inside[0] in "!^" else inside).replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&") + "]")
+            at = close
+        elif c == "{" and "}" in pattern[at:]:
+            out.append("(?:")
+            open_braces += 1
+        elif c in ",}" and open_braces:
+            out.append("|" if c == "," else ")")
+            open_braces -= c == "}"
         else:
-            out.append("\\" + pattern[at] if not (pattern[at].isalnum() or pattern[at] in "_/ ") else pattern[at])
-            at += 1
+            out.append(c if c.isalnum() or c in "_/ " else "\\" + c)
+        at += 1
     return "".join(out) + "$"
+
+
+# Names of route files and the extensions of scripts.
+ROUTE_NAMES = {"+page": "page", "+layout": "layout", "+page.server": "page-server", "+layout.server": "layout-server", "+server": "endpoint"}
+SCRIPT_EXTENSIONS = ("ts", "js", "mts", "cts", "mjs", "cjs")
+
+
+def route_kind(path: Column, root: str = "") -> Column:
+    """Kind of a script by its place in a project: a route name (cut at ``@``), hooks, a parameter matcher, or null."""
+    name = basename(slashes(path))
+    base = F.substring_index(F.regexp_extract(name, r"^(.*)\.[^.]*$", 1), "@", 1)
+    script = F.substring_index(name, ".", -1).isin(*SCRIPT_EXTENSIONS) & name.contains(".")
+    inside = under(slashes(path), root)
+    ends = "|".join(SCRIPT_EXTENSIONS)
+    kind = F.create_map(*[F.lit(x) for kv in ROUTE_NAMES.items() for x in kv])[base]
+    for hook, found in (("src/hooks.server", "server-hooks"), ("src/hooks.client", "client-hooks"), ("src/hooks", "universal-hooks")):
+        kind = F.coalesce(kind, F.when(inside.rlike(hook.replace(".", r"\.") + rf"\.(?:{ends})$"), found))
+    params = inside.startswith("src/params/") & ~name.contains(".test") & ~name.contains(".spec")
+    return F.when(script, F.coalesce(kind, F.when(params, "params")))

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markcheck.functions import paths
-from markcheck.operators import nesting
+from markcheck.operators import nesting, tokens
+from markcheck.scratch import materialize
 
 RANKS = {"hint": 0, "warning": 1, "error": 2}
+# Default severities by code, and calls that have no meaning between tags.
+SEVERITIES = {"a11y-structure": "warning", "missing-declaration": "error", "invalid-rune-usage": "error", "parse-error": "error", "mismatched-close": "error", "unclosed-tag": "error"}
+FORBIDDEN_CALLS = ("$state", "$state.raw", "$state.snapshot", "$derived", "$derived.by", "$effect", "$effect.pre", "$effect.tracking", "$effect.root", "$props", "$bindable", "$inspect", "$inspect.trace", "$host")
 Rule = Callable[[DataFrame], DataFrame]
 
 
@@ -19,6 +23,11 @@ def rank(severity: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[F.lower(severity)]
 
 
+def default_severity(code: Column) -> Column:
+    """The severity of a code that nothing else says, ``error`` for an unknown one."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])[code], F.lit("error"))
+
+
 def at_least(findings: DataFrame, threshold: str) -> DataFrame:
     """``error`` keeps errors only, ``warning`` keeps everything."""
     return findings.where(rank(F.col("severity")) >= (RANKS["error"] if threshold == "error" else 0))
@@ -43,17 +52,25 @@ def overridden(findings: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def deduplicated(findings: DataFrame, owned: Column, keys: Sequence[str], order: str = "ordinal") -> DataFrame:
-    """Of owned findings with equal keys the first; the others pass untouched. File keys compare normalised."""
-    marked = findings.withColumn("__owned", owned).withColumn("__file", paths.key(F.col("file")))
-    # others get keys of their own, so they spread over all tasks
-    alone = F.when(F.col("__owned"), F.lit(-1)).otherwise(F.col(order))
-    w = Window.partitionBy(alone, "__file", *keys).orderBy(order)
-    return marked.withColumn("__n", F.row_number().over(w)).where("not __owned or __n = 1").drop("__owned", "__file", "__n")
+    """Of owned findings with equal keys the first; the others pass untouched, and are not shuffled. File keys compare normalised."""
+    marked = findings.withColumn("__owned", F.coalesce(owned, F.lit(False)))
+    w = Window.partitionBy("__file", *keys).orderBy(order)
+    first = marked.where("__owned").withColumn("__file", paths.key(F.col("file"))).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return first.select(*findings.columns).unionByName(marked.where("not __owned").select(*findings.columns))
 
 
-def ordered(findings: DataFrame) -> DataFrame:
+def ordered(findings: DataFrame, doc: str = "doc") -> DataFrame:
     """Own checks before later phases; per document parse errors first, then by start; ties keep producer and ordinal."""
-    return findings.orderBy("phase", "doc", F.col("is_parse").desc(), "start", "producer_rank", "ordinal")
+    return findings.orderBy("phase", doc, F.col("is_parse").desc(), "start", "producer_rank", "ordinal")
+
+
+def numbered(rows: DataFrame, name: str = "position") -> DataFrame:
+    """Sorted ``rows`` with their place from 0: numbered apart in each range that the sort has made, then moved by the ranges before."""
+    apart = rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    apart = materialize(apart, "sorted")
+    sizes = apart.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row per partition
+    return apart.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")
 
 
 def union(*tables: DataFrame) -> DataFrame:
@@ -70,45 +87,60 @@ def duplicate_keys(rows: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.count_distinct(F.struct("*")).alias("variants")).where("n > 1")
 
 
-def check_mismatched(events: DataFrame) -> DataFrame:
-    """A close tag that closes an element of another name."""
-    found = nesting.pairs(events).where("kind = 'close' and opener.name <> name")
-    message = F.format_string("mismatched closing tag: expected </%s>, found </%s>", "opener.name", "name")
-    return found.select("doc", "start", "end", F.lit("mismatched-close").alias("code"), F.lit("error").alias("severity"), message.alias("message"))
-
-
-def check_unclosed(events: DataFrame) -> DataFrame:
-    """An element still open at the end of the text, unless its end tag is optional."""
-    found = nesting.pairs(events).where("kind = 'open' and not closed and lower(name) <> 'li'")
-    return found.select("doc", "start", "end", F.lit("unclosed-tag").alias("code"), F.lit("error").alias("severity"), F.format_string("unclosed tag: <%s>", "name").alias("message"))
-
-
 def check_nesting(events: DataFrame) -> DataFrame:
-    """Mismatched closes and unclosed elements from one pairing of the events."""
+    """Close tags that close an element of another name, and elements still open at the end of the text.
+
+    End tags that may be left out are put in first, so their elements are neither.
+    """
     closes = F.col("kind") == "close"
     wrong = closes & (F.col("opener.name") != F.col("name"))
     left_open = ~closes & ~F.col("closed") & (F.lower("name") != "li")
     message = F.when(closes, F.format_string("mismatched closing tag: expected </%s>, found </%s>", "opener.name", "name")).otherwise(F.format_string("unclosed tag: <%s>", "name"))
     code = F.when(closes, "mismatched-close").otherwise("unclosed-tag")
-    return nesting.pairs(events).where(wrong | left_open).select("doc", "start", "end", code.alias("code"), F.lit("error").alias("severity"), message.alias("message"))
+    found = nesting.pairs(nesting.with_optional_ends(events)).where(wrong | left_open)
+    return found.select("doc", "start", "end", code.alias("code"), default_severity(code).alias("severity"), message.alias("message"))
+
+
+def check_mismatched(events: DataFrame) -> DataFrame:
+    """A close tag that closes an element of another name."""
+    return check_nesting(events).where("code = 'mismatched-close'")
+
+
+def check_unclosed(events: DataFrame) -> DataFrame:
+    """An element still open at the end of the text, unless its end tag is optional."""
+    return check_nesting(events).where("code = 'unclosed-tag'")
 
 
 def check_headings(events: DataFrame) -> DataFrame:
     """A heading more than one level deeper than the one before it."""
     headings = events.where(F.col("kind").isin("open", "void") & F.col("name").rlike("^h[1-6]$")).withColumn("level", F.substring("name", 2, 1).cast("int"))
     found = nesting.level_skips(headings, "doc", ["start"], "level")
-    message = F.format_string("Heading levels should not be skipped (h%s followed by h%s)", "previous", "level")
-    return found.select("doc", "start", "end", F.lit("a11y-structure").alias("code"), F.lit("warning").alias("severity"), message.alias("message"))
+    message = F.format_string("A11y: Heading levels should not be skipped (h%s followed by h%s)", "previous", "level")
+    code = F.lit("a11y-structure")
+    return found.select("doc", "start", "end", code.alias("code"), default_severity(code).alias("severity"), message.alias("message"))
 
 
-#: Attributes that hold numbers.
-NUMERIC_ATTRIBUTES = ("cols", "colspan", "height", "max", "maxlength", "min", "minlength", "rows", "rowspan", "size", "span", "step", "tabindex", "width")
+def check_calls(expressions: DataFrame, names: Sequence[str] = ()) -> DataFrame:
+    """Calls of ``names`` in expressions between tags, where they have no meaning; the first occurrence of a name counts."""
+    names = names or FORBIDDEN_CALLS
+    keyed = expressions.select(F.struct("doc", "start", "end").alias("at"), "text")
+    found = tokens.first_calls(keyed, names, doc="at").select("doc.*", "name")
+    message = F.format_string("%s() can only be used inside a $derived or $effect, or at the top level of a component", "name")
+    code = F.lit("invalid-rune-usage")
+    return found.select("doc", "start", "end", code.alias("code"), default_severity(code).alias("severity"), message.alias("message"))
+
+
+# Attributes that hold nothing but numbers.
+NUMERIC_ATTRIBUTES = (
+    "aria-colcount aria-colindex aria-colspan aria-level aria-posinset aria-rowcount aria-rowindex aria-rowspan aria-setsize aria-valuemax aria-valuemin aria-valuenow "
+    "results span marginheight marginwidth maxlength minlength currenttime defaultplaybackrate volume high low optimum start size border cols rows colspan rowspan tabindex"
+).split()
 
 
 def check_numeric_attributes(attributes: DataFrame) -> DataFrame:
     """Numeric attributes whose text is a number literal, with its value."""
     value = F.expr("try_cast(trim(value) as double)")
-    found = attributes.where(F.lower("name").isin(*NUMERIC_ATTRIBUTES) & (F.col("value_kind") == "text")).withColumn("number", value)
+    found = attributes.where(F.col("name").isin(*NUMERIC_ATTRIBUTES) & (F.col("value_kind") == "text")).withColumn("number", value)
     return found.where("number is not null and not isnan(number)").select("doc", "start", "name", "value", "number")
 
 
@@ -121,9 +153,12 @@ def check_external_references(references: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("rewritten", F.concat(paths.relative(F.lit(root), F.col("target")), cut["suffix"]))
 
 
-RULES: dict[str, Rule] = {"nesting": check_nesting, "a11y": check_headings}
+RULES: dict[str, Rule] = {"nesting": check_nesting, "a11y": check_headings, "component": check_calls}
+
 
+def run_rules(events: DataFrame, families: Sequence[str] = ("nesting", "a11y"), rules: Mapping[str, Rule] = RULES, inputs: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Findings of the rule families that are switched on; a family reads ``events`` or what ``inputs`` has for it.
 
-def run_rules(events: DataFrame, families: Sequence[str] = tuple(RULES), rules: Mapping[str, Rule] = RULES) -> DataFrame:
-    """Findings of the rule families that are switched on."""
-    return union(*(rules[f](events).withColumn("family", F.lit(f)) for f in families))
+    The component family reads ``markup.expressions``. Every finding has the default severity of its code.
+    """
+    return union(*(rules[f]((inputs or {}).get(f, events)).withColumn("family", F.lit(f)) for f in families))

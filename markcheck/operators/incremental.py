@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markcheck.scratch import shared_dir
+from markcheck.scratch import materialize
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -20,6 +21,17 @@ def reuse_split(current: DataFrame, stored: DataFrame, key: str = "fingerprint")
     return current.join(stored.select(key).distinct(), key, "left_semi"), current.join(stored.select(key).distinct(), key, "left_anti")
 
 
+def reused(current: DataFrame, stored: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "fingerprint", result: str = "result", order: str = "ordinal") -> DataFrame:
+    """``current`` with ``result`` and ``reused``, in the order of ``order``: stored results, and what ``compute`` gives for the rest.
+
+    ``stored`` is (key, result); ``compute`` adds ``result`` to the rows it is given.
+    """
+    hits, misses = reuse_split(current, stored, key)
+    kept = hits.join(stored.select(key, result).dropDuplicates([key]), key).withColumn("reused", F.lit(True))
+    fresh = compute(misses).withColumn("reused", F.lit(False))
+    return kept.unionByName(fresh.select(*kept.columns)).orderBy(order)
+
+
 def change_classes(new: DataFrame, old: DataFrame, key: str, content: str = "fingerprint") -> DataFrame:
     """``key, change``: added, changed, unchanged or removed."""
     n, o = new.select(key, F.col(content).alias("__new")), old.select(key, F.col(content).alias("__old"))
@@ -31,16 +43,19 @@ def stale_keys(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return stored.join(current.select(key).distinct(), key, "left_anti")
 
 
-def group_fingerprints(rows: DataFrame, group: str, name: str, content: str) -> DataFrame:
-    """``group, manifest``: hash of a group's members by name.
+def group_fingerprints(rows: DataFrame, group: str, name: str, content: str, fallback: Column | None = None) -> DataFrame:
+    """``group, members, manifest``: hash of a group's members by name; ``fallback`` members count only where there are no others.
 
     Members hash to one sum per group that combines before the shuffle and does not depend on order, so a group of
-    any size never meets in one task: the digest is taken over count and 128-bit sums of member hashes.
+    any size never meets in one task: the digest is taken over count and four 60-bit sums of member hashes.
     """
     member = F.sha2(F.concat(F.col(name).cast("string"), F.lit("\0"), F.col(content)), 256)
     part = [F.conv(F.substring(member, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = rows.groupBy(group).agg(F.count("*").alias("members"), *[F.sum(p).alias(f"__s{i}") for i, p in enumerate(part)])
-    return sums.select(group, "members", F.sha2(F.concat_ws("|", "members", *[F.col(f"__s{i}").cast("string") for i in range(4)]), 256).alias("manifest"))
+    later = F.lit(False) if fallback is None else F.coalesce(fallback, F.lit(False))
+    sums = rows.groupBy(group).agg(*(agg for to, which in (("", ~later), ("f", later)) for agg in (F.count_if(which).alias(f"__n{to}"), *(F.sum(F.when(which, p)).alias(f"__s{to}{i}") for i, p in enumerate(part)))))
+    fields = ("__n", *(f"__s{i}" for i in range(4)))
+    used = sums.select(group, *(F.when(F.col("__n") > 0, F.col(f)).otherwise(F.col(f.replace("__n", "__nf").replace("__s", "__sf"))).alias(f) for f in fields))
+    return used.select(group, F.col("__n").alias("members"), F.sha2(F.concat_ws("|", *[F.col(f).cast("string") for f in fields]), 256).alias("manifest"))
 
 
 def invalidated(stored: DataFrame, old: DataFrame, new: DataFrame, group: str) -> DataFrame:
@@ -62,27 +77,45 @@ def results_per_key(keys: DataFrame, results: DataFrame, key: str, fields: Seque
     return keys.select(key).distinct().join(lists, key, "left").withColumn("results", F.coalesce("results", F.expr(f"cast(array() as {kind})")))
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the complete versions, oldest first; a version is complete when its writer has left its mark."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(f.getPath().getParent().toString() for f in found or ())
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that stand after all complete versions at ``path``, None before the first."""
+    versions = _versions(spark, path)
+    if not versions:
+        return None
+    rows = spark.read.option("basePath", path).parquet(*versions)
+    key = rows.columns[0]
+    last = rows.groupBy(key).agg(F.max(F.struct(F.col("version"), *(F.col(c) for c in rows.columns if c not in (key, "version")))).alias("__last"))
+    return last.select(key, "__last.*").where("not __gone").drop("version", "__gone")
+
+
 def write_changed(rows: DataFrame, path: str, key: str, content: str) -> dict[str, int]:
-    """Writes the snapshot at ``path`` anew only if a row differs; gives how many rows were written and skipped.
+    """Adds a version with the rows that differ from the snapshot at ``path``; gives how many were written, skipped and removed.
 
-    The new snapshot goes to the shared folder first and replaces the old one when complete.
+    Nothing is written where nothing differs. A version is a folder of its own that readers see once complete, so
+    a writer that fails, or another one beside it, leaves the snapshot whole. Columns must have an order (no maps).
     """
     spark = rows.sparkSession
+    rows = rows.select(key, *(c for c in rows.columns if c != key))
     new = rows.withColumn("__fp", fingerprint(F.col(content)))
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # no snapshot yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = rows.limit(0)
-    classes = change_classes(new, old.withColumn("__fp", fingerprint(F.col(content))), key, "__fp")
+    old = read_snapshot(spark, path)
+    old = rows.limit(0) if old is None else old.select(*rows.columns)
+    classes = materialize(change_classes(new, old.withColumn("__fp", fingerprint(F.col(content))), key, "__fp"), "changes")
     counts = {r["change"]: r["count"] for r in classes.groupBy("change").count().collect()}
-    written = counts.get("added", 0) + counts.get("changed", 0)
-    if written or counts.get("removed", 0):
-        stage = f"{shared_dir(spark)}/markcheck-write"
-        rows.write.mode("overwrite").parquet(stage)
-        spark.read.schema(rows.schema).parquet(stage).write.mode("overwrite").parquet(path)
-    return {"written": written, "skipped": counts.get("unchanged", 0), "removed": counts.get("removed", 0)}
+    written, removed = counts.get("added", 0) + counts.get("changed", 0), counts.get("removed", 0)
+    if written or removed:
+        differs = rows.join(classes.where("change in ('added', 'changed')"), key, "left_semi").withColumn("__gone", F.lit(False))
+        gone = classes.where("change = 'removed'").select(key).withColumn("__gone", F.lit(True))
+        number = len(_versions(spark, path)) + 1
+        differs.unionByName(gone, allowMissingColumns=True).write.parquet(f"{path}/version={number:09d}-{uuid.uuid4().hex}")
+    return {"written": written, "skipped": counts.get("unchanged", 0), "removed": removed}
 
 
 def correlate(requests: DataFrame, responses: DataFrame, key: str) -> DataFrame:

@@ -52,6 +52,14 @@ def offset_of_clamped(lines: DataFrame, points: DataFrame) -> DataFrame:
     return joined.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long")).drop("start", "__line", "__stop", "__end")
 
 
+def placed(lines: DataFrame, findings: DataFrame) -> DataFrame:
+    """Adds ``start_line, start_col, end_line, end_col`` and ``snippet``, the text of the line that a finding starts on."""
+    marks = lines.select("doc", "line", F.col("start").alias("at"), F.col("text").alias("snippet"))
+    begun = as_of(findings, marks.withColumnsRenamed({"line": "start_line", "at": "start_at"}), "doc", "start", "start_at", ["start_line", "start_at", "snippet"])
+    ended = as_of(begun, marks.select("doc", F.col("line").alias("end_line"), F.col("at").alias("end_at")), "doc", "end", "end_at", ["end_line", "end_at"])
+    return ended.withColumns({"start_col": F.col("start") - F.col("start_at"), "end_col": F.col("end") - F.col("end_at")}).drop("start_at", "end_at")
+
+
 def snippet(lines: DataFrame, findings: DataFrame) -> DataFrame:
     """Adds ``snippet``, the text of the line a finding starts on."""
     return findings.join(lines.select("doc", F.col("line").alias("start_line"), F.col("text").alias("snippet")), ["doc", "start_line"], "left")

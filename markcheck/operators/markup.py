@@ -2,84 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markcheck.functions.text import is_void
 
-#: Comments and raw sections up to their close tag's name, in regular expression syntax that Java and RE2 share.
-RAW = r"(?is)<!--.*?(?:-->|\z)|<script(?:[\s/][^>]*)?>.*?(?:</script|\z)|<style(?:[\s/][^>]*)?>.*?(?:</style|\z)|<textarea(?:[\s/][^>]*)?>.*?(?:</textarea|\z)|<title(?:[\s/][^>]*)?>.*?(?:</title|\z)"
-NAME = r"^/?([a-zA-Z][^\s/>]*)"
-ATTRIBUTE = r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?"
+# Java regular expressions; possessive, so that a text of any length needs no stack. Braces nest three deep.
+BRACES = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+QUOTED = r"\"[^\"]*+\"|'[^']*+'"
+#: Inside a tag; quoted values and braces may hold ``<`` and ``>``.
+REST = rf"(?:[^<>={{]++|=\s*+(?:{QUOTED})|{BRACES}|[={{])*+"
+TAG = rf"</?[a-zA-Z][^\s/<>]*+{REST}>?"
+#: Open tag, content and close tag of an element without markup inside; groups: name, open tag's end, close tag.
+RAW_HEAD = rf"<(?:script|style|textarea|title)(?=[\s/>]){REST}(?<!/)>"
+RAW = rf"<(script|style|textarea|title)(?=[\s/>]){REST}(?<!/)>.*?(</\1(?=[\s/>]|\z)[^>]*+>?|\z)"
+COMMENT = r"<!--.*?(?:-->|\z)"
+NAME = r"^/?([a-zA-Z][^\s/<>]*)"
+ATTRIBUTE = rf"{BRACES}|[^\s=/>\"'{{]++(?:\s*+=\s*+(?:{QUOTED}|(?:{BRACES}|[^\s>\"'{{])++))?+"
 
 
-def _placed(pages: DataFrame, doc: str, html: str) -> DataFrame:
-    return pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")).repartition("doc")
+def _tokens(pages: DataFrame, pattern: str, doc: str, html: str) -> DataFrame:
+    """``doc, start, text, gap``: matches of a pattern at their byte offsets, each with the text before it; the last gap has no match."""
+    placed = pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")).repartition("doc")
+    both = F.arrays_zip(F.split("html", pattern, -1).alias("gap"), F.regexp_extract_all("html", F.lit(pattern), F.lit(0)).alias("text"))
+    rows = placed.select("doc", F.posexplode(both).alias("i", "z")).select("doc", "i", "z.gap", "z.text")
+    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    return rows.withColumn("start", (F.sum(F.octet_length("gap").cast("long") + size).over(w) - size).cast("long"))
 
 
-def _tags(parts: DataFrame) -> DataFrame:
-    """Tag events of rows (doc, part, offset) where ``offset`` is the byte of the ``<`` before ``part``."""
-    shut = F.instr("part", ">")
-    body = F.when(shut > 0, F.substring(F.col("part"), F.lit(1), shut - 1)).otherwise(F.col("part"))
-    name = F.regexp_extract("part", NAME, 1)
-    close = F.col("part").startswith("/")
-    out = parts.where(F.col("part").rlike(NAME)).select(
-        "doc",
-        F.col("offset").alias("start"),
-        (F.col("offset") + 1 + F.octet_length(body) + F.when(shut > 0, 1).otherwise(0)).cast("long").alias("end"),
-        F.when(close, "close").when(body.endswith("/"), "self").otherwise("open").alias("kind"),
-        name.alias("name"),
-        body.alias("body"),
-    )
-    return out.withColumn("kind", F.when((F.col("kind") == "open") & is_void(F.col("name")), "void").otherwise(F.col("kind")))
+def _masked(pages: DataFrame, doc: str, html: str) -> DataFrame:
+    return _tokens(pages, f"(?is){COMMENT}|{RAW}|{TAG}", doc, html)
 
 
-def tag_events(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
-    """``doc, start, end, kind, name, body`` of everything that looks like a tag, also inside comments and scripts."""
-    parts = _placed(pages, doc, html).select("doc", F.posexplode(F.split("html", "<", -1)).alias("i", "part"))
-    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return _tags(parts.withColumn("offset", F.sum(F.octet_length("part").cast("long") + 1).over(w) - 1).where("i > 0"))
+def _event(text: Column, start: Column, name: Column | None = None) -> Column:
+    shut = text.endswith(">")
+    body = F.substring(text, F.lit(2), F.length(text) - F.when(shut, 2).otherwise(1))
+    name = F.regexp_extract(body, NAME, 1) if name is None else name
+    kind = F.when(body.startswith("/"), "close").when(body.endswith("/"), "self").when(is_void(name), "void").otherwise("open")
+    return F.struct(start.alias("start"), (start + F.octet_length(text)).cast("long").alias("end"), kind.alias("kind"), name.alias("name"), body.alias("body"))
 
 
-def pieces(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
-    """``doc, i, is_raw, start, text``: the page cut into raw sections (comments, scripts, ...) and what lies between."""
-    split = _placed(pages, doc, html).select("doc", F.split("html", RAW, -1).alias("gaps"), F.regexp_extract_all("html", F.lit(RAW), 0).alias("raws"))
-    both = F.arrays_zip(F.col("gaps").alias("gap"), F.col("raws").alias("raw"))
-    rows = split.select("doc", F.posexplode(both).alias("i", "z")).select("doc", "i", F.explode(F.array(F.struct(F.lit(0).alias("is_raw"), F.col("z.gap").alias("text")), F.struct(F.lit(1).alias("is_raw"), F.col("z.raw").alias("text")))).alias("p"))
-    rows = rows.select("doc", "i", "p.is_raw", "p.text").where("text is not null")
-    w = Window.partitionBy("doc").orderBy("i", "is_raw").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(w), F.lit(0)).cast("long"))
+def tag_events(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
+    """``doc, start, end, kind, name, body`` of everything that looks like a tag, also inside comments and scripts.
+
+    Quoted values and braces belong to their tag whatever they hold; a tag that is not ended runs to the next ``<``.
+    """
+    found = _tokens(pages, TAG, doc, html).where("text is not null")
+    return found.select("doc", _event(F.col("text"), F.col("start")).alias("e")).select("doc", "e.*")
 
 
 def masked_tag_events(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
-    """Tag events outside comments and raw sections; a raw section's own open and close tag stay."""
-    cut = pieces(pages, doc, html)
-    gaps = cut.where("is_raw = 0").select("doc", "start", F.col("i").alias("g"), F.posexplode(F.split("text", "<", -1)).alias("i", "part"))
-    w = Window.partitionBy("doc", "g").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    plain = _tags(gaps.withColumn("offset", F.col("start") + F.sum(F.octet_length("part").cast("long") + 1).over(w) - 1).where("i > 0"))
-    raw = cut.where("is_raw = 1 and text not like '<!--%'")
-    opens = _tags(raw.select("doc", F.substring("text", 2, 1 << 30).alias("part"), F.col("start").alias("offset")))
-    name = F.regexp_extract("text", "^<([a-zA-Z]+)", 1)
-    closed = F.lower(F.col("text")).endswith(F.concat(F.lit("</"), F.lower(name)))
-    at = F.col("start") + F.octet_length("text") - F.octet_length(name) - 2
-    closes = raw.where(closed).select("doc", at.cast("long").alias("start"), (F.col("start") + F.octet_length("text") + 1).cast("long").alias("end"), F.lit("close").alias("kind"), F.substring(F.col("text"), F.length("text") - F.length(name) + 1, F.length(name)).alias("name"), F.concat(F.lit("/"), name).alias("body"))
-    return plain.unionByName(opens).unionByName(closes)
+    """Tag events outside comments and raw sections; a raw section's own open and close tag stay.
+
+    A raw section ends at its name in any case, followed by a blank, ``/``, ``>`` or the end of the text.
+    """
+    text, start = F.col("text"), F.col("start")
+    found = _masked(pages, doc, html).where("text is not null and text not like '<!--%'")
+    head, shut = F.regexp_extract(text, f"(?is)^{RAW_HEAD}", 0), F.regexp_extract(text, f"(?is)^{RAW}$", 2)
+    found = found.withColumn("head", head).withColumn("shut", F.when(F.col("head") != "", shut).otherwise(""))
+    opens = _event(F.when(F.col("head") != "", F.col("head")).otherwise(text), start)
+    closes = _event(F.col("shut"), start + F.octet_length(text) - F.octet_length("shut"))
+    both = F.when(F.col("shut") == "", F.array(opens)).otherwise(F.array(opens, closes))
+    return found.select("doc", F.explode(both).alias("e")).select("doc", "e.*")
 
 
 def attributes(events: DataFrame) -> DataFrame:
     """``doc, start, ord, name, value_kind, value, directive, modifiers`` of every attribute of open tags.
 
     ``value_kind`` is bare, text, expression (``{...}``) or mixed; ``kind:name|a|b`` gives directive and modifiers.
+    An expression alone, ``{name}``, is named by what it holds.
     """
     rest = F.regexp_replace("body", NAME, "")
     found = F.regexp_extract_all(rest, F.lit(ATTRIBUTE), 0)
     rows = events.where("kind <> 'close'").select("doc", "start", F.posexplode(found).alias("ord", "a"))
     value = F.regexp_extract("a", r"(?s)^[^=]*=\s*(.*)$", 1)
     text = F.when(value.rlike("(?s)^[\"'].*[\"']$"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    kind = F.when(~F.col("a").contains("="), "bare").when(text.rlike(r"(?s)^\{[^{}]*\}$"), "expression").when(text.rlike(r"(?s)\{[^{}]*\}"), "mixed").otherwise("text")
-    head = F.regexp_extract("a", r"^([^\s=]+)", 1)
+    alone = F.col("a").startswith("{")
+    text = F.when(alone, F.col("a")).otherwise(text)
+    kind = F.when(alone, "expression").when(~F.col("a").contains("="), "bare").when(text.rlike(f"^{BRACES}$"), "expression").when(text.rlike(BRACES), "mixed").otherwise("text")
+    head = F.when(alone, F.regexp_replace("a", r"^\{\s*|\s*\}$", "")).otherwise(F.regexp_extract("a", r"^([^\s=]+)", 1))
     plain = F.split(F.regexp_replace(head, "^[^:]*:", ""), "\\|")
-    is_directive = head.contains(":")
+    is_directive = ~alone & head.contains(":")
     return rows.select(
         "doc",
         "start",
@@ -95,15 +99,25 @@ def attributes(events: DataFrame) -> DataFrame:
 def comments(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
     """``doc, start, end, text`` of comments outside raw sections; an unterminated one runs to the end."""
     text = F.regexp_replace(F.regexp_replace("text", "^<!--", ""), "-->$", "")
-    return pieces(pages, doc, html).where("is_raw = 1 and text like '<!--%'").select("doc", "start", (F.col("start") + F.octet_length("text")).cast("long").alias("end"), text.alias("text"))
+    return _masked(pages, doc, html).where("text like '<!--%'").select("doc", "start", (F.col("start") + F.octet_length("text")).cast("long").alias("end"), text.alias("text"))
+
+
+def expressions(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
+    """``doc, start, end, text`` of what stands in braces between tags, ``text`` without the braces."""
+    gaps = _masked(pages, doc, html).select("doc", (F.col("start") - F.octet_length("gap")).alias("from"), "gap").where(F.col("gap").contains("{"))
+    both = F.arrays_zip(F.split("gap", BRACES, -1).alias("gap"), F.regexp_extract_all("gap", F.lit(BRACES), F.lit(0)).alias("text"))
+    rows = gaps.select("doc", "from", F.posexplode(both).alias("i", "z")).select("doc", "from", "i", "z.gap", "z.text")
+    w = Window.partitionBy("doc", "from").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("from") + F.sum(F.octet_length("gap").cast("long") + F.coalesce(F.octet_length("text"), F.lit(0))).over(w)
+    found = rows.withColumn("end", end.cast("long")).where("text is not null")
+    return found.select("doc", (F.col("end") - F.octet_length("text")).cast("long").alias("start"), "end", F.substring(F.col("text"), F.lit(2), F.length("text") - 2).alias("text"))
 
 
 def sections(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
     """``doc, name, context, lang, start, body_start, body_end, body``: script and style sections."""
-    raw = pieces(pages, doc, html).where("is_raw = 1").withColumn("name", F.lower(F.regexp_extract("text", "^<([a-zA-Z]+)", 1))).where("name in ('script', 'style')")
-    head = F.regexp_extract("text", "^<[^>]*>", 0)
-    closed = F.lower(F.col("text")).endswith(F.concat(F.lit("</"), F.col("name")))
-    body = F.substring(F.col("text"), F.length(head) + 1, F.length("text") - F.length(head) - F.when(closed, F.length("name") + 2).otherwise(0))
+    raw = _masked(pages, doc, html).withColumn("name", F.lower(F.regexp_extract("text", f"(?is)^{RAW}$", 1))).where("name in ('script', 'style')")
+    head, shut = F.regexp_extract("text", f"(?is)^{RAW_HEAD}", 0), F.regexp_extract("text", f"(?is)^{RAW}$", 2)
+    body = F.substring(F.col("text"), F.length(head) + 1, F.length("text") - F.length(head) - F.length(shut))
     begin = (F.col("start") + F.octet_length(head)).cast("long")
     return raw.select(
         "doc",

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markcheck.scratch import materialize
+
 
 def depth(events: DataFrame, step: Column, by: str, order: list[str]) -> DataFrame:
     """Adds ``depth`` after each event: the running sum of ``step`` (+1 push, -1 pop) that never falls below zero."""
@@ -17,7 +19,7 @@ def depth(events: DataFrame, step: Column, by: str, order: list[str]) -> DataFra
 def tag_depth(events: DataFrame) -> DataFrame:
     """Depth of tag events; a close tag pops whatever its name, void and self-closing tags never push."""
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    return depth(events, step, "doc", ["start"])
+    return depth(events, step, "doc", ["start", "end"])  # a synthetic close is empty and comes first
 
 
 def pairs(events: DataFrame) -> DataFrame:
@@ -26,10 +28,10 @@ def pairs(events: DataFrame) -> DataFrame:
     Stray closes, at depth zero, are removed before pairing, else they would pair with elements closed already.
     """
     deep = tag_depth(events.where("kind in ('open', 'close')"))
-    w = Window.partitionBy("doc").orderBy("start")
+    w = Window.partitionBy("doc").orderBy("start", "end")
     live = deep.withColumn("__before", F.lag("depth", 1, 0).over(w)).where("kind = 'open' or __before > 0")
     live = live.withColumn("level", F.when(F.col("kind") == "open", F.col("depth")).otherwise(F.col("depth") + 1))
-    at_level = Window.partitionBy("doc", "level").orderBy("start")
+    at_level = Window.partitionBy("doc", "level").orderBy("start", "end")
     opener = F.last(F.when(F.col("kind") == "open", F.struct("name", "start")), ignorenulls=True).over(at_level.rowsBetween(Window.unboundedPreceding, -1))
     return live.withColumn("opener", F.when(F.col("kind") == "close", opener)).withColumn("closed", F.when(F.col("kind") == "open", F.lead("start").over(at_level).isNotNull())).drop("__before")
 
@@ -72,6 +74,24 @@ def implicit_closes(events: DataFrame) -> DataFrame:
     return events.select("doc", "start", "end", "kind", "name").groupBy("doc").applyInArrow(fold, f"doc {kind}, start long, end long, kind string, name string, synthetic boolean")
 
 
+def with_optional_ends(events: DataFrame) -> DataFrame:
+    """``doc, start, end, kind, name`` of tag events and of the ends that may be left out.
+
+    Whether a document leaves one out shows in plain pairing: the first time, an item stands directly in an item, or
+    the end of a list closes one. Only such documents are folded.
+    """
+    events = materialize(events.select("doc", "start", "end", "kind", "name"), "tag-events")
+    live = pairs(events)
+    item = F.lower("name") == "li"
+    opens = live.where("kind = 'open'").select("doc", "start", item.alias("item"), F.explode(F.array(F.struct(F.col("level").alias("at"), F.lit(False).alias("inner")), F.struct((F.col("level") - 1).alias("at"), F.lit(True).alias("inner")))).alias("z"))
+    outer = Window.partitionBy("doc", "at").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    opens = opens.select("doc", "start", "item", "z.*").withColumn("outer", F.last(F.when(~F.col("inner"), F.col("item")), ignorenulls=True).over(outer))
+    ends = live.where((F.col("kind") == "close") & (F.lower("opener.name") == "li") & F.lower("name").isin(*[n for _, n in sorted(_ENDS_ON_CLOSE)]))
+    folded = materialize(opens.where("inner and item and outer").select("doc").unionByName(ends.select("doc")).distinct(), "left-out-ends")
+    rest = events.join(folded, "doc", "left_anti")
+    return rest.unionByName(implicit_closes(events.join(folded, "doc", "left_semi")).select(*rest.columns))
+
+
 def attach_nearest(rows: DataFrame, is_host: Column, is_pending: Column, by: str, order: str, host: str) -> DataFrame:
     """Pending rows with ``attached``: the next host's value, else the previous one's; without any host they go."""
     w = Window.partitionBy(by).orderBy(order)

@@ -6,6 +6,10 @@ positions from 0; what is printed counts lines and columns from 1 and offsets fr
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,11 +76,22 @@ def as_text_with_source(findings: DataFrame) -> DataFrame:
     return findings.select(F.concat(_human(findings), F.coalesce(shown, F.lit("")), F.lit("\n")).alias("text"))
 
 
-def run_metrics(counts: DataFrame, phases: list[str]) -> DataFrame:
-    """``json``: one nested object of counts and of phase durations, null for a phase that did not run."""
-    known = [c for c in counts.columns if c not in phases]
-    durations = F.struct(*[(F.col(p) if p in counts.columns else F.lit(None).cast("double")).alias(p) for p in phases])
-    return counts.select(F.to_json(F.struct(F.struct(*known).alias("counts"), durations.alias("ms")), {"ignoreNullFields": "false"}).alias("json"))
+class Phases(dict):
+    """Durations in ms by phase: ``with phases("scan"): ...`` measures one; a phase that did not run is not in it."""
+
+    @contextmanager
+    def __call__(self, phase: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self[phase] = self.get(phase, 0.0) + (time.perf_counter() - began) * 1000
+
+
+def run_metrics(counts: DataFrame, phases: Sequence[str], measured: Mapping[str, float] | None = None) -> DataFrame:
+    """``json``: one nested object of counts and of the durations of ``phases``, null for one that was not measured."""
+    durations = F.struct(*[F.lit((measured or {}).get(p)).cast("double").alias(p) for p in phases])
+    return counts.select(F.to_json(F.struct(F.struct(*counts.columns).alias("counts"), durations.alias("ms")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def coverage_counts(left: DataFrame, right: DataFrame, code: str = "code") -> DataFrame:

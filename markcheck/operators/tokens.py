@@ -5,32 +5,47 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Strings and comments of program text, for ``skip``.
+CODE = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|//[^\n]*+|/\*.*?(?:\*/|\z)"
+_WORD = r"[\pL\pN_]"
+
+
 def token_regex(tokens: Sequence[str]) -> str:
-    """Tokens that are no plain words, the longest first, or any whole word."""
-    odd = sorted((t for t in set(tokens) if not t.replace("_", "a").isalnum()), key=lambda t: (-len(t), t))
-    return "|".join([*map(re.escape, odd), r"[\pL\pN_]+"])
+    """Tokens of a vocabulary as whole words, the longest first at a position."""
+    longest = sorted(set(tokens), key=lambda t: (-len(t), t))
+    return "|".join((rf"(?<!{_WORD})" if _is_word(t[0]) else "") + re.escape(t) + (rf"(?!{_WORD})" if _is_word(t[-1]) else "") for t in longest)
 
 
-def token_occurrences(docs: DataFrame, tokens: Sequence[str], doc: str = "doc", text: str = "text") -> DataFrame:
-    """``doc, start, token``: occurrences of a fixed vocabulary by byte offset, longest first, as whole words.
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
 
-    Offsets come from the lengths of what the words split the text into, so no position search is needed.
-    """
-    pattern = token_regex(tokens)
-    split = docs.select(F.col(doc).alias("doc"), F.col(text).alias("t")).repartition("doc").select("doc", F.arrays_zip(F.split("t", pattern, -1).alias("gap"), F.regexp_extract_all("t", F.lit(pattern), 0).alias("token")).alias("z"))
-    rows = split.select("doc", F.posexplode("z").alias("i", "z")).select("doc", "i", "z.gap", "z.token")
+
+def _placed(docs: DataFrame, pattern: str, doc: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc, *keep, start, token``: matches by byte offset. Only they are shuffled, each with the length of the text before it."""
+    t = F.col(text)
+    both = F.arrays_zip(F.transform(F.split(t, pattern, -1), F.octet_length).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("token"))
+    rows = docs.select(F.col(doc).alias("doc"), *keep, F.posexplode(both).alias("i", "z")).where("z.token is not null").select("doc", *keep, "i", "z.gap", "z.token")
     w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.octet_length("gap").cast("long") + F.coalesce(F.octet_length("token"), F.lit(0))).over(w)
-    return rows.withColumn("start", upto - F.octet_length("token")).where(F.col("token").isin(*tokens)).select("doc", "start", "token")
+    size = F.octet_length("token")
+    return rows.select("doc", *keep, (F.sum((F.col("gap") + size).cast("long")).over(w) - size).cast("long").alias("start"), "token")
+
 
+def token_occurrences(docs: DataFrame, tokens: Sequence[str], doc: str = "doc", text: str = "text", skip: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc, *keep, start, token``: occurrences of a fixed vocabulary by byte offset, longest first, as whole words.
 
-def marked_names(docs: DataFrame, mark: str, doc: str = "doc", text: str = "text") -> DataFrame:
-    """``doc, name``: distinct identifiers that follow ``mark``, outside double-quoted strings and line comments."""
-    code = F.regexp_replace(F.regexp_replace(F.col(text), '"[^"\\n]*"', " "), "//[^\\n]*", " ")
+    What ``skip`` matches, such as ``CODE``, is stepped over. Documents have one row each.
+    """
+    pattern = token_regex(tokens) if skip is None else f"(?s)(?:{skip})|{token_regex(tokens)}"
+    return _placed(docs, pattern, doc, text, keep).where(F.col("token").isin(*tokens))
+
+
+def marked_names(docs: DataFrame, mark: str, doc: str = "doc", text: str = "text", skip: str = CODE) -> DataFrame:
+    """``doc, name``: distinct identifiers that follow ``mark``, outside strings and comments."""
+    code = F.regexp_replace(F.col(text), f"(?s){skip}", " ")
     found = F.array_distinct(F.regexp_extract_all(code, F.lit(re.escape(mark) + "([A-Za-z_][A-Za-z0-9_]*)"), 1))
     return docs.select(F.col(doc).alias("doc"), F.explode(found).alias("name"))
 
@@ -41,17 +56,22 @@ def references(attributes: DataFrame, names: Sequence[str] = ("href", "src", "ac
 
 
 def quoted_references(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """``doc, reference``: quoted specifiers after from, import, import( and require(."""
-    pattern = r"\b(?:from|import|require)\s*\(?\s*[\"']([^\"'\n]+)[\"']"
-    return docs.select(F.col(doc).alias("doc"), F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 1)).alias("reference"))
+    """``doc, start, reference``: quoted specifiers after from, import, import( and require(, not in comments; ``start`` is past the quote."""
+    pattern = r"(?s)//[^\n]*+|/\*.*?(?:\*/|\z)|\b(?:from|import|require)\s*\(?\s*(?:\"[^\"\n]+\"|'[^'\n]+')"
+    found = _placed(docs, pattern, doc, text).where("not startswith(token, '/')")
+    reference = F.regexp_extract("token", "[\"'](.+)[\"']$", 1)
+    return found.select("doc", (F.col("start") + F.octet_length("token") - F.octet_length(reference) - 1).cast("long").alias("start"), reference.alias("reference"))
 
 
 def first_calls(docs: DataFrame, names: Sequence[str], doc: str = "doc", text: str = "text") -> DataFrame:
     """``doc, name, start``: names whose *first* occurrence is a call, that is, ``name(`` not after a letter, digit, ``_`` or ``.``."""
-    vocabulary = F.explode(F.array(*[F.lit(n) for n in names])).alias("name")
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("t"), vocabulary)
-    rows = rows.withColumn("at", F.expr("instr(t, name)")).where("at > 0")
-    before = F.substring(F.col("t"), F.col("at") - 1, F.lit(1))
-    after = F.substring(F.col("t"), F.col("at") + F.length("name"), F.lit(1))
-    free = (F.col("at") == 1) | ~before.rlike(r"[\p{L}\p{N}_.]")
-    return rows.where((after == "(") & free).select("doc", "name", (F.col("at") - 1).cast("long").alias("start"))
+    t = F.col(text)
+
+    def called(name: Column) -> Column:
+        at = F.instr(t, name)
+        free = (at == 1) | ~F.substring(t, at - 1, F.lit(1)).rlike(r"[\p{L}\p{N}_.]")
+        return (at > 0) & (F.substring(t, at + F.length(name), F.lit(1)) == "(") & free
+
+    found = F.filter(F.array(*[F.lit(n) for n in names]), called)  # the text is not copied for each name
+    rows = docs.select(F.col(doc).alias("doc"), F.transform(found, lambda n: F.struct(n.alias("name"), (F.instr(t, n) - 1).cast("long").alias("start"))).alias("calls"))
+    return rows.select("doc", F.explode("calls").alias("c")).select("doc", "c.name", "c.start")

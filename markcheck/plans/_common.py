@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markcheck.functions import paths
+from markcheck.functions.text import VOID_ELEMENTS
 from markcheck.operators import lines, markup
 
 
@@ -25,8 +26,29 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), "html", "url", paths.url_path(F.col("url")).alias("path"))
 
 
+#: Markup that stands behind every page, so that no rule runs on nothing; (text, kind, name) by piece. ``end`` is an
+#: end tag that was left out, ``raw`` what only looks like a tag.
+TAIL = (
+    ("<section>", "open", "section"),
+    ("<h1>", "open", "h1"), ("T", "", ""), ("</h1>", "close", "h1"), ("<h3>", "open", "h3"), ("S", "", ""), ("</h3>", "close", "h3"),
+    ("<ul>", "open", "ul"), ("<li>", "open", "li"), ("Item 1", "", ""), ("", "end", "li"), ("<li>", "open", "li"), ("Item 2", "", ""), ("", "end", "li"), ("</ul>", "close", "ul"),
+    ('<button on:click={() => go(1)} tabindex=" 2 " class="x">', "open", "button"), ("b", "", ""), ("</button>", "close", "button"),
+    ('<a title="a > b" href="/../../c?d=1">', "open", "a"), ("l", "", ""), ("</a>", "close", "a"),
+    ('<input size="x" {value}/>', "self", "input"),
+    ("<SCRIPT>", "open", "SCRIPT"), ("1<2 ", "", ""), ("</scripty>", "raw", "scripty"), (" ", "", ""), ("</b", "raw", "b"), ("</script >", "close", "script"),
+    ("{track(3)} of(2)", "", ""),
+    ("<div>", "open", "div"), ("<span>", "open", "span"), ("c", "", ""), ("</div>", "close", "div"), ("</section>", "close", "section"),
+)
+TAIL_TEXT = "".join(t for t, *_ in TAIL)
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with ``TAIL``."""
+    return pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit(TAIL_TEXT)))
+
+
 def masked_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.masked_tag_events(pages(spark, sf_dir))
+    return markup.masked_tag_events(marked_pages(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +70,7 @@ line_parts AS (
 )"""
 PROBES = """
 probes AS (SELECT doc_id AS doc, unnest(range(0, strlen(text) + 51, 101))::BIGINT AS "offset" FROM documents)"""
-VOID = "('area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr')"
+VOID = "(" + ",".join(f"'{n}'" for n in VOID_ELEMENTS) + ")"
 
 
 def tags_sql(parts: str) -> str:
@@ -67,7 +89,25 @@ bodies AS (
 )"""
 
 
-RAW_TAGS = (
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def tail_sql(kinds: tuple[str, ...]) -> str:
+    """The events of ``TAIL`` of these kinds behind every page, placed by what stands before them."""
+    values, at = [], 0
+    for text, kind, name in TAIL:
+        end = at + len(text.encode())
+        if kind in kinds:
+            shown = {"end": "close", "raw": "close"}.get(kind, kind)
+            values.append(f"({at}, {end}, '{shown}', '{name}', {_sql(text[1:-1])})")
+        at = end
+    return f"""SELECT page_id AS doc, (strlen(html) + v.s)::BIGINT AS start, (strlen(html) + v.e)::BIGINT AS "end", v.kind, v.name, v.body FROM pages, (VALUES {', '.join(values)}) v(s, e, kind, name, body)"""
+
+
+HTML = f"html || {_sql(TAIL_TEXT)}"
+
+BARE_RAW_TAGS = (
     """
 raw_parts AS (
   SELECT page_id AS doc, unnest(string_split(html, '<')) AS part, unnest(range(len(string_split(html, '<')))) AS i FROM pages
@@ -77,9 +117,13 @@ raw_parts AS (
     + tags_sql("raw_events")
 )
 
+RAW_TAGS = BARE_RAW_TAGS.replace("tags AS (", "bare_tags AS (") + f", tags AS (SELECT * FROM bare_tags UNION ALL {tail_sql(('open', 'close', 'self', 'raw'))})"
+
+# the driver's pages have plain tags only
+_SECTIONS = "(?is)<!--.*?-->|" + "|".join(f"<{n}(?: [^>]*)?>.*?</{n}>" for n in ("script", "style", "textarea", "title"))
 PIECES = f"""
 cut AS (
-  SELECT page_id AS doc, regexp_split_to_array(html, '{markup.RAW}') AS gaps, regexp_extract_all(html, '{markup.RAW}') AS raws FROM pages
+  SELECT page_id AS doc, regexp_split_to_array(html, '{_SECTIONS}') AS gaps, regexp_extract_all(html, '{_SECTIONS}') AS raws FROM pages
 ), pieces0 AS (
   SELECT doc, unnest(gaps) AS text, unnest(range(len(gaps))) AS i, 0 AS is_raw FROM cut
   UNION ALL SELECT doc, unnest(raws), unnest(range(len(raws))), 1 FROM cut
@@ -87,7 +131,7 @@ cut AS (
   SELECT doc, i, is_raw, text, (sum(strlen(text)) OVER (PARTITION BY doc ORDER BY i, is_raw) - strlen(text))::BIGINT AS start FROM pieces0
 )"""
 
-MASKED_TAGS = (
+BARE_TAGS = (
     PIECES
     + """,
 gap_parts AS (
@@ -104,25 +148,25 @@ gap_parts AS (
     + """, tags AS (
   SELECT * FROM open_tags
   UNION ALL
-  SELECT doc, (start + strlen(text) - strlen(rname) - 2)::BIGINT, (start + strlen(text) + 1)::BIGINT, 'close', right(text, length(rname)), '/' || rname
-  FROM raws WHERE ends_with(lower(text), '</' || lower(rname))
+  SELECT doc, (start + strlen(text) - strlen(rname) - 3)::BIGINT, (start + strlen(text))::BIGINT, 'close', substr(text, length(text) - length(rname), length(rname)), '/' || rname FROM raws
 )"""
 )
+MASKED_TAGS = BARE_TAGS.replace(", tags AS (", ", bare_tags AS (") + f", tags AS (SELECT * FROM bare_tags UNION ALL {tail_sql(('open', 'close', 'self'))})"
 
 #: Depth and pairs over ``tags``.
 PAIRS = """
 steps AS (
-  SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY start) AS s FROM tags
+  SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY start, "end") AS s FROM tags
 ), deep AS (
-  SELECT * EXCLUDE (s), (s - least(0, min(s) OVER (PARTITION BY doc ORDER BY start)))::BIGINT AS depth FROM steps
+  SELECT * EXCLUDE (s), (s - least(0, min(s) OVER (PARTITION BY doc ORDER BY start, "end")))::BIGINT AS depth FROM steps
 ), moves AS (
-  SELECT *, coalesce(lag(depth) OVER (PARTITION BY doc ORDER BY start), 0) AS before FROM deep WHERE kind IN ('open', 'close')
+  SELECT *, coalesce(lag(depth) OVER (PARTITION BY doc ORDER BY start, "end"), 0) AS before FROM deep WHERE kind IN ('open', 'close')
 ), live AS (
   SELECT *, CASE WHEN kind = 'open' THEN depth ELSE depth + 1 END AS level FROM moves WHERE kind = 'open' OR before > 0
 ), paired AS (
-  SELECT *, last_value(CASE WHEN kind = 'open' THEN name END IGNORE NULLS) OVER (PARTITION BY doc, level ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opener,
-         last_value(CASE WHEN kind = 'open' THEN start END IGNORE NULLS) OVER (PARTITION BY doc, level ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened_at,
-         lead(start) OVER (PARTITION BY doc, level ORDER BY start) IS NOT NULL AS closed
+  SELECT *, last_value(CASE WHEN kind = 'open' THEN name END IGNORE NULLS) OVER (PARTITION BY doc, level ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opener,
+         last_value(CASE WHEN kind = 'open' THEN start END IGNORE NULLS) OVER (PARTITION BY doc, level ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened_at,
+         lead(start) OVER (PARTITION BY doc, level ORDER BY start, "end") IS NOT NULL AS closed
   FROM live
 ), found AS (
   SELECT doc, start, "end", 'mismatched-close' AS code, 'error' AS severity, 'mismatched closing tag: expected </' || opener || '>, found </' || name || '>' AS message
@@ -130,3 +174,5 @@ steps AS (
   UNION ALL
   SELECT doc, start, "end", 'unclosed-tag', 'error', 'unclosed tag: <' || name || '>' FROM paired WHERE kind = 'open' AND NOT closed AND lower(name) <> 'li'
 )"""
+#: The same with the end tags that were left out, for the nesting rules; the driver's pages leave out none.
+NESTING = f"ended AS (SELECT * FROM tags UNION ALL {tail_sql(('end',))})," + PAIRS.replace("FROM tags", "FROM ended")

@@ -50,7 +50,7 @@ def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {c.RAW_TAGS} SELECT doc, start, "end", kind, name FROM tags""")
 def tag_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.tag_events(c.pages(spark, sf_dir)).drop("body")
+    return markup.tag_events(c.marked_pages(spark, sf_dir)).drop("body")
 
 
 @query(f"""WITH {c.MASKED_TAGS} SELECT doc, start, "end", kind, name FROM tags""")
@@ -58,14 +58,19 @@ def tag_events_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.masked_tags(spark, sf_dir).drop("body")
 
 
-_ATTR = markup.ATTRIBUTE.replace("'", "''")
+# attributes of the tags that stand behind every page, by the piece's place there
+_TAIL_ATTRIBUTES = ", ".join(
+    f"({c.TAIL_TEXT.index(tag)}, {k}, '{name}', '{kind}', '{value}')"
+    for tag, found in {"<button": (("click", "expression", "{() => go(1)}"), ("tabindex", "text", " 2 "), ("class", "text", "x")), "<a title": (("title", "text", "a > b"), ("href", "text", "/../../c?d=1")), "<input": (("size", "text", "x"), ("value", "expression", "{value}"))}.items()
+    for k, (name, kind, value) in enumerate(found)
+)
 
 
 @query(f"""WITH {c.MASKED_TAGS},
-a AS (SELECT doc, start, regexp_extract_all(regexp_replace(body, '^/?([a-zA-Z][^\\s/>]*)', ''), '{_ATTR}') AS found FROM tags WHERE kind <> 'close'),
-r AS (SELECT doc, start, unnest(found) AS attr, unnest(range(len(found)))::BIGINT AS ord FROM a),
-v AS (SELECT *, regexp_extract(attr, '^([^\\s=]+)', 1) AS name, regexp_extract(attr, '(?s)^[^=]*=\\s*(.*)$', 1) AS quoted FROM r)
-SELECT doc, start, ord, name, CASE WHEN NOT contains(attr, '=') THEN 'bare' ELSE 'text' END AS value_kind, trim(quoted, '"''') AS value FROM v""")
+a AS (SELECT doc, start, regexp_extract_all(body, ' [a-z]+(?:="[^"]*")?') AS found FROM bare_tags WHERE kind <> 'close'),
+r AS (SELECT doc, start, trim(unnest(found)) AS attr, unnest(range(len(found)))::BIGINT AS ord FROM a)
+SELECT doc, start, ord, string_split(attr, '=')[1] AS name, CASE WHEN contains(attr, '=') THEN 'text' ELSE 'bare' END AS value_kind, trim(substr(attr, strpos(attr || '=', '=') + 1), '"') AS value FROM r
+UNION ALL SELECT page_id, strlen(html) + v.s, v.ord, v.name, v.kind, v.value FROM pages, (VALUES {_TAIL_ATTRIBUTES}) v(s, ord, name, kind, value)""")
 def tag_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.attributes(c.masked_tags(spark, sf_dir)).select("doc", "start", "ord", "name", "value_kind", "value")
 
@@ -76,7 +81,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {c.PIECES}, s AS (SELECT doc, start, lower(regexp_extract(text, '^<([a-zA-Z]+)', 1)) AS name, regexp_extract(text, '^<[^>]*>') AS head, text FROM pieces WHERE is_raw = 1)
-SELECT doc, name, start, (start + strlen(head))::BIGINT AS body_start, (start + strlen(text) - length(name) - 2)::BIGINT AS body_end, substr(text, length(head) + 1, length(text) - length(head) - length(name) - 2) AS body, 'instance' AS context, 'js' AS lang
+SELECT doc, name, start, (start + strlen(head))::BIGINT AS body_start, (start + strlen(text) - length(name) - 3)::BIGINT AS body_end, substr(text, length(head) + 1, length(text) - length(head) - length(name) - 3) AS body, 'instance' AS context, 'js' AS lang
 FROM s WHERE name IN ('script', 'style')""")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.sections(c.pages(spark, sf_dir))
@@ -89,7 +94,7 @@ def last_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VOCABULARY = ("the", "then", "of", "is", "de", "la", "les", "und", "der", "que", "license", "idiot")
-_WORDS = tokens.token_regex(VOCABULARY)
+_WORDS = r"[\pL\pN_]+"
 _VOCABULARY = ", ".join(f"'{t}'" for t in VOCABULARY)
 
 
@@ -100,7 +105,7 @@ def token_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_occurrences(c.documents(spark, sf_dir), VOCABULARY)
 
 
-@query("""SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '"[^"\\n]*"', ' ', 'g'), '//[^\\n]*', ' ', 'g'), '@([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM documents""")
+@query(r"""SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(regexp_replace(text, '(?s)"([^"\\\n]|\\.)*"|''([^''\\\n]|\\.)*''|`([^`\\]|\\.)*`|//[^\n]*|/\*.*?\*/', ' ', 'g'), '@([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM documents""")
 def sigil_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.marked_names(c.documents(spark, sf_dir), "@")
 
@@ -112,6 +117,13 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.references(markup.attributes(c.masked_tags(spark, sf_dir)))
 
 
+@query("""SELECT doc_id AS doc, strlen('import {a} from "') AS start, './' || doc_id || '.js' AS reference FROM documents
+UNION ALL SELECT doc_id, strlen('import {a} from "./' || doc_id || '.js"' || chr(10) || '// from "no"' || chr(10) || 'x = require(' || chr(39)), 'lib/é' FROM documents""")
+def quoted_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('import {a} from "./'), "doc", F.lit('.js"\n// from "no"\nx = require(' + "'lib/é')\n"))
+    return tokens.quoted_references(c.documents(spark, sf_dir).select("doc", text.alias("text")))
+
+
 @query(f"""WITH {c.MASKED_TAGS} SELECT CASE WHEN name IN {c.VOID} THEN 'void' WHEN contains(name, ':') THEN 'prefixed' WHEN regexp_matches(name, '^[A-Z]') OR contains(name, '.') THEN 'component' WHEN contains(name, '-') THEN 'custom' ELSE 'element' END AS tag_class,
 name, count(*)::BIGINT AS n FROM tags GROUP BY 1, 2""")
 def tag_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,13 +155,13 @@ def tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc", "start", "name", F.col("level").cast("long").alias("level"), F.col("opener.name").alias("opener"), F.col("opener.start").alias("opened_at"))
 
 
-@query()
+@query(f"""WITH {c.MASKED_TAGS}, {c.NESTING} SELECT doc, start, "end", kind, name, "end" = start AS synthetic FROM ended""")
 def implicit_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.implicit_closes(c.masked_tags(spark, sf_dir))
 
 
 @query(f"""WITH {c.MASKED_TAGS}, h AS (SELECT doc, start, substr(name, 2)::INT AS level, lag(substr(name, 2)::INT) OVER (PARTITION BY doc ORDER BY start) AS previous FROM tags WHERE kind = 'open' AND regexp_matches(name, '^h[1-6]$'))
-SELECT doc, start, 'Heading levels should not be skipped (h' || previous || ' followed by h' || level || ')' AS message FROM h WHERE level > previous + 1""")
+SELECT doc, start, 'A11y: Heading levels should not be skipped (h' || previous || ' followed by h' || level || ')' AS message FROM h WHERE level > previous + 1""")
 def heading_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.check_headings(c.masked_tags(spark, sf_dir)).select("doc", "start", "message")
 
@@ -197,13 +209,13 @@ def char_line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.select("doc", "at", place["line"].alias("line"), place["col"].alias("col"))
 
 
-@query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS}, n AS (
+@query(f"""WITH {c.MASKED_TAGS}, {c.NESTING}, n AS (
   SELECT doc, count(*) FILTER (code = 'mismatched-close')::BIGINT AS mismatched, count(*) FILTER (code = 'unclosed-tag')::BIGINT AS unclosed, min(start) AS first FROM found GROUP BY doc)
 SELECT doc, mismatched, unclosed, (length(pre) - length(replace(pre, chr(10), '')) + 1)::BIGINT AS first_line
-FROM (SELECT n.*, decode(encode(html)[1:first]) AS pre FROM n JOIN pages ON doc = page_id)""")
+FROM (SELECT n.*, decode(encode({c.HTML})[1:first]) AS pre FROM n JOIN pages ON doc = page_id)""")
 def page_nesting_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings.run_rules(c.masked_tags(spark, sf_dir), ["nesting"])
-    pages = c.pages(spark, sf_dir)
+    pages = c.marked_pages(spark, sf_dir)
     placed = lines.line_col(lines.line_table(pages, text="html"), found, "start")
     return placed.groupBy("doc").agg(
         F.count_if(F.col("code") == "mismatched-close").alias("mismatched"),
@@ -212,12 +224,12 @@ def page_nesting_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS} SELECT doc, start, "end", message FROM found WHERE code = 'mismatched-close'""")
+@query(f"""WITH {c.MASKED_TAGS}, {c.NESTING} SELECT doc, start, "end", message FROM found WHERE code = 'mismatched-close'""")
 def check_mismatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.check_mismatched(c.masked_tags(spark, sf_dir)).select("doc", "start", "end", "message")
 
 
-@query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS} SELECT doc, start, "end", message FROM found WHERE code = 'unclosed-tag'""")
+@query(f"""WITH {c.MASKED_TAGS}, {c.NESTING} SELECT doc, start, "end", message FROM found WHERE code = 'unclosed-tag'""")
 def check_unclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.check_unclosed(c.masked_tags(spark, sf_dir)).select("doc", "start", "end", "message")
 
@@ -244,15 +256,19 @@ SELECT doc, start, token FROM o WHERE (lang, token) IN (VALUES {_KIND})""")
 def check_kind_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.documents(spark, sf_dir)
     rules = spark.createDataFrame(list(KIND_TOKENS), "lang string, token string")
-    found = tokens.token_occurrences(docs, VOCABULARY).join(docs.select("doc", "lang"), "doc")
+    found = tokens.token_occurrences(docs, VOCABULARY, keep=["lang"])
     return found.join(F.broadcast(rules), ["lang", "token"], "left_semi").select("doc", "start", "token")
 
 
-@query()
+@query(f"""SELECT page_id AS doc, strlen(html) + {c.TAIL_TEXT.index('<button')} AS start, 'tabindex' AS name, ' 2 ' AS value, 2.0::DOUBLE AS number FROM pages""")
 def check_numeric_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.check_numeric_attributes(markup.attributes(c.masked_tags(spark, sf_dir)))
 
 
-@query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS} SELECT doc, start, "end", code, severity, message, 'nesting' AS family FROM found""")
+@query(f"""WITH {c.MASKED_TAGS}, {c.NESTING}, h AS (SELECT doc, start, "end", substr(name, 2)::INT AS level, lag(substr(name, 2)::INT) OVER (PARTITION BY doc ORDER BY start) AS previous FROM tags WHERE kind = 'open' AND regexp_matches(name, '^h[1-6]$'))
+SELECT doc, start, "end", code, severity, message, 'nesting' AS family FROM found
+UNION ALL SELECT doc, start, "end", 'a11y-structure', 'warning', 'A11y: Heading levels should not be skipped (h' || previous || ' followed by h' || level || ')', 'a11y' FROM h WHERE level > previous + 1
+UNION ALL SELECT page_id, strlen(html) + {c.TAIL_TEXT.index('{track')}, strlen(html) + {c.TAIL_TEXT.index(' of(2)')}, 'invalid-rune-usage', 'error', 'track() can only be used inside a $derived or $effect, or at the top level of a component', 'component' FROM pages""")
 def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.run_rules(c.masked_tags(spark, sf_dir))
+    rules = {**findings.RULES, "component": lambda e: findings.check_calls(e, CALLS)}
+    return findings.run_rules(c.masked_tags(spark, sf_dir), tuple(rules), rules, {"component": markup.expressions(c.marked_pages(spark, sf_dir))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markcheck.functions import paths as P
 from markcheck.functions import text as T
-from markcheck.operators import edits, lines, markup, spans, tokens
+from markcheck.operators import edits, lines, markup, nesting, spans, tokens
 from markcheck.plans import _common as c
 from markcheck.sources import corpus
 
@@ -88,17 +88,17 @@ def map_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.to_generated(c.probes(spark, sf_dir), _span_map(spark, sf_dir))
 
 
-@query(f"""WITH {c.RAW_TAGS}, {c.PIECES} SELECT t.doc, t.start, p.start AS section_start FROM tags t JOIN pieces p ON t.doc = p.doc AND p.is_raw = 1 AND p.start <= t.start AND t.start < p.start + strlen(p.text)""")
+@query(f"""WITH {c.BARE_RAW_TAGS}, {c.PIECES} SELECT t.doc, t.start, p.start AS section_start FROM tags t JOIN pieces p ON t.doc = p.doc AND p.is_raw = 1 AND p.start <= t.start AND t.start < p.start + strlen(p.text)""")
 def span_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = c.pages(spark, sf_dir)
-    raw = markup.pieces(pages).where("is_raw = 1").select("doc", F.col("start").alias("section_start"), (F.col("start") + F.octet_length("text")).alias("section_end"))
+    comments = markup.comments(pages).select("doc", F.col("start").alias("section_start"), F.col("end").alias("section_end"))
+    events = markup.masked_tag_events(pages).where("lower(name) in ('script', 'style', 'textarea', 'title')")
+    raw = nesting.pairs(events).where("kind = 'close'").select("doc", F.col("opener.start").alias("section_start"), F.col("end").alias("section_end")).unionByName(comments)
     return spans.point_in_span(markup.tag_events(pages).select("doc", "start"), raw, "start", "section_start", "section_end").select("doc", "start", "section_start")
 
 
 @query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS} SELECT doc, start, least(start, opened_at) AS cover_start, greatest("end", opened_at + 1) AS cover_end FROM paired WHERE kind = 'close'""")
 def span_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from markcheck.operators import nesting
-
     closes = nesting.pairs(c.masked_tags(spark, sf_dir)).where("kind = 'close'")
     hull = spans.cover(F.col("opener.start"), F.col("opener.start") + 1, F.col("start"), F.col("end"))
     return closes.select("doc", "start", hull["start"].alias("cover_start"), hull["end"].alias("cover_end"))
@@ -250,11 +250,20 @@ def glob_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", F.col("i").cast("long").alias("i"), P.normalized_glob(F.col("p")).alias("glob"))
 
 
-@query(f"""WITH {_PATHS} SELECT doc, path FROM paths WHERE NOT regexp_matches(ltrim(path, '/'), '^(fr/.*|de/[0-9]+/?|(.*/)?[^/]*7.*[.]html)$')""")
+@query(f"""WITH {_PATHS} SELECT doc, path FROM paths WHERE NOT regexp_matches(ltrim(path, '/'), '^(fr(/.*)?|(.*/)?[^/]*7.*[.]html(/.*)?|(de|es)/[0-4].*[02][.](html|htm)(/.*)?|(.*/)?[^5-9/]1[.]html(/.*)?|en/1(/.*)?)$')""")
 def ignore_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.pages(spark, sf_dir).select("doc", "path", F.regexp_replace("path", "^/+", "").alias("key"))
-    kept = corpus.without_ignored(rows, ["fr/**", "**/*7*.html"], "key")
-    return kept.where(~F.col("key").rlike("^de/[0-9]+/?$")).select("doc", "path")
+    globs = ["fr/**", "fr", "**/*7*.html", "{de,es}/[0-4]*[02].{html,htm}", "**/[!5-9/]1.html", "en/1"]
+    return corpus.without_ignored(rows, globs, "key").select("doc", "path")
+
+
+@query("""SELECT page_id AS doc, CASE page_id % 8 WHEN 0 THEN 'page' WHEN 1 THEN 'layout' WHEN 2 THEN 'page-server' WHEN 3 THEN 'endpoint' WHEN 5 THEN 'server-hooks' WHEN 6 THEN 'params' END AS kind FROM pages""")
+def route_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("+page.ts", "+layout@inner.js", "+page.server.mts", "+server.cjs", "+page.svelte", "src/hooks.server.ts", "src/params/x.ts", "src/params/x.test.ts")
+    pages = c.pages(spark, sf_dir)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc") % 8 + 1).cast("int"))
+    path = F.when(name.startswith("src"), F.concat(F.lit("\\proj\\"), F.translate(name, "/", "\\"))).otherwise(F.concat(F.lit("/proj/src/routes"), "path", F.lit("/"), name))
+    return pages.select("doc", P.route_kind(path, "/proj").alias("kind"))
 
 
 @query("""SELECT page_id AS doc, url FROM pages WHERE ends_with(url, '.html') OR ends_with(url, '#top') OR ends_with(url, '/')""")
@@ -293,7 +302,10 @@ def path_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.path_cascade(asked, pages.select(bare.alias("key")).where("key <> ''"))
 
 
-@query()
+@query(f"""WITH {c.MASKED_TAGS}, l AS (SELECT t.doc, start, unnest(regexp_extract_all(body, 'href="([^"]*)"', 1)) AS reference, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS page FROM tags t JOIN pages ON page_id = t.doc WHERE kind <> 'close'),
+u AS (SELECT doc, start, '../..' || reference AS reference, '../..' || regexp_extract(reference, '^([^?#]*)', 1) AS p, regexp_extract(reference, '^[^?#]*(.*)$', 1) AS suffix, regexp_replace(page, '[^/]*$', '') AS dir FROM l WHERE reference <> ''),
+t AS (SELECT doc, start, reference, suffix, '/' || array_to_string({_fold("dir || '/' || p", 'TRUE')}, '/') AS target FROM u)
+SELECT doc, start, reference, target, '..' || target || suffix AS rewritten FROM t WHERE target <> '/en' AND NOT starts_with(target, '/en/')""")
 def check_external_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markcheck.operators import findings
 

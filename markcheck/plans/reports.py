@@ -192,7 +192,7 @@ def suffix_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.pages(spark, sf_dir).select("doc", F.array_join(both, " ").alias("everything"), F.array_join(F.array_except(both, F.array(F.lit("fr"), F.lit("de"))), " ").alias("others"))
 
 
-@query(f"""WITH {_EVENT_FINDINGS}, {c.MASKED_TAGS}, {c.PAIRS}
+@query(f"""WITH {_EVENT_FINDINGS}, {c.MASKED_TAGS}, {c.NESTING}
 SELECT 'p' || doc AS file, code, severity, start AS ordinal, 0::BIGINT AS phase FROM found UNION ALL SELECT file, code, severity, ordinal, 1 FROM ef
 UNION ALL SELECT 'd' || doc_id, 'label', CASE WHEN toxic = 1 THEN 'error' ELSE 'warning' END, doc_id, 2 FROM labels WHERE toxic = 1 OR quality = 0""")
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,18 +206,22 @@ def _all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.union(*(t.withColumn("phase", F.lit(i).cast("long")) for i, t in enumerate((pages, events, labels))))
 
 
-@query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS} SELECT doc, start, code, code = 'unclosed-tag' AS is_parse, 0::BIGINT AS phase, CASE code WHEN 'unclosed-tag' THEN 1 ELSE 0 END::BIGINT AS producer_rank, start AS ordinal FROM found""")
+@query(f"""WITH {_EVENT_FINDINGS}, {c.MASKED_TAGS}, {c.NESTING}, r AS (
+  SELECT 'p' || doc AS doc, start, code, code = 'unclosed-tag' AS is_parse, 0::BIGINT AS phase, CASE code WHEN 'unclosed-tag' THEN 1 ELSE 0 END::BIGINT AS producer_rank, start AS ordinal FROM found
+  UNION ALL SELECT file, ordinal % 7, code, severity = 'error', 1, 0, ordinal FROM ef)
+SELECT *, row_number() OVER (ORDER BY phase, doc, is_parse DESC, start, producer_rank, ordinal) - 1 AS position FROM r""")
 def sorted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings.run_rules(c.masked_tags(spark, sf_dir), ["nesting"])
     unclosed = F.col("code") == "unclosed-tag"
-    rows = found.select("doc", "start", "code", unclosed.alias("is_parse"), F.lit(0).cast("long").alias("phase"), unclosed.cast("long").alias("producer_rank"), F.col("start").alias("ordinal"))
-    return findings.ordered(rows)
+    own = found.select(F.concat(F.lit("p"), "doc").alias("doc"), "start", "code", unclosed.alias("is_parse"), F.lit(0).cast("long").alias("phase"), unclosed.cast("long").alias("producer_rank"), F.col("start").alias("ordinal"))
+    later = _event_findings(spark, sf_dir).select(F.col("file").alias("doc"), (F.col("ordinal") % 7).alias("start"), "code", (F.col("severity") == "error").alias("is_parse"), F.lit(1).cast("long").alias("phase"), F.lit(0).cast("long").alias("producer_rank"), "ordinal")
+    return findings.numbered(findings.ordered(own.unionByName(later)))
 
 
 # ---- reports --------------------------------------------------------------------------------------------------
 
-_PLACED = f"""{c.MASKED_TAGS}, {c.PAIRS}, page_parts AS (
-  SELECT page_id AS doc, unnest(string_split(html, chr(10))) AS text, unnest(range(len(string_split(html, chr(10))))) AS line FROM pages
+_PLACED = f"""{c.MASKED_TAGS}, {c.NESTING}, page_parts AS (
+  SELECT page_id AS doc, unnest(string_split({c.HTML}, chr(10))) AS text, unnest(range(len(string_split({c.HTML}, chr(10))))) AS line FROM pages
 ), plines AS (SELECT doc, line::BIGINT AS line, text, (sum(strlen(text) + 1) OVER (PARTITION BY doc ORDER BY line) - strlen(text) - 1)::BIGINT AS start FROM page_parts
 ), placed AS (
   SELECT f.doc, f.start, f."end", f.code, f.severity, f.message, s.line AS start_line, f.start - s.start AS start_col, e.line AS end_line, f."end" - e.start AS end_col, s.text AS snippet, url AS file
@@ -225,12 +229,10 @@ _PLACED = f"""{c.MASKED_TAGS}, {c.PAIRS}, page_parts AS (
 
 
 def _page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = c.pages(spark, sf_dir)
+    pages = c.marked_pages(spark, sf_dir)
     table = lines.line_table(pages, text="html")
     found = findings.run_rules(c.masked_tags(spark, sf_dir), ["nesting"])
-    begun = lines.line_col(table, found, "start").withColumnsRenamed({"line": "start_line", "col": "start_col"})
-    placed = lines.line_col(table, begun, "end").withColumnsRenamed({"line": "end_line", "col": "end_col"})
-    return lines.snippet(table, placed).join(pages.select("doc", F.col("url").alias("file")), "doc")
+    return lines.placed(table, found).join(pages.select("doc", F.col("url").alias("file")), "doc")
 
 
 @query(f"""WITH {_PLACED} SELECT to_json({{'type': 'Error', 'filename': file, 'start': {{'line': start_line + 1, 'column': start_col + 1, 'offset': start}}, 'end': {{'line': end_line + 1, 'column': end_col + 1, 'offset': "end"}}, 'message': message, 'code': code, 'source': 'markup'}})::VARCHAR AS json FROM placed""")
@@ -243,6 +245,11 @@ def report_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_line(_page_findings(spark, sf_dir))
 
 
+@query(f"""WITH {_PLACED} SELECT 'ERROR ' || file || ':' || (start_line + 1) || ':' || (start_col + 1) || ':' || (end_line + 1) || ':' || (end_col + 1) || ' ' || message || ' (markup(' || code || '))' AS line FROM placed""")
+def report_machine_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.as_line(_page_findings(spark, sf_dir), "markup")
+
+
 @query(f"""WITH {_PLACED} SELECT file || ':' || (start_line + 1) || ':' || (start_col + 1) || chr(10) || 'Error: ' || message || ' (' || code || ')' || chr(10) || chr(10) AS text FROM placed""")
 def report_human(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_text(_page_findings(spark, sf_dir))
@@ -263,7 +270,7 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT to_json({{'counts': {{'findings': findings, 'errors': errors, 'files': files}}, 'ms': {{'scan': NULL, 'check': NULL}}}})::VARCHAR AS json FROM n""")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _event_findings(spark, sf_dir).agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_distinct("file").alias("files"))
-    return report.run_metrics(counts, ["scan", "check"])
+    return report.run_metrics(counts, ["scan", "check"])  # durations differ from run to run
 
 
 @query("""WITH n AS (SELECT regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS name FROM pages),
@@ -334,6 +341,15 @@ def reuse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("path", F.lit(True).alias("reused")).unionByName(misses.select("path", F.lit(False).alias("reused")))
 
 
+@query(f"WITH {_SNAPSHOT} SELECT c.path, change = 'unchanged' AS reused, CASE WHEN change = 'unchanged' THEN -1 ELSE strlen(text) END::BIGINT AS result, strlen(text) AS ordinal FROM classes c JOIN neu USING (path)")
+def reuse_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, old = _snapshot(spark, sf_dir)
+    stored = old.select("fingerprint", F.lit(-1).cast("long").alias("result"))
+    size = F.octet_length("text").cast("long")
+    found = incremental.reused(new.withColumn("ordinal", size), stored, lambda rows: rows.withColumn("result", size))
+    return found.select("path", "reused", "result", "ordinal")
+
+
 @query(f"WITH {_SNAPSHOT} SELECT path, change FROM classes")
 def change_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.change_classes(*_snapshot(spark, sf_dir), "path")
@@ -364,6 +380,27 @@ def group_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.group_fingerprints(c.table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
+@query("""WITH h AS (SELECT doc_id % 97 AS grp, lang <> 'es' AS later, sha256(doc_id || chr(0) || text) AS h FROM documents),
+u AS (SELECT * FROM (SELECT *, bool_or(NOT later) OVER (PARTITION BY grp) AS has FROM h) WHERE later <> has),
+s AS (SELECT grp, count(*) AS members, sum(('0x' || substr(h, 1, 15))::BIGINT) AS a, sum(('0x' || substr(h, 16, 15))::BIGINT) AS b, sum(('0x' || substr(h, 31, 15))::BIGINT) AS c, sum(('0x' || substr(h, 46, 15))::BIGINT) AS d FROM u GROUP BY grp)
+SELECT grp, members::BIGINT AS members, sha256(concat_ws('|', members::VARCHAR, a::VARCHAR, b::VARCHAR, c::VARCHAR, d::VARCHAR)) AS manifest FROM s""")
+def group_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = c.table(spark, sf_dir, "documents").withColumn("grp", F.col("doc_id") % 97)
+    return incremental.group_fingerprints(rows, "grp", "doc_id", "text", F.col("lang") != "es")
+
+
+@query("""SELECT source || '/' || doc_id AS path, text, source FROM documents""")
+def change_only_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands after the earlier snapshot was written, then the present one, then that again."""
+    new, old = (t.drop("fingerprint") for t in _snapshot(spark, sf_dir))
+    path = f"{shared_dir(spark)}/markcheck-snapshot-{uuid.uuid4().hex}"
+    for rows in (old, new, new):
+        counts = incremental.write_changed(rows, path, "path", "text")
+    if counts["written"] or counts["removed"]:
+        raise ValueError(f"an equal snapshot was written again: {counts}")
+    return incremental.read_snapshot(spark, path)
+
+
 # ---- streams --------------------------------------------------------------------------------------------------
 
 
@@ -374,7 +411,7 @@ def _check(batch: DataFrame) -> DataFrame:
     return found.select(F.col("doc").alias("path"), "start", "code")
 
 
-@query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS} SELECT page_id AS path, start, code FROM pages LEFT JOIN found ON doc = page_id""")
+@query(f"""WITH {c.BARE_TAGS}, {c.PAIRS} SELECT page_id AS path, start, code FROM pages LEFT JOIN found ON doc = page_id""")
 def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watches the pages table until it has seen all of it; what stands then is what one batch would give."""
     base = f"{shared_dir(spark)}/markcheck-stream-{uuid.uuid4().hex}"

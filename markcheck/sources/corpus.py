@@ -39,8 +39,8 @@ def suffix_union(native: Sequence[str], extra: Sequence[str]) -> list[str]:
 
 
 def without_ignored(files: DataFrame, globs: Sequence[str] = DEFAULT_IGNORES, path: str = "path") -> DataFrame:
-    """Files that no glob matches; many globs go as a table, a few as one expression."""
-    patterns = [paths.glob_regex(g) for g in globs]
+    """Files that no glob matches, nor a folder that they are in; many globs go as a table, a few as one expression."""
+    patterns = [paths.glob_regex(g)[:-1] + "(?:/.*)?$" for g in globs]
     if not patterns:
         return files
     if len(patterns) <= INLINE_GLOBS:

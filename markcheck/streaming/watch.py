@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from markcheck.operators.incremental import fingerprint
+from markcheck.scratch import materialize
 
 Check = Callable[[DataFrame], DataFrame]
 
@@ -41,6 +43,61 @@ def current(spark: SparkSession, snapshots: str) -> DataFrame:
 
 
 def watch(stream: DataFrame, check: Check, snapshots: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Starts the watch; ``once`` takes what is there and stops. New files count, as do changed ones under new names."""
+    """Starts the watch; ``once`` takes what is there and stops. Takes new files; ``watch_edits`` also sees edited ones."""
     writer = stream.writeStream.foreachBatch(lambda batch, i: upsert(batch, i, check, snapshots)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+
+def listing(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
+    """``path, modified, bytes`` of the files under ``root`` by suffix; no file is read."""
+    glob = f"*{suffixes[0]}" if len(suffixes) == 1 else "*{" + ",".join(suffixes) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def recheck(spark: SparkSession, root: str, suffixes: Sequence[str], batch_id: int, check: Check, snapshots: str) -> None:
+    """Version ``batch_id`` of the findings under ``root``: of files that are new or not as last seen, and of those that went.
+
+    Files modified before the oldest of these are not read. Doing a batch again writes the same version.
+    """
+    now = materialize(listing(spark, root, suffixes), "listing")
+    last = _state(spark, snapshots, batch_id)
+    before = last.select("path", "modified", "bytes").distinct() if last is not None else now.limit(0)
+    changed = materialize(now.join(before, ["path", "modified", "bytes"], "left_anti"), "changed-files")
+    gone = before.select("path").join(now, "path", "left_anti")
+    since = changed.agg(F.min("modified")).first()[0]
+    if since is None and gone.isEmpty():
+        return
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if since is not None:
+        files = files.where(F.col("modificationTime") >= F.lit(since))
+    texts = files.select("path", F.col("content").cast("string").alias("text")).join(changed, "path")
+    found = changed.join(check(texts.select("path", "text")), "path", "left").withColumn("gone", F.lit(False))
+    rows = found.unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+    rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+
+
+def _state(spark: SparkSession, snapshots: str, before: int | None = None) -> DataFrame | None:
+    """The rows of each path's last version, of files that are still there."""
+    try:
+        rows = spark.read.option("mergeSchema", True).parquet(f"{snapshots}/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if before is not None:
+        rows = rows.where(F.col("batch_id") < before)
+    last = rows.groupBy("path").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["path", "batch_id"], "left_semi").where("not gone")
+
+
+def watch_edits(spark: SparkSession, root: str, suffixes: Sequence[str], check: Check, snapshots: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
+    """Starts a watch that lists the files again with every tick, and so sees edited and vanished ones too."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda _, i: recheck(spark, root, suffixes, i, check, snapshots))
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def standing(spark: SparkSession, snapshots: str) -> DataFrame | None:
+    """What ``watch_edits`` has found so far, None before its first version."""
+    return _state(spark, snapshots)

@@ -1,5 +1,9 @@
 """Small inputs with known answers."""
 
+import json
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ def rows(df, *columns):
 
 
 CASES = [
-    ("<h1>Title</h1><h3>Skipped h2</h3>", ["Heading levels should not be skipped (h1 followed by h3)"]),
+    ("<h1>Title</h1><h3>Skipped h2</h3>", ["A11y: Heading levels should not be skipped (h1 followed by h3)"]),
     ("<h1>Title</h1><h2>Section</h2><h3>Subsection</h3>", []),
     ("<h3>a</h3><h1>b</h1><h2>c</h2>", []),
     ("<div>Content</span>", ["mismatched closing tag: expected </div>, found </span>"]),
@@ -30,6 +34,14 @@ CASES = [
     ("<br><img src=x><i/>", []),
     ("<p><!-- <b> --><script>'</p><b>'</script></p>", []),
     ("<script>never closed <b>", ["unclosed tag: <script>"]),
+    ("<ul><li>Item 1<li>Item 2<li>Item 3</ul>", []),
+    ("<ul><li><ul><li>a</li></ul></li><li>b</li></ul>", []),
+    ("<ol><li><b>x</b><ul><li>a<li>b</ul><li>c</ol>", []),
+    ("<ul><li>a<li>b</li></li></ul>", ["mismatched closing tag: expected </ul>, found </li>"]),
+    ("<button on:click={() => go(1)} class='x'>b</button>", []),
+    ("<a title='a > b' href=\"</b>\">l</a>", []),
+    ("<p><script>if (a) '</scripty>'<b></script ><i></i></p>", []),
+    ("<style>a{}</STYLE\n>", ["mismatched closing tag: expected </style>, found </STYLE>"]),
     ("", []),
 ]
 
@@ -47,15 +59,31 @@ def test_depth_floors_at_zero(spark):
 def test_optional_end_tags(spark):
     closed = nesting.implicit_closes(tags(spark, "<ul><li>1<li>2<li>3</ul>", "<ul><li>a</li></ul>", "<b><li>x</b>"))
     assert rows(closed.where("synthetic"), "doc", "start", "name") == [(0, 9, "li"), (0, 14, "li"), (0, 19, "li")]
-    assert [r.message for r in findings.check_mismatched(closed.withColumn("body", F.lit("")).where("doc = 0").where("kind <> 'void'").withColumn("start", F.col("start") * 2 + (~F.col("synthetic")).cast("long"))).collect()] == []
+    ended = nesting.with_optional_ends(tags(spark, "<ul><li>1<li>2<li>3</ul>", "<ul><li>a</li></ul>", "<b><li>x</b>"))
+    assert rows(ended.where("start = end"), "doc", "start", "name") == [(0, 9, "li"), (0, 14, "li"), (0, 19, "li")]
+    assert rows(ended.where("doc > 0"), "doc", "start", "kind") == [(1, 0, "open"), (1, 4, "open"), (1, 9, "close"), (1, 14, "close"), (2, 0, "open"), (2, 3, "open"), (2, 8, "close")]
+
+
+def test_tags_step_over_quotes_and_braces(spark):
+    text = "<a t=\"x > y\" on:e={() => { go(1) }} b>é</a ><script>1</scripty></script >{call(1)} x={y}<i x=don't>"
+    placed = [(text.encode()[r.start : r.end].decode(), r.kind, r.name) for r in tags(spark, text).orderBy("start").collect()]
+    assert placed == [('<a t="x > y" on:e={() => { go(1) }} b>', "open", "a"), ("</a >", "close", "a"), ("<script>", "open", "script"), ("</script >", "close", "script"), ("<i x=don't>", "open", "i")]
+    pages = spark.createDataFrame([(1, text)], "doc long, html string")
+    assert [(text.encode()[r.start : r.end].decode(), r.text) for r in markup.expressions(pages).orderBy("start").collect()] == [("{call(1)}", "call(1)"), ("{y}", "y")]
+    found = findings.run_rules(tags(spark, text), ["component"], inputs={"component": markup.expressions(spark.createDataFrame([(1, "<p a={$state(0)}>{$state(0)} {$stateValue} {my$state(0)}</p>")], "doc long, html string"))})
+    assert rows(found, "start", "end", "code", "severity") == [(17, 28, "invalid-rune-usage", "error")]
+    long = "<p " + "a=\"x\" " * 50_000 + ">"
+    assert tags(spark, long).select("end").first()[0] == len(long)
 
 
 def test_attributes(spark):
     found = markup.attributes(tags(spark, "<div class=\"foo\" class='bar' hidden on:click|once|self={go} x={a} y=\"p{b}q\" n=5>"))
     assert rows(found, "ord", "name", "value_kind", "value") == [(0, "class", "text", "foo"), (1, "class", "text", "bar"), (2, "hidden", "bare", ""), (3, "click", "expression", "{go}"), (4, "x", "expression", "{a}"), (5, "y", "mixed", "p{b}q"), (6, "n", "text", "5")]
     assert [(r.directive, r.modifiers) for r in found.where("ord = 3").collect()] == [("on", ["once", "self"])]
-    numeric = findings.check_numeric_attributes(markup.attributes(tags(spark, '<img width="10" height="NaN" alt="3" tabindex="{1}" rows=" 2.5 ">')))
-    assert rows(numeric, "name", "number") == [("rows", 2.5), ("width", 10.0)]
+    numeric = findings.check_numeric_attributes(markup.attributes(tags(spark, '<img width="10" span="NaN" alt="3" tabindex="{1}" rows=" 2.5 " aria-level="2" ROWS=1>')))
+    assert rows(numeric, "name", "number") == [("aria-level", 2.0), ("rows", 2.5)]
+    found = markup.attributes(tags(spark, "<a {name} {...rest} on:click={() => go({ a: 1 })} t=\"a > b\" u=x{y}z>"))
+    assert rows(found, "ord", "name", "value_kind", "value") == [(0, "name", "expression", "{name}"), (1, "...rest", "expression", "{...rest}"), (2, "click", "expression", "{() => go({ a: 1 })}"), (3, "t", "text", "a > b"), (4, "u", "mixed", "x{y}z")]
 
 
 def test_sections(spark):
@@ -183,7 +211,12 @@ def test_names_and_tokens(spark):
     calls = spark.createDataFrame([(1, "{$state(0)}"), (2, "$stateValue"), (3, "my$state(0)"), (4, "$state.raw(0) $state(1)"), (5, "é$state(0)")], "doc long, text string")
     assert rows(tokens.first_calls(calls, ["$state"]), "doc", "start") == [(1, 1)]
     refs = spark.createDataFrame([(1, "import a from './a'; require(\"b\"); x('no')")], "doc long, text string")
-    assert rows(tokens.quoted_references(refs), "reference") == [("./a",), ("b",)]
+    assert rows(tokens.quoted_references(refs), "start", "reference") == [(15, "./a"), (30, "b")]
+    refs = spark.createDataFrame([(1, "// from 'c'\né = import('d') /* import 'e' */")], "doc long, text string")
+    assert rows(tokens.quoted_references(refs), "start", "reference") == [(25, "d")]
+    code = spark.createDataFrame([(1, "of 'of' `of` /* of */ \"a\\\"of\" // of\nof's $a '$b' `$c` /* $d */")], "doc long, text string")
+    assert rows(tokens.token_occurrences(code, ["of"], skip=tokens.CODE, keep=["text"]), "start") == [(0,), (36,)]
+    assert rows(tokens.marked_names(code.withColumn("text", F.lit("$a '$b' `$c` /* $d */ $a")), "$"), "name") == [("a",)]
 
 
 def test_overrides_come_before_the_threshold(spark):
@@ -213,6 +246,8 @@ def test_layers_and_chains(spark):
     assert rows(out, "name", "value", "base") == [("x", "1", "b0"), ("y", "3", "b2")]
     chain = config.chain(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", None)], "node string, parent string"))
     assert rows(chain.where("node in ('a', 'd')"), "node", "ancestor", "distance") == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("d", "d", 0)]
+    line = config.chain(spark.createDataFrame([(k, k + 1 if k < 99 else None) for k in range(100)], "node int, parent int"))
+    assert line.count() == 5050 and rows(line.where("node = 0").agg(F.max("distance").alias("d"), F.count("*").alias("n")), "d", "n") == [(99, 100)]
 
 
 def test_incremental_cases(spark, tmp_path):
@@ -228,13 +263,77 @@ def test_incremental_cases(spark, tmp_path):
     assert incremental.write_changed(old.select("path", "text"), target, "path", "text") == {"written": 3, "skipped": 0, "removed": 0}
     assert incremental.write_changed(old.select("path", "text"), target, "path", "text") == {"written": 0, "skipped": 3, "removed": 0}
     assert incremental.write_changed(new.select("path", "text"), target, "path", "text") == {"written": 2, "skipped": 1, "removed": 1}
-    assert rows(spark.read.parquet(target), "path") == [("a",), ("b",), ("d",)]
+    assert rows(incremental.read_snapshot(spark, target), "path", "text") == [("a", "1"), ("b", "2 "), ("d", "4")]
+    (tmp_path / "out" / "version=000000009-torn").mkdir()  # a writer that failed leaves no mark
+    (tmp_path / "out" / "version=000000009-torn" / "part-0.parquet").write_bytes(b"torn")
+    assert incremental.write_changed(new.select("path", "text"), target, "path", "text") == {"written": 0, "skipped": 3, "removed": 0}
+    assert incremental.read_snapshot(spark, str(tmp_path / "none")) is None
+    numbered = new.withColumn("ordinal", F.ascii("path") * -1)
+    out = incremental.reused(numbered, old.select("fingerprint", F.lit("old").alias("result")), lambda r: r.withColumn("result", F.lit("new"))).collect()
+    assert [(r.path, r.result, r.reused) for r in out] == [("d", "new", False), ("b", "new", False), ("a", "old", True)]
+    members = spark.createDataFrame([("g", "lock", "1", False), ("g", "spare", "2", True), ("h", "spare", "2", True)], "grp string, name string, content string, later boolean")
+    with_spare = {r.grp: (r.members, r.manifest) for r in incremental.group_fingerprints(members, "grp", "name", "content", F.col("later")).collect()}
+    alone = {r.grp: (r.members, r.manifest) for r in incremental.group_fingerprints(members.where("not later or grp = 'h'"), "grp", "name", "content").collect()}
+    assert with_spare == alone
     states = incremental.correlate(old.select("path"), new.select("path"), "path")
     assert rows(states, "path", "state") == [("a", "answered"), ("b", "answered"), ("c", "missing"), ("d", "unknown")]
     with pytest.raises(Exception, match="not answered exactly once"):
         incremental.assert_correlated(states).collect()
 
 
+def test_metrics_measure_phases(spark):
+    phases = report.Phases()
+    with phases("scan"):
+        spark.range(3).count()
+    out = json.loads(report.run_metrics(spark.range(3).agg(F.count("*").alias("files")), ["scan", "check"], phases).first().json)
+    assert out["counts"] == {"files": 3} and out["ms"]["scan"] > 0 and out["ms"]["check"] is None
+
+
+def test_globs_and_routes(spark):
+    paths_ = ["a/x.test.ts", "a/x.spec.ts", "a/x.ts", "docs/readme", "docs/1/a", "b5.js", "bx.js", "src/lib/y,z"]
+    files = spark.createDataFrame([(p,) for p in paths_], "path string")
+    assert rows(corpus.without_ignored(files, ["**/*.{test,spec}.ts", "docs", "b[0-9].js", "{q,src/{lib,x}/*}"]), "path") == [("a/x.ts",), ("bx.js",)]
+    assert rows(corpus.without_ignored(files, ["b[!0-9].js", "**/x.*"]), "path") == [("b5.js",), ("docs/1/a",), ("docs/readme",), ("src/lib/y,z",)]
+    routes = {"/r/src/routes/+page@.ts": "page", "/r/a/+layout.server.js": "layout-server", "/r/+page.svelte": None, "/r/src/hooks.ts": "universal-hooks", "/r/src/params/m.js": "params", "/r/lib/src/params/m.js": None, "/r/src/params/m.spec.js": None, "ts": None}
+    found = spark.createDataFrame([(p,) for p in routes], "path string").select("path", paths.route_kind(F.col("path"), "/r").alias("kind"))
+    assert {r.path: r.kind for r in found.collect()} == routes
+
+
+def test_a_watch_sees_edited_and_vanished_files(spark, tmp_path):
+    root, snapshots = tmp_path / "site", str(tmp_path / "snap")
+    root.mkdir()
+
+    def check(batch):
+        return findings.run_rules(markup.masked_tag_events(batch, "path", "text"), ["nesting"]).select(F.col("doc").alias("path"), "code")
+
+    def pass_over(batch_id):
+        watch.recheck(spark, str(root), [".page"], batch_id, check, snapshots)
+        return sorted((r.path.rpartition("/")[2], r.code) for r in watch.standing(spark, snapshots).collect())
+
+    def write(name, text, at):
+        (root / name).write_text(text)
+        os.utime(root / name, (at, at))
+
+    write("a.page", "<b>x</i>", 1_000)
+    write("b.page", "<b>", 2_000)
+    first = [("a.page", "mismatched-close"), ("b.page", "unclosed-tag")]
+    assert pass_over(0) == first and pass_over(1) == first
+    write("b.page", "<b></b>", 3_000)
+    assert pass_over(2) == [("a.page", "mismatched-close"), ("b.page", None)]
+    write("a.page", "<b>", 4_000)
+    (root / "b.page").unlink()
+    assert pass_over(3) == [("a.page", "unclosed-tag")] == pass_over(3)
+    query = watch.watch_edits(spark, str(root), [".page"], check, str(tmp_path / "snap2"), str(tmp_path / "check2"))
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if (now := watch.standing(spark, str(tmp_path / "snap2"))) is not None:
+                break
+        assert [r.code for r in now.collect()] == ["unclosed-tag"]
+    finally:
+        query.stop()
+
+
 def test_files_and_watch(spark, tmp_path):
     root = tmp_path / "site"
     (root / "sub").mkdir(parents=True)
