@@ -151,7 +151,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without its contaminated rows, each judged by itself; columns stay as they are."""
+    """``docs`` without its contaminated rows, each judged by itself, also where rows repeat an id; columns stay as they are.
+
+    Nulls and texts without words stay, as does everything where the benchmark is empty.
+    """
     return _annotated(docs, benchmark, width, block_bytes, text_col, item_col, item_text_col).where(~F.col("__contaminated")).select(*docs.columns)
 
 

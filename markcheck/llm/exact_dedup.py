@@ -12,6 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markcheck.llm._drop import without
 from markcheck.scratch import materialize
 
 #: Characters that do not count when texts are compared.
@@ -87,9 +88,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; columns stay as they are, rows without an id stay."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["__drop"], "left_anti")
+    """``docs`` without the rows whose text another row keeps; columns stay as they are, rows without an id stay.
+
+    All empty texts and nulls are copies of each other; rows that repeat an id go together if one of them goes.
+    """
+    return without(docs, exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null").select("doc_id"), id_col)
 
 
 ORACLE = r"""

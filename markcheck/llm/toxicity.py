@@ -153,7 +153,10 @@ def score(docs: DataFrame, model: ToxicityModel, folds: int = 5, held_out: int =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model predicts to be toxic; columns stay as they are."""
+    """``docs`` without the rows that the model predicts to be toxic, each by itself; columns stay as they are.
+
+    Nulls and empty texts count as texts without windows; without both kinds of labels the more frequent kind decides.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
