@@ -6,8 +6,8 @@ content importance one minus the mean entropy of its sentences over pages: boile
 say something else on every page. Branches whose combined importance is low are cut from each page.
 
 Elements that say what they are (navigation, scripts, forms) are presentation nodes of known importance. A core (an
-article or a main part) is a bonus: what lies outside the cores of a page goes, and a block inside one goes where the
-tree shows it clearly to repeat.
+article or a main part) is prior knowledge that adds to the importance of the blocks inside it and takes from those
+outside: a block inside goes where the tree shows it clearly to repeat, and at the given settings none outside is left.
 
 Entropies are divided by their maximum, the log of the number of pages that show the node, so other pages and hosts do
 not matter to it. Copies of a page share the weight of one, and one page that says something else is added to those
@@ -37,8 +37,8 @@ from markcheck.scratch import materialize
 FEW_PAGES = 8
 #: Branches under this importance go.
 KEEP = 0.35
-#: What lying in a core adds to the importance of a block.
-CORE_BONUS = 0.2
+#: What lying in a core adds to the importance of a block, and what lying outside the cores of its page takes away.
+CORE_BONUS, OUTSIDE = 0.2, 0.7
 #: Weight of a node's own presentation against its children's, by number of styles seen.
 GAMMA = 0.9
 #: Levels of a path.
@@ -312,10 +312,10 @@ def trees(pages: DataFrame, keep: float = KEEP, few: int = FEW_PAGES) -> DataFra
     return merged.mapInArrow(weigh, "site string, paths array<bigint>, importance array<double>")
 
 
-def _blocks(parts: list[tuple[str, Node]], importance: dict[int, float], keep: float, core: bool) -> list[str]:
-    """Texts of the blocks that stay, in page order, of ``parts`` as (path of the parent, node)."""
+def _blocks(root: Node, importance: dict[int, float], keep: float, cores: set[Node]) -> list[str]:
+    """Texts of the blocks whose importance, with what the cores of the page say beforehand, reaches ``keep``, in page order."""
     out: list[list[str]] = [[]]
-    stack = [(iter([node]), path, core, False, False) for path, node in reversed(parts)]
+    stack = [(iter(root.children), "", False, bool(cores), False)]
     while stack:
         children, path, core, low, block = stack[-1]
         child = next(children, None)
@@ -329,40 +329,38 @@ def _blocks(parts: list[tuple[str, Node]], importance: dict[int, float], keep: f
         elif child.name == "br":
             out[-1].append(" ")
         elif not child.noise and (child.name != "header" or core):
-            where = _below(path, child) if child.name != "#page" else path
+            where, inside = _below(path, child), core or child in cores
             if child.name in BLOCK:
                 out.append([])
             # what matters below an unimportant node stays; in a core, running text is not torn apart
-            if not core or child.name in BLOCK:
-                low = importance.get(_key(where), 1.0) + CORE_BONUS * core < keep
-            stack.append((iter(child.children), where, core, low, child.name in BLOCK))
+            if not inside or child.name in BLOCK:
+                low = importance.get(_key(where), 1.0) + (CORE_BONUS if inside else -OUTSIDE if cores else 0.0) < keep
+            stack.append((iter(child.children), where, inside, low, child.name in BLOCK))
     return [t for parts in out if (t := " ".join(entities.unescape("".join(parts)).split()))]
 
 
 def extract(page: str | None, importance: dict[int, float], keep: float = KEEP) -> str:
-    """Main text of one page, given the importance of its site's paths by their hashes; a page with a core keeps of the core what does not repeat, and nothing else."""
+    """Main text of one page, given the importance of its site's paths by their hashes."""
     if not page:
         return ""
     root = parse(page)
     cores = _cores(root)
-    inside = sum(node.size for _, node, _ in cores)
-    if all(held for *_, held in cores) and root.size - inside > inside:
+    inside = sum(node.size for node, _ in cores)
+    if all(held for _, held in cores) and root.size - inside > inside:
         cores = []  # named like a list of related or of comments, and less than the rest
-    cores = [(path, node) for path, node, _ in cores]
-    return "\n\n".join(_blocks(cores or [("", root)], importance, keep, bool(cores)))
+    return "\n\n".join(_blocks(root, importance, keep, {node for node, _ in cores}))
 
 
-def _cores(root: Node) -> list[tuple[str, Node, bool]]:
-    """Outermost cores with their parents' paths, and whether an element named like noise holds them."""
-    found, stack = [], [("", root, False)]
+def _cores(root: Node) -> list[tuple[Node, bool]]:
+    """Outermost cores, and whether an element named like noise holds them."""
+    found, stack = [], [(root, False)]
     while stack:
-        path, node, held = stack.pop()
+        node, held = stack.pop()
         held = held or node.held
         if node.core:
-            found.append((path, node, held))
+            found.append((node, held))
         elif not node.noise:
-            where = _below(path, node) if node is not root else path
-            stack += [(where, c, held) for c in reversed(node.children) if isinstance(c, Node)]
+            stack += [(c, held) for c in node.children if isinstance(c, Node)]
     return found
 
 
