@@ -1,7 +1,8 @@
 """Reports: counts, summaries and the output formats of findings.
 
 Findings here have ``file, severity, message, code, start_line, start_col, end_line, end_col, start, end`` with
-positions from 0; what is printed counts lines and columns from 1 and offsets from 0.
+positions from 0; what is printed counts lines and columns from 1 and offsets from 0. The wording of summaries, warnings
+and findings below are fixed values that readers of reports rely on.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ def summary(findings: DataFrame, fail_on_warnings: bool = False, file: str = "fi
 
 
 def skipped_by_suffix(files: DataFrame, suffixes: list[str], name: str = "name") -> DataFrame:
-    """``label, files, text``: by the longest given suffix a name ends with, else its last extension, else the whole name."""
+    """``label, files, text`` in order of label: by the longest given suffix a name ends with, else its last extension, else the whole name."""
     longest = sorted(suffixes, key=lambda s: (-len(s), s))
     known = F.coalesce(*[F.when(F.col(name).endswith(s), s) for s in longest]) if longest else F.lit(None).cast("string")
     last = F.regexp_extract(name, r"(\.[^.]+)$", 1)
     label = F.coalesce(known, F.when(last != "", last), F.col(name))
     rows = files.groupBy(label.alias("label")).agg(F.count("*").alias("files"))
-    return rows.withColumn("text", F.concat(F.lit("warning: "), _count_of(F.col("files"), "file"), F.lit(" with unregistered extension ("), F.col("label"), F.lit(") skipped")))
+    return rows.withColumn("text", F.concat(F.lit("warning: "), _count_of(F.col("files"), "file"), F.lit(" with unregistered extension ("), F.col("label"), F.lit(") skipped"))).orderBy("label")
 
 
 def _place(prefix: str, offset: str) -> Column:
