@@ -29,6 +29,8 @@ from markcheck.scratch import materialize
 MIN_WORDS, GRAM = 50, 8
 #: Stretches that one group of the comparing step holds on average; what is so frequent by itself is dealt apart.
 BUCKET = 500_000
+#: Stretches that a task holds before it deals them to groups, so that rows stay few however many groups there are.
+HELD = 500_000
 
 _PACKED = "bucket long, docs binary, starts binary, lengths binary, stretches binary"
 _FOUND = "doc_id long, start int, end int, other long, frequent long"
@@ -59,34 +61,44 @@ def _runs(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, ...]:
 
 
 def _pack(min_words: int, buckets: int, frequencies, least: int):
-    """Per slice and bucket one row with its runs and their stretches."""
+    """Per bucket and some slices one row with runs and their stretches."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        bucket, doc, start, length, stretches = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        first, order = np.cumsum(length) - length, np.argsort(bucket, kind="stable")
+        bucket, doc, start, length, first = (x[order] for x in (bucket, doc, start, length, first))
+        stretches = stretches[np.repeat(first - (np.cumsum(length) - length), length) + np.arange(len(stretches))]
+        cut = starts_of(bucket)
+        ends = np.append(cut[1:], len(bucket))
+        sent = np.concatenate(([0], np.cumsum(length)))
+        columns = [pa.array([x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()) for x in (doc, start, length.astype(np.int32))]
+        columns.append(pa.array([stretches[sent[i] : sent[j]].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *columns], ["bucket", "docs", "starts", "lengths", "stretches"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in slices(batches, SLICE, SLICE_BYTES):
             doc, start, length, gram, stretches = _runs(b, min_words)
             if not len(doc):
                 continue
             # runs of frequent minimisers fall into single stretches, and frequent ones of these go to any bucket
             single = times_of(gram, frequencies.value) >= least
-            runs = np.repeat(np.arange(len(doc)), np.where(single, length, 1))
-            inside = np.arange(len(runs)) - np.repeat(np.cumsum(c := np.where(single, length, 1)) - c, c)
-            ends = np.cumsum(length)
-            doc, start, length, single, first = doc[runs], start[runs] + inside.astype(np.int32), np.where(single, 1, length)[runs], single[runs], (ends - length)[runs] + inside
+            pieces = np.where(single, length, 1)
+            runs = np.repeat(np.arange(len(doc)), pieces)
+            inside = np.arange(len(runs)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = (np.cumsum(length) - length)[runs] + inside
+            doc, start, length, single = doc[runs], start[runs] + inside.astype(np.int32), np.where(single, 1, length)[runs], single[runs]
             bucket = (gram[runs] % _U(buckets)).astype(np.int64)
             bucket[single] = (mix(stretches[first[single]]) % _U(buckets)).astype(np.int64)
             apart = np.flatnonzero(single)
             apart = apart[times_of(stretches[first[apart]], frequencies.value) >= least]
             bucket[apart] = buckets + (mix(doc[apart].view(_U)) % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, doc, start, length, first = (x[order] for x in (bucket, doc, start, length, first))
-            each = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            cut = starts_of(bucket)
-            ends = np.append(cut[1:], len(bucket))
-            words = np.concatenate(([0], np.cumsum(length)))
-            columns = [pa.array([x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()) for x in (doc, start, length.astype(np.int32))]
-            sent = stretches[each]
-            columns.append(pa.array([sent[words[i] : words[j]].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *columns], ["bucket", "docs", "starts", "lengths", "stretches"])
+            held.append((bucket, doc, start, length, stretches))
+            if sum(len(h[-1]) for h in held) >= HELD:
+                yield flush(held)
+        if held:
+            yield flush(held)
 
     return run
 
