@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markcheck.llm.shingles import SLICE, SLICE_BYTES, slices
+
 #: Words of a window; shorter items are one window.
 WINDOW = 13
 #: Bytes of item texts in a block.
@@ -91,7 +93,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _scan(block, text_col: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, index = block.value
-        for b in batches:
+        for b in slices(batches, SLICE, SLICE_BYTES, text_col):
             names = b.schema.names
             counts, spans, ids = [], [], []
             old = zip(b.column(names.index("__spans")).to_pylist(), b.column(names.index("__items")).to_pylist(), strict=True)

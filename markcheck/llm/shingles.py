@@ -13,7 +13,7 @@ import xxhash
 #: Words of a shingle.
 WIDTH = 5
 #: Word hashes that a worker remembers; beyond it the memory is emptied.
-MEMO = 200_000
+MEMO = 100_000
 #: Documents and bytes of text that a task turns into arrays at a time.
 SLICE, SLICE_BYTES = 1_000, 1_000_000
 
@@ -102,7 +102,7 @@ def shingle_sets(texts: Sequence[bytes | None], width: int = WIDTH) -> tuple[np.
 def slices(batches: Iterator[pa.RecordBatch], rows: int, n_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, and of few enough text bytes that what is made of them stays small."""
     for b in batches:
-        sizes = np.fromiter((x or 0 for x in pa.compute.binary_length(b.column(b.schema.get_field_index(column)).cast(pa.large_binary())).to_pylist()), np.int64, b.num_rows)
+        sizes = np.fromiter((x or 0 for x in pa.compute.binary_length(b.column(b.schema.get_field_index(column))).to_pylist()), np.int64, b.num_rows)
         lo, held = 0, 0
         for k, size in enumerate(sizes.tolist()):
             if k > lo and (k - lo >= rows or held + size > n_bytes):

@@ -30,7 +30,7 @@ MIN_WORDS, GRAM = 50, 8
 #: Stretches that one group of the comparing step holds on average; what is so frequent by itself is dealt apart.
 BUCKET = 500_000
 #: Stretches that a task holds before it deals them to groups, so that rows stay few however many groups there are.
-HELD = 500_000
+HELD = 200_000
 
 _PACKED = "bucket long, docs binary, starts binary, lengths binary, stretches binary"
 _FOUND = "doc_id long, start int, end int, other long, frequent long"

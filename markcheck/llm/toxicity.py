@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markcheck.llm._labels import Logistic, fold, labelled_sample
+from markcheck.llm.shingles import SLICE, SLICE_BYTES, slices
 from markcheck.scratch import materialize
 
 #: Labelled documents that the fit reads at most.
@@ -35,7 +36,7 @@ SUPPORT = 0.01
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
 LEVEL = 12
 #: Windows whose distance a worker remembers; beyond it the memory is emptied, which changes no score.
-MEMO = 200_000
+MEMO = 100_000
 
 _FRAME = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ[]{}"
 _windows = re.compile(r"[^\W\d_]+").findall
@@ -92,7 +93,7 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
 
 
 def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, SLICE, SLICE_BYTES):
         seen = (Counter(), Counter())
         for text, label in zip(_texts(b), b.column(b.schema.get_field_index("label")).to_pylist(), strict=True):
             seen[label > 0].update(set(windows(text)))
@@ -103,7 +104,7 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _features(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = model.value.distance()
-        for b in batches:
+        for b in slices(batches, SLICE, SLICE_BYTES):
             x = pa.array([distance.features(t) for t in _texts(b)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([x, b.column(b.schema.get_field_index("label"))], ["x", "label"])
 
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
 def _scores(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = model.value.distance()
-        for b in batches:
+        for b in slices(batches, SLICE, SLICE_BYTES):
             x = np.array([distance.features(t) for t in _texts(b)]).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array(model.value.calibrate(x), pa.float64())], [*(n for n in b.schema.names if n != "text"), "score"])
 
@@ -163,7 +164,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = shared.value.distance()
-        for b in batches:
+        for b in slices(batches, SLICE, SLICE_BYTES, text_col):
             x = np.array([distance.features(t) for t in b.column(names.index(text_col)).to_pylist()]).reshape(b.num_rows, -1)
             yield b.filter(pa.array(shared.value.calibrate(x) < 0.5))
 
