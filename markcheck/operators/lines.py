@@ -52,6 +52,17 @@ def offset_of_clamped(lines: DataFrame, points: DataFrame) -> DataFrame:
     return joined.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long")).drop("start", "__line", "__stop", "__end")
 
 
+def enriched(lines: DataFrame, findings: DataFrame) -> DataFrame:
+    """Adds ``start`` and ``end``, byte offsets of (start_line, start_col) and (end_line, end_col), all from 0.
+
+    Without the document or the line a start is 0, and an end is the start.
+    """
+    at = {x: lines.select("doc", F.col("line").alias(f"{x}_line"), F.col("start").alias(f"__{x}")) for x in ("start", "end")}
+    joined = findings.join(at["start"], ["doc", "start_line"], "left").join(at["end"], ["doc", "end_line"], "left")
+    start, end = F.col("__start") + F.col("start_col"), F.col("__end") + F.col("end_col")
+    return joined.select(*findings.columns, F.coalesce(start, F.lit(0)).cast("long").alias("start"), F.coalesce(end, start, F.lit(0)).cast("long").alias("end"))
+
+
 def placed(lines: DataFrame, findings: DataFrame) -> DataFrame:
     """Adds ``start_line, start_col, end_line, end_col`` and ``snippet``, the text of the line that a finding starts on."""
     marks = lines.select("doc", "line", F.col("start").alias("at"), F.col("text").alias("snippet"))

@@ -108,11 +108,9 @@ def span_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT l.doc_id AS doc, lines.start AS eo FROM labels l LEFT JOIN lines ON lines.doc = l.doc_id AND lines.line = 3 * l.quality + l.toxic + 1)
 SELECT s.doc, coalesce(so, 0)::BIGINT AS start, coalesce(eo, so, 0)::BIGINT AS "end" FROM s JOIN e USING (doc)""")
 def enrich_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = c.document_lines(spark, sf_dir)
-    found = c.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), (3 * F.col("quality") + F.col("toxic")).cast("long").alias("line"))
-    begin = lines.offset_of(table, found.withColumn("col", F.lit(2).cast("long"))).select("doc", F.col("line").alias("at"), F.col("offset").alias("start"))
-    end = lines.offset_of(table, found.select("doc", (F.col("line") + 1).alias("line"), F.lit(0).cast("long").alias("col"))).select("doc", F.col("offset").alias("end"))
-    return begin.join(end, "doc").select("doc", F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.coalesce("end", "start", F.lit(0)).cast("long").alias("end"))
+    line = (3 * F.col("quality") + F.col("toxic")).cast("long")
+    found = c.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), line.alias("start_line"), F.lit(2).alias("start_col"), (line + 1).alias("end_line"), F.lit(0).alias("end_col"))
+    return lines.enriched(c.document_lines(spark, sf_dir), found).select("doc", "start", "end")
 
 
 _EDITS = f"""{c.LINES}, edits AS (SELECT doc, start + 3 AS at_pos, (strlen(text) % 5 - 2)::BIGINT AS delta FROM lines),

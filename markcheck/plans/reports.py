@@ -139,7 +139,7 @@ def dedup_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT url AS path FROM pages")
 def distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct().orderBy("path")
+    return corpus.distinct_paths(c.table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
 
 
 @query("SELECT p_type, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_type")

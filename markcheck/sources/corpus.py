@@ -33,6 +33,11 @@ def with_suffix(files: DataFrame, native: Sequence[str], extra: Sequence[str] =
     return files.where(F.greatest(*[F.col(path).endswith(s) for s in wanted], F.lit(False)))
 
 
+def distinct_paths(files: DataFrame, path: str = "path") -> DataFrame:
+    """Every path once, in order."""
+    return files.select(path).distinct().orderBy(path)
+
+
 def suffix_union(native: Sequence[str], extra: Sequence[str]) -> list[str]:
     """Native suffixes first, then the extra ones, each once."""
     return list(dict.fromkeys([*native, *extra]))
