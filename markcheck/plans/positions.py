@@ -257,7 +257,7 @@ def ignore_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id AS doc, CASE page_id % 8 WHEN 0 THEN 'page' WHEN 1 THEN 'layout' WHEN 2 THEN 'page-server' WHEN 3 THEN 'endpoint' WHEN 5 THEN 'server-hooks' WHEN 6 THEN 'params' END AS kind FROM pages""")
 def route_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("+page.ts", "+layout@inner.js", "+page.server.mts", "+server.cjs", "+page.svelte", "src/hooks.server.ts", "src/params/x.ts", "src/params/x.test.ts")
+    names = ("+page.ts", "+layout@inner.js", "+page.server.mts", "+server.cjs", "+page.html", "src/hooks.server.ts", "src/params/x.ts", "src/params/x.test.ts")
     pages = c.pages(spark, sf_dir)
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc") % 8 + 1).cast("int"))
     path = F.when(name.startswith("src"), F.concat(F.lit("\\proj\\"), F.translate(name, "/", "\\"))).otherwise(F.concat(F.lit("/proj/src/routes"), "path", F.lit("/"), name))

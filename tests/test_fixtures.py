@@ -294,7 +294,7 @@ def test_globs_and_routes(spark):
     files = spark.createDataFrame([(p,) for p in paths_], "path string")
     assert rows(corpus.without_ignored(files, ["**/*.{test,spec}.ts", "docs", "b[0-9].js", "{q,src/{lib,x}/*}"]), "path") == [("a/x.ts",), ("bx.js",)]
     assert rows(corpus.without_ignored(files, ["b[!0-9].js", "**/x.*"]), "path") == [("b5.js",), ("docs/1/a",), ("docs/readme",), ("src/lib/y,z",)]
-    routes = {"/r/src/routes/+page@.ts": "page", "/r/a/+layout.server.js": "layout-server", "/r/+page.svelte": None, "/r/src/hooks.ts": "universal-hooks", "/r/src/params/m.js": "params", "/r/lib/src/params/m.js": None, "/r/src/params/m.spec.js": None, "ts": None}
+    routes = {"/r/src/routes/+page@.ts": "page", "/r/a/+layout.server.js": "layout-server", "/r/+page.html": None, "/r/src/hooks.ts": "universal-hooks", "/r/src/params/m.js": "params", "/r/lib/src/params/m.js": None, "/r/src/params/m.spec.js": None, "ts": None}
     found = spark.createDataFrame([(p,) for p in routes], "path string").select("path", paths.route_kind(F.col("path"), "/r").alias("kind"))
     assert {r.path: r.kind for r in found.collect()} == routes
 
