@@ -17,7 +17,9 @@ _WORD = r"[\pL\pN_]"
 def token_regex(tokens: Sequence[str]) -> str:
     """Tokens of a vocabulary as whole words, the longest first at a position."""
     longest = sorted(set(tokens), key=lambda t: (-len(t), t))
-    return "|".join((rf"(?<!{_WORD})" if _is_word(t[0]) else "") + re.escape(t) + (rf"(?!{_WORD})" if _is_word(t[-1]) else "") for t in longest)
+    words = [re.escape(t) for t in longest if _is_word(t[0]) and _is_word(t[-1])]  # look around once for all of these
+    odd = [(rf"(?<!{_WORD})" if _is_word(t[0]) else "") + re.escape(t) + (rf"(?!{_WORD})" if _is_word(t[-1]) else "") for t in longest if not (_is_word(t[0]) and _is_word(t[-1]))]
+    return "|".join([*odd, *([rf"(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})"] if words else [])])
 
 
 def _is_word(c: str) -> bool:
