@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markcheck.llm import decontamination, exact_dedup, license_scan, mixing, packing, parity_join, quality, site_style, suffix_dedup, token_count, toxicity, vantage
+from markcheck.llm import collocations, decontamination, exact_dedup, license_scan, mixing, packing, parity_join, quality, site_style, suffix_dedup, token_count, toxicity, vantage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,13 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.clusters(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_main_text, op7_decontamination, op8_repeated_passages, op9_quality, op10_toxicity, op11_centroid_clusters, op13_packing)}
-ORACLES = {"op3_source_mix": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE, "op11_centroid_clusters": vantage.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_license_scan, op3_source_mix, op4_exact_dedup, op5_token_counts, op6_main_text, op7_decontamination, op8_repeated_passages, op9_quality, op10_toxicity, op11_centroid_clusters, op12_collocations, op13_packing)}
+ORACLES = {"op3_source_mix": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE, "op11_centroid_clusters": vantage.ORACLE, "op12_collocations": collocations.ORACLE}
