@@ -7,8 +7,9 @@ are counted in the same scan. No phrase is listed beforehand: a scan finds out f
 scan each subphrase was found frequent. Phrases that share a bucket can only make others active that need not be, which
 costs counts but changes none.
 
-Scans count by 64-bit keys. One last scan gives the frequent keys their words and sums them by phrase, so that phrases
-of equal keys, should there be any, are told apart; only words of one 63-bit hash in one batch are not.
+Scans count by 57-bit keys. One last scan gives the frequent keys their phrases; should two phrases share a key, which
+tells in that scan, the phrases of such keys are counted once more by their text. Only phrases of one 64-bit hash in one
+task would not be told apart.
 """
 
 from __future__ import annotations
@@ -32,75 +33,93 @@ from markcheck.scratch import materialize
 LONGEST, SHARDS = 3, 2
 #: Bits of a bucket number: each table of buckets is of 2^BITS bytes, before compression, at any size of the corpus.
 BITS = 24
-#: Documents and bytes of text that are counted at a time; distinct words whose hashes a worker remembers.
-ROWS, BYTES, MEMO = 20_000, 6_000_000, 500_000
+#: The same for the set of buckets that hold what is to be named: 2^NAMED bits.
+NAMED = 27
+#: Documents and bytes of text that are counted at a time.
+ROWS, BYTES = 20_000, 2_500_000
 #: Parts in which the ranking of a language is begun.
 PARTS = 32
 #: A bucket that holds nothing frequent.
 NEVER = 255
+#: A key's lowest bits: length of the phrase, and above them the scan in which its count began.
+LENGTH, BEGUN = 3, 31
 
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
-_END = 1
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_BASE = 0x9E3779B97F4A7C15
+#: What a byte adds to the hash of its word.
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=3) for b in range(256)], np.uint64)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-class _Hashes(dict):
-    """Hashes of words; 0 for nothing between two spaces, 1 for the end of a piece."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-            self.update({b"": 0, b"\n": _END})
-            if word in self:
-                return self[word]
-        h = self[word] = xxhash.xxh3_64_intdigest(word) | 2
-        return h
-
-
-_HASH = _Hashes({b"": 0, b"\n": _END})
-
-
-def _seed(lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode(), seed=7)
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of the base of word hashes, and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.cumprod(factors)
+    return [p[:n] for p in _POWERS]
 
 
 class Words:
-    """Words of some texts, one after the other, with keys of the phrases that begin at each; pieces end in a mark."""
+    """Words of some texts, one after the other, with keys of the phrases that begin at each."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
-        parts = [(t.translate(_CUT) + b"\n").replace(b"\n", b" \n ").split(b" ") for t in texts]
-        self.words = list(chain.from_iterable(parts))
-        hashes = np.fromiter(map(_HASH.__getitem__, self.words), np.uint64, len(self.words))
-        self.at = np.flatnonzero(hashes)
-        hashes = hashes[self.at]
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        self.doc = np.searchsorted(ends, self.at, side="right")
-        seeds = np.fromiter(map(_seed, langs), np.uint64, len(langs))
-        self.inside = hashes != _END
-        h = mix(hashes ^ seeds[self.doc]) if len(hashes) else hashes
-        self.hashes, self.keys, total = h, [], np.zeros(len(h), np.uint64)
-        whole = np.ones(len(h), bool)
-        self.valid = []
+        self.text = b"\n" + (b"\n".join(texts)).translate(_CUT) + b"\n"
+        data = np.frombuffer(self.text, np.uint8)
+        cut = data == 10
+        inside = ~(cut | (data == 32))
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        self.start, self.end = edges[::2], edges[1::2]
+        up, down = _powers(len(data))
+        sums = np.cumsum(_BYTE[data] * up)
+        own = (sums[self.end - 1] - sums[self.start - 1]) * down[self.start]
+        piece = np.cumsum(cut, dtype=np.int32)[self.start]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.doc = np.searchsorted(ends, self.start - 1, side="right")
+        seeds = np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), seed=7) for x in langs), np.uint64, len(langs))
+        h = mix(own ^ seeds[self.doc]) if len(own) else own
+        self.hashes, self.keys, self.valid = h, [], []
+        total = np.zeros(len(h), np.uint64)
         for k in range(LONGEST):
             n = max(0, len(h) - k)
-            total, whole = total[:n] + h[k:] * _ODD[k], whole[:n] & self.inside[k:]
-            # The two lowest bits of a key are the length of its phrase.
-            self.keys.append((mix(total + np.uint64(k)) & ~np.uint64(3)) | np.uint64(k + 1))
-            self.valid.append(np.flatnonzero(whole))
-
-    def others(self, at: np.ndarray, like: np.ndarray, length: int) -> np.ndarray:
-        """Which of the phrases at ``at`` are not that at the same place of ``like``."""
-        out = np.zeros(len(at), bool)
+            total = total[:n] + h[k:] * _ODD[k]
+            self.keys.append((mix(total + np.uint64(k)) & ~np.uint64(127)) | np.uint64(k + 1))
+            self.valid.append(np.flatnonzero(piece[:n] == piece[k:]))
+
+    def names(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the phrases at ``at``, apart from their keys."""
+        total = np.full(len(at), length, np.uint64)
         for k in range(length):
-            out |= self.hashes[at + k] != self.hashes[like + k]
+            total += self.hashes[at + k] * _ODD[LONGEST + k]
+        return mix(total)
+
+    def phrases(self, at: np.ndarray, length: int) -> list[bytes]:
+        """Words of the phrases at ``at``, with one space between two."""
+        lo, hi = self.start[at], self.end[at + length - 1]
+        size = sum(self.end[at + k] - self.start[at + k] for k in range(length)) + length - 1
+        out = [self.text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        for i in np.flatnonzero(size != hi - lo).tolist():
+            out[i] = b" ".join(out[i].split(b" ")) if b"  " not in out[i] else b" ".join(w for w in out[i].split(b" ") if w)
         return out
 
-    def phrase(self, first: int, length: int) -> bytes:
-        return b" ".join([self.words[i] for i in self.at[first : first + length].tolist()])
 
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
+
+def _wanted(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which keys fall in a bucket whose bit is set."""
+    bucket = _bucket(keys, NAMED)
+    return (flags[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 > 0
+
+
+def _times(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each stands."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def _packed(found: np.ndarray) -> bytes:
@@ -111,84 +130,80 @@ def _unpacked(tables: Broadcast) -> list[np.ndarray]:
     return [np.frombuffer(zstandard.decompress(t), np.uint8) for t in tables.value]
 
 
-def _active(words: Words, found: list[np.ndarray], scan: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per length, the keys to be counted in this scan and the scans in which their counts began."""
+def _active(words: Words, found: list[np.ndarray], scan: int, shards: int) -> Iterator[np.ndarray]:
+    """Per length, the keys to be counted in this scan, each with the scan in which its count began."""
     begin = np.zeros(len(words.keys[0]), np.uint8)
     for k in range(LONGEST):
-        at, keys = words.valid[k], words.keys[k]
+        at = words.valid[k]
         if k:
-            since = found[k - 1][_bucket(words.keys[k - 1])]
+            since = found[k - 1][_bucket(words.keys[k - 1], BITS)]
             later = np.maximum(since[:-1], since[1:])
             begin = np.where(later == NEVER, NEVER, later + 1).astype(np.uint8)
-        own = begin[at]
-        counted = at[(own <= scan) & (scan < own.astype(np.int64) + shards)]
-        yield keys[counted], begin[counted]
+        own = begin[at].astype(np.int64)
+        counted = (own <= scan) & (scan < own + shards)
+        yield words.keys[k][at[counted]] | (own[counted].astype(np.uint64) << np.uint64(2))
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
     for b in slices(batches, ROWS, BYTES):
-        texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-        yield Words(texts, b.column(b.schema.get_field_index("lang")).to_pylist())
+        langs = b.column(b.schema.get_field_index("lang")).to_pylist()
+        yield Words(b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist(), langs), langs
 
 
 def _scan(tables: Broadcast, scan: int, shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = None
-        for words in _batches(batches):
+        for words, _ in _batches(batches):
             found = _unpacked(tables) if found is None else found
-            for keys, begun in _active(words, found, scan, shards):
+            for keys in _active(words, found, scan, shards):
                 if len(keys):
-                    distinct, first, times = np.unique(keys, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(begun[first].astype(np.int32)), pa.array(times)], ["key", "begun", "f"])
+                    distinct, times = _times(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(times)], ["key", "f"])
 
     return run
 
 
-def _name(tables: Broadcast) -> Callable:
-    """Phrases whose bucket holds a frequent one, with their counts; and, with a null phrase, the words of each language."""
+def _name(tables: Broadcast, counting: bool) -> Callable:
+    """Phrases whose bucket holds a wanted one: each once a task, or, if ``counting``, with its times in every batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for b in slices(batches, ROWS, BYTES):
-            kept = _unpacked(tables)[0] if kept is None else kept
-            texts, langs = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist(), b.column(b.schema.get_field_index("lang")).to_pylist()
-            words = Words(texts, langs)
-            key, lang, phrase, f = [], [], [], []
-            for doc, n in zip(*np.unique(words.doc[words.inside], return_counts=True), strict=True):
-                key.append(0)
-                lang.append(langs[doc])
-                phrase.append(None)
-                f.append(int(n))
+        wanted, seen = None, np.zeros(0, np.uint64)
+        for words, langs in _batches(batches):
+            wanted = _unpacked(tables)[0] if wanted is None else wanted
+            lang = pa.array(langs, pa.string())
+            if not counting:
+                totals = pa.array(np.bincount(words.doc, minlength=len(langs)))
+                nothing = pa.nulls(len(langs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(langs), np.int64)), lang, nothing.cast(pa.string()), totals], ["key", "lang", "phrase", "f"])
             for k in range(LONGEST):
                 at = words.valid[k]
-                at = at[kept[_bucket(words.keys[k][at])] > 0]
-                while len(at):  # once, but for phrases of equal keys
-                    distinct, first, inverse = np.unique(words.keys[k][at], return_index=True, return_inverse=True)
-                    first = at[first]
-                    other = words.others(at, first[inverse], k + 1)
-                    key += distinct.view(np.int64).tolist()
-                    lang += [langs[d] for d in words.doc[first].tolist()]
-                    phrase += [words.phrase(i, k + 1) for i in first.tolist()]
-                    f += np.bincount(inverse[~other], minlength=len(distinct)).tolist()
-                    at = at[other]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], ["key", "lang", "phrase", "f"])
+                at = at[_wanted(words.keys[k][at], wanted)]
+                names, first, times = np.unique(words.names(at, k + 1), return_index=True, return_counts=True)
+                if not counting and len(seen):
+                    old = seen[np.minimum(np.searchsorted(seen, names), len(seen) - 1)] == names
+                    names, first, times = names[~old], first[~old], times[~old]
+                if not len(names):
+                    continue
+                if not counting:
+                    seen = np.sort(np.concatenate((seen, names)))
+                at = at[first]
+                phrase = pa.array(words.phrases(at, k + 1), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(words.keys[k][at].view(np.int64)), lang.take(pa.array(words.doc[at])), phrase, pa.array(times)], ["key", "lang", "phrase", "f"])
 
     return run
 
 
 def _length() -> Column:
-    return F.col("key").bitwiseAND(F.lit(3).cast("long"))
+    return F.col("key").bitwiseAND(F.lit(LENGTH).cast("long"))
 
 
-def _buckets(keys: DataFrame) -> dict[int, np.ndarray]:
-    """Per length, the numbers of the buckets that ``keys`` fall in; a bounded number of bit sets goes to the driver."""
-    bucket = F.shiftrightunsigned("key", 64 - BITS)
-    bits = keys.groupBy(_length().cast("int").alias("n"), F.shiftright(bucket, 6).alias("block")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int)))").alias("bits"))
-    table = bits.toArrow()
-    n, block, bits = (table.column(c).to_numpy() for c in ("n", "block", "bits"))
-    flags = np.unpackbits(bits.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    row, bit = np.nonzero(flags)
-    return {k: block[row[n[row] == k]] * 64 + bit[n[row] == k] for k in range(1, LONGEST + 1)}
+def _flags(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bit set of the buckets that ``keys`` fall in: at most 2^(bits - 6) rows go to the driver."""
+    block = F.shiftrightunsigned("key", 70 - bits).alias("block")
+    table = keys.groupBy(block).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), "<i8")
+    out[table.column("block").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def counted(rows: DataFrame, least: int, shards: int = SHARDS) -> DataFrame:
@@ -199,20 +214,20 @@ def counted(rows: DataFrame, least: int, shards: int = SHARDS) -> DataFrame:
     spark = rows.sparkSession
     found = [np.full(1 << BITS, NEVER, np.uint8) for _ in range(LONGEST - 1)]
     begins = {1: 0}  # last scan with which a phrase of a length can become active, so far
+    begun = F.shiftright("key", 2).bitwiseAND(F.lit(BEGUN).cast("long"))
     state, done, scan = None, [], 0
     while scan < max(begins.values()) + shards:
         tables = spark.sparkContext.broadcast([_packed(t) for t in found])
-        fresh = rows.where(F.col("shard") == scan % shards).select("text", "lang").mapInArrow(_scan(tables, scan, shards), "key long, begun int, f long")
-        state = (fresh if state is None else state.unionByName(fresh)).groupBy("key", "begun").agg(F.sum("f").alias("f"))
-        over = F.col("begun") + shards <= scan + 1
+        fresh = rows.where(F.col("shard") == scan % shards).select("text", "lang").mapInArrow(_scan(tables, scan, shards), "key long, f long")
+        state = (fresh if state is None else state.unionByName(fresh)).groupBy("key").agg(F.sum("f").alias("f"))
+        over = begun + shards <= scan + 1
         state = materialize(state.where(~over | (F.col("f") >= least)), f"phrases-{scan}")
-        for n, own in _buckets(state.where((F.col("f") >= least) & (_length() < LONGEST))).items():
-            if n < LONGEST:
-                new = own[found[n - 1][own] == NEVER]
+        for n in range(1, LONGEST):
+            new = np.unpackbits(_flags(state.where((F.col("f") >= least) & (_length() == n)), BITS), bitorder="little").view(bool) & (found[n - 1] == NEVER)
+            if new.any():
                 found[n - 1][new] = scan
-                if len(new):
-                    begins[n + 1] = scan + 1
-        done.append(state.where(over).select("key", "f"))
+                begins[n + 1] = scan + 1
+        done.append(state.where(over).select(F.col("key").bitwiseAND(F.lit(~(BEGUN << 2)).cast("long")).alias("key"), "f"))
         state = state.where(~over)
         tables.destroy()
         scan += 1
@@ -222,21 +237,28 @@ def counted(rows: DataFrame, least: int, shards: int = SHARDS) -> DataFrame:
     return out
 
 
+def _named(rows: DataFrame, keys: DataFrame, counting: bool) -> DataFrame:
+    """``key, lang, phrase, f`` of what may have one of ``keys``."""
+    tables = rows.sparkSession.sparkContext.broadcast([_packed(_flags(keys, NAMED))])
+    found = rows.select("text", "lang").mapInArrow(_name(tables, counting), "key long, lang string, phrase string, f long")
+    return materialize(found.groupBy("key", "lang", "phrase").agg(F.sum("f").alias("f")), "phrases-named")
+
+
 def phrases(docs: DataFrame, least: int = 10, shards: int = SHARDS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of every phrase of up to three words that a language holds ``least`` times, and ``lang, n``."""
-    spark = docs.sparkSession
+    if 2 * shards > BEGUN:
+        raise ValueError(f"at most {BEGUN // 2} shards")
     text, lang = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = docs.select(text.alias("text"), lang.alias("lang")).withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
     keys = counted(rows, least, shards)
-    kept = np.zeros(1 << BITS, np.uint8)
-    for own in _buckets(keys).values():
-        kept[own] = 1
-    tables = spark.sparkContext.broadcast([_packed(kept)])
-    named = rows.select("text", "lang").mapInArrow(_name(tables), "key long, lang string, phrase string, f long").groupBy("key", "lang", "phrase").agg(F.sum("f").alias("f"))
-    named = materialize(named.where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases-named")
-    totals = named.where("phrase is null").select("lang", F.col("f").alias("n"))
-    frequent = named.where("phrase is not null").join(keys.select("key"), "key", "left_semi")
-    return frequent.select("lang", "phrase", _length().cast("int").alias("words"), "f"), totals
+    named = _named(rows, keys, counting=False)
+    totals = named.where("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
+    found = materialize(named.where("phrase is not null").select("key", "lang", "phrase").join(keys, "key"), "phrases-found")
+    clashing = found.groupBy("key").count().where("count > 1").select("key")
+    if not clashing.isEmpty():
+        again = _named(rows, clashing, counting=True).join(clashing, "key", "left_semi").where(F.col("f") >= least)
+        found = found.join(clashing, "key", "left_anti").unionByName(again)
+    return found.select("lang", "phrase", _length().cast("int").alias("words"), "f"), totals
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, shards: int = SHARDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -75,21 +75,58 @@ def test_a_phrase_is_active_in_one_round_of_shards_after_its_parts():
     found = [np.full(1 << collocations.BITS, collocations.NEVER, np.uint8) for _ in range(2)]
 
     def lengths(scan, shards=2):
-        return [len(keys) for keys, _ in collocations._active(words, found, scan, shards)]
+        return [len(keys) for keys in collocations._active(words, found, scan, shards)]
 
     assert [lengths(s) for s in range(3)] == [[3, 0, 0], [3, 0, 0], [0, 0, 0]]
-    bucket = collocations._bucket(words.keys[0])
+    bucket = collocations._bucket(words.keys[0], collocations.BITS)
     found[0][bucket[:2]] = (0, 1)  # of "a b" the second word was found frequent in scan 1
     assert [lengths(s) for s in range(5)] == [[3, 0, 0], [3, 0, 0], [0, 1, 0], [0, 1, 0], [0, 0, 0]]
     found[0][bucket[2]] = 0
-    found[1][collocations._bucket(words.keys[1])] = 3
+    found[1][collocations._bucket(words.keys[1], collocations.BITS)] = 3
     assert [lengths(s)[2] for s in range(3, 7)] == [0, 1, 1, 0]
 
 
-def test_phrases_of_one_key_are_told_apart():
-    words = collocations.Words([b"a b a b c d a b"], ["en"])
-    at = np.array([0, 2, 4, 6])
-    assert words.others(at, np.zeros(4, np.int64), 2).tolist() == [False, False, True, False]
+def test_phrases_of_one_key_are_told_apart(spark, monkeypatch):
+    class Clashing(collocations.Words):
+        """Phrases have one of 48 keys, of lengths apart."""
+
+        def __init__(self, texts, langs):
+            super().__init__(texts, langs)
+            self.keys = [(k >> np.uint64(60) << np.uint64(60)) | (k & np.uint64(3)) for k in self.keys]
+
+    monkeypatch.setattr(collocations, "Words", Clashing)
+    rows = made(3)
+    mine = collocations._name
+
+    def named(tables, counting):
+        run = mine(tables, counting)
+
+        def clashing(batches):
+            collocations.Words = Clashing  # in the worker, too
+            yield from run(batches)
+
+        return clashing
+
+    scan = collocations._scan
+
+    def scanned(tables, number, shards):
+        run = scan(tables, number, shards)
+
+        def clashing(batches):
+            collocations.Words = Clashing
+            yield from run(batches)
+
+        return clashing
+
+    monkeypatch.setattr(collocations, "_name", named)
+    monkeypatch.setattr(collocations, "_scan", scanned)
+    counts, totals = collocations.phrases(frame(spark, rows))
+    want = Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall(r"[^ \t]+", piece)
+            want.update(("und" if lang is None else lang, " ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    assert {(r.lang, r.phrase): r.f for r in counts.collect()} == {p: n for p, n in want.items() if n >= 10}
 
 
 def test_empty_tables(spark):
