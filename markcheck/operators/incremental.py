@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markcheck.scratch import materialize
+from markcheck.sources import versions
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -21,15 +21,18 @@ def reuse_split(current: DataFrame, stored: DataFrame, key: str = "fingerprint")
     return current.join(stored.select(key).distinct(), key, "left_semi"), current.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def reused(current: DataFrame, stored: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "fingerprint", result: str = "result", order: str = "ordinal") -> DataFrame:
-    """``current`` with ``result`` and ``reused``, in the order of ``order``: stored results, and what ``compute`` gives for the rest.
+def reused(current: DataFrame, stored: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "fingerprint", result: str = "result", order: str | None = "ordinal") -> DataFrame:
+    """``current`` with ``result`` and ``reused``: stored results, and what ``compute`` gives for the rest; sorted by ``order`` if that is given.
 
-    ``stored`` is (key, result); ``compute`` adds ``result`` to the rows it is given.
+    ``stored`` is (key, result); ``compute`` adds ``result`` to the rows it is given. Both halves come of one join, whose
+    shuffles they share.
     """
-    hits, misses = reuse_split(current, stored, key)
-    kept = hits.join(stored.select(key, result).dropDuplicates([key]), key).withColumn("reused", F.lit(True))
-    fresh = compute(misses).withColumn("reused", F.lit(False))
-    return kept.unionByName(fresh.select(*kept.columns)).orderBy(order)
+    once = stored.groupBy(key).agg(F.first(F.struct(result)).alias("__stored"))
+    joined = current.join(once, key, "left")
+    kept = joined.where("__stored is not null").select(*current.columns, f"__stored.{result}").withColumn("reused", F.lit(True))
+    fresh = compute(joined.where("__stored is null").select(*current.columns)).withColumn("reused", F.lit(False))
+    out = kept.unionByName(fresh.select(*kept.columns))
+    return out if order is None else out.orderBy(order)
 
 
 def change_classes(new: DataFrame, old: DataFrame, key: str, content: str = "fingerprint") -> DataFrame:
@@ -77,45 +80,35 @@ def results_per_key(keys: DataFrame, results: DataFrame, key: str, fields: Seque
     return keys.select(key).distinct().join(lists, key, "left").withColumn("results", F.coalesce("results", F.expr(f"cast(array() as {kind})")))
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Folders of the complete versions, oldest first; a version is complete when its writer has left its mark."""
-    jvm = spark.sparkContext._jvm
-    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
-    return sorted(f.getPath().getParent().toString() for f in found or ())
-
-
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The rows that stand after all complete versions at ``path``, None before the first."""
-    versions = _versions(spark, path)
-    if not versions:
-        return None
-    rows = spark.read.option("basePath", path).parquet(*versions)
-    key = rows.columns[0]
-    last = rows.groupBy(key).agg(F.max(F.struct(F.col("version"), *(F.col(c) for c in rows.columns if c not in (key, "version")))).alias("__last"))
-    return last.select(key, "__last.*").where("not __gone").drop("version", "__gone")
+    """The rows that stand at ``path``, None before the first version."""
+    return versions.read(spark, path)
 
 
-def write_changed(rows: DataFrame, path: str, key: str, content: str) -> dict[str, int]:
+def write_changed(rows: DataFrame, path: str, key: str, content: str, prune: bool = True) -> dict[str, int]:
     """Adds a version with the rows that differ from the snapshot at ``path``; gives how many were written, skipped and removed.
 
-    Nothing is written where nothing differs. A version is a folder of its own that readers see once complete, so
-    a writer that fails, or another one beside it, leaves the snapshot whole. Columns must have an order (no maps).
+    Nothing is written where nothing differs. With ``prune`` the snapshot becomes ``rows``, without it rows of other keys
+    stay. A writer that another one was faster than compares again with what that left, so no row is lost and the
+    numbers are those of what was written; one that fails leaves the snapshot as it was.
     """
-    spark = rows.sparkSession
     rows = rows.select(key, *(c for c in rows.columns if c != key))
     new = rows.withColumn("__fp", fingerprint(F.col(content)))
-    old = read_snapshot(spark, path)
-    old = rows.limit(0) if old is None else old.select(*rows.columns)
-    classes = materialize(change_classes(new, old.withColumn("__fp", fingerprint(F.col(content))), key, "__fp"), "changes")
-    counts = {r["change"]: r["count"] for r in classes.groupBy("change").count().collect()}
-    written, removed = counts.get("added", 0) + counts.get("changed", 0), counts.get("removed", 0)
-    if written or removed:
-        differs = rows.join(classes.where("change in ('added', 'changed')"), key, "left_semi").withColumn("__gone", F.lit(False))
-        gone = classes.where("change = 'removed'").select(key).withColumn("__gone", F.lit(True))
-        number = len(_versions(spark, path)) + 1
-        differs.unionByName(gone, allowMissingColumns=True).write.parquet(f"{path}/version={number:09d}-{uuid.uuid4().hex}")
-    return {"written": written, "skipped": counts.get("unchanged", 0), "removed": removed}
+    counts: dict[str, int] = {}
+
+    def change(last: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
+        old = rows.limit(0) if last is None else last.select(*rows.columns)
+        classes = materialize(change_classes(new, old.withColumn("__fp", fingerprint(F.col(content))), key, "__fp"), "changes")
+        found = {r["change"]: r["count"] for r in classes.groupBy("change").count().collect()}
+        removed = found.get("removed", 0) if prune else 0
+        counts.update(written=found.get("added", 0) + found.get("changed", 0), skipped=found.get("unchanged", 0), removed=removed)
+        if not (counts["written"] or removed):
+            return None
+        gone = classes.where("change = 'removed'") if prune else classes.limit(0)
+        return rows.join(classes.where("change in ('added', 'changed')"), key, "left_semi"), gone.select(key)
+
+    versions.replace(rows.sparkSession, path, key, change)
+    return counts
 
 
 def correlate(requests: DataFrame, responses: DataFrame, key: str) -> DataFrame:

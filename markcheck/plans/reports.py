@@ -11,7 +11,7 @@ from markcheck.functions import paths as P
 from markcheck.operators import config, findings, incremental, lines, report
 from markcheck.plans import _common as c
 from markcheck.scratch import shared_dir
-from markcheck.sources import corpus, logs
+from markcheck.sources import corpus, listing, logs
 from markcheck.streaming import watch
 
 QUERIES: dict = {}
@@ -419,3 +419,46 @@ def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = watch.table_stream(spark, f"{sf_dir}/pages.parquet", schema).select(F.col("page_id").alias("path"), F.col("html").alias("text"))
     watch.watch(stream, _check, f"{base}/snapshots", f"{base}/checkpoint", once=True).awaitTermination()
     return watch.current(spark, f"{base}/snapshots").select("path", "start", "code")
+
+
+def write_pages(rows: DataFrame, base: str) -> None:
+    """Writes ``rows(folder, name, text)`` as a file each, where they are; what is there is replaced."""
+
+    def run(batches):
+        for b in batches:
+            for folder, name, text in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("folder", "name", "text")), strict=True):
+                listing.put(f"{base}/{folder}/{name}", text)
+            yield from ()
+
+    rows.select("folder", "name", "text").mapInArrow(run, "folder string").count()
+
+
+@query(f"""WITH {c.BARE_TAGS}, {c.PAIRS}, kept AS (SELECT page_id, html FROM pages WHERE page_id % 7 <> 1 AND page_id % 5 <> 3),
+all_found AS (
+  SELECT doc, start, code FROM found
+  UNION ALL SELECT page_id, strlen(html)::BIGINT, 'unclosed-tag' FROM pages WHERE page_id % 7 = 2
+)
+SELECT 'site' || (page_id % 5) || '/' || page_id || '.page' AS path, start, code FROM kept LEFT JOIN all_found ON doc = page_id""")
+def watch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, watched twice: in between some are edited, some vanish and some are new; one folder is ignored."""
+    base = f"{shared_dir(spark)}/markcheck-site-{uuid.uuid4().hex}"
+    pages = c.pages(spark, sf_dir).select((F.col("doc") % 7).alias("k"), F.concat(F.lit("site"), F.col("doc") % 5).alias("folder"), F.concat(F.col("doc"), F.lit(".page")).alias("name"), F.col("html").alias("text"))
+
+    def look() -> None:
+        watch.watch_edits(spark, f"{base}/pages", [".page"], _check, f"{base}/snapshots", f"{base}/checkpoint", every=None, ignores=["site3"]).awaitTermination()
+
+    write_pages(pages.where("k <> 3"), f"{base}/pages")
+    look()
+    write_pages(pages.where("k = 2").withColumn("text", F.concat("text", F.lit("<section>"))).unionByName(pages.where("k = 3")), f"{base}/pages")
+    listing.drop(spark, pages.where("k = 1").select(F.concat_ws("/", F.lit(f"{base}/pages"), "folder", "name").alias("path")))
+    look()
+    return watch.standing(spark, f"{base}/snapshots").select(F.substring_index("path", "/", -2).alias("path"), "start", "code")
+
+
+@query("""SELECT 'site' || (page_id % 5) || '/' || page_id || '.page' AS path, strlen(html)::BIGINT AS bytes FROM pages WHERE page_id % 5 NOT IN (1, 4)""")
+def ignored_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, scanned without two folders."""
+    base = f"{shared_dir(spark)}/markcheck-site-{uuid.uuid4().hex}"
+    pages = c.pages(spark, sf_dir).select(F.concat(F.lit("site"), F.col("doc") % 5).alias("folder"), F.concat(F.col("doc"), F.lit(".page")).alias("name"), F.col("html").alias("text"))
+    write_pages(pages, base)
+    return corpus.scan_files(spark, base, [".page"], ["site1/**", "**/site4"]).select(F.substring_index("path", "/", -2).alias("path"), "bytes")

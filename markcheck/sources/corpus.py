@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markcheck.functions import paths
+from markcheck.sources import listing
 
 #: Directories that no corpus wants.
 DEFAULT_IGNORES = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**", "**/.cache/**")
@@ -15,11 +16,13 @@ DEFAULT_IGNORES = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/*
 INLINE_GLOBS = 20
 
 
-def scan_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
-    """``path, text, bytes``: one row per file under ``root`` whose name ends with a suffix; others are not read."""
-    glob = f"*{suffixes[0]}" if len(suffixes) == 1 else "*{" + ",".join(suffixes) + "}"
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.octet_length("value").cast("long").alias("bytes"))
+def scan_files(spark: SparkSession, root: str, suffixes: Sequence[str], ignores: Sequence[str] = ()) -> DataFrame:
+    """``path, text, bytes``: one row per file under ``root`` whose name ends with a suffix; others are not read.
+
+    Folders that ``ignores`` has are not even listed.
+    """
+    files = listing.with_text(listing.listed(spark, root, suffixes, ignores).select("path"))
+    return files.select("path", "text", F.octet_length("text").cast("long").alias("bytes"))
 
 
 def from_table(rows: DataFrame, doc: Column, path: Column, text: str) -> DataFrame:

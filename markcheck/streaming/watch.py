@@ -1,16 +1,20 @@
-"""Watching a folder of pages: a file stream whose batches replace the findings of the files they bring."""
+"""Watching a folder of pages: streams whose batches replace the findings of the files they bring.
+
+What stands is a keyed table of versions: a batch is one version, readers never see half of one, a batch that comes
+again is not written again, and a read costs what is alive.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from markcheck.operators.incremental import fingerprint
 from markcheck.scratch import materialize
+from markcheck.sources import listing, versions
 
 Check = Callable[[DataFrame], DataFrame]
 
@@ -27,77 +31,60 @@ def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a glob: the source takes a lone file only by one
 
 
-def upsert(batch: DataFrame, batch_id: int, check: Check, snapshots: str) -> None:
-    """Writes the findings of a batch as version ``batch_id``; doing it again writes the same version."""
+def upsert(batch: DataFrame, batch_id: int, check: Check, snapshots: str, stream: str = "watch") -> None:
+    """Puts the findings of a batch in the place of what its paths had; doing it again for a stream changes nothing."""
     marked = batch.withColumn("fingerprint", fingerprint(F.col("path"), F.col("text")))
     found = check(marked.select("path", "text"))
-    kept = marked.select("path", "fingerprint").join(found, "path", "left")
-    kept.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+    rows = marked.select("path", "fingerprint").join(found, "path", "left").withColumn("batch_id", F.lit(batch_id).cast("long"))
+    versions.replace(batch.sparkSession, snapshots, "path", lambda _: (rows, rows.limit(0)), stream, batch_id)
 
 
-def current(spark: SparkSession, snapshots: str) -> DataFrame:
-    """The findings of each path's last version."""
-    rows = spark.read.option("mergeSchema", True).parquet(f"{snapshots}/*")
-    last = rows.groupBy("path").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(last, ["path", "batch_id"], "left_semi")
+def current(spark: SparkSession, snapshots: str) -> DataFrame | None:
+    """The findings that stand, a row without one for a clean file; None before the first batch."""
+    return versions.read(spark, snapshots)
 
 
 def watch(stream: DataFrame, check: Check, snapshots: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Starts the watch; ``once`` takes what is there and stops. Takes new files; ``watch_edits`` also sees edited ones."""
-    writer = stream.writeStream.foreachBatch(lambda batch, i: upsert(batch, i, check, snapshots)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, i: upsert(batch, i, check, snapshots, checkpoint)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def listing(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
-    """``path, modified, bytes`` of the files under ``root`` by suffix; no file is read."""
-    glob = f"*{suffixes[0]}" if len(suffixes) == 1 else "*{" + ",".join(suffixes) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+def recheck(spark: SparkSession, root: str, suffixes: Sequence[str], batch_id: int, check: Check, snapshots: str, ignores: Sequence[str] = (), looked: DataFrame | None = None, stream: str = "watch") -> None:
+    """Checks what is new or not as last seen under ``root``, and forgets what went.
+
+    ``looked`` is the listing of some folders, whole (rows without a path name folders that may be empty); without it
+    everything is listed. Only changed files are read. Doing a batch of a stream again changes nothing.
+    """
+    now = materialize(listing.listed(spark, root, suffixes, ignores) if looked is None else looked, "listing")
+    files = now.where("path is not null")
+
+    def change(last: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
+        seen = ["folder", "path", "modified", "bytes"]
+        before = files.limit(0) if last is None else last.select(*seen).distinct()
+        if looked is not None:
+            before = before.join(now.select("folder").distinct(), "folder", "left_semi")
+        before = materialize(before, "seen-files")
+        changed = materialize(files.join(before, ["path", "modified", "bytes"], "left_anti"), "changed-files")
+        gone = before.select("path").join(files, "path", "left_anti")
+        if changed.isEmpty() and gone.isEmpty():
+            return None
+        found = check(listing.with_text(changed.select("path")))
+        return changed.select(*seen).join(found, "path", "left").withColumn("batch_id", F.lit(batch_id).cast("long")), gone
+
+    versions.replace(spark, snapshots, "path", change, stream, batch_id)
 
 
-def recheck(spark: SparkSession, root: str, suffixes: Sequence[str], batch_id: int, check: Check, snapshots: str) -> None:
-    """Version ``batch_id`` of the findings under ``root``: of files that are new or not as last seen, and of those that went.
+def watch_edits(spark: SparkSession, root: str, suffixes: Sequence[str], check: Check, snapshots: str, checkpoint: str, every: str | None = "1 second", ignores: Sequence[str] = ()) -> StreamingQuery:
+    """Starts a watch that also sees edited and vanished files; without ``every`` it looks once and stops.
 
-    Files modified before the oldest of these are not read. Doing a batch again writes the same version.
+    A tick lists the folders that are not ignored, and compares the files of those that changed with what stands.
     """
-    now = materialize(listing(spark, root, suffixes), "listing")
-    last = _state(spark, snapshots, batch_id)
-    before = last.select("path", "modified", "bytes").distinct() if last is not None else now.limit(0)
-    changed = materialize(now.join(before, ["path", "modified", "bytes"], "left_anti"), "changed-files")
-    gone = before.select("path").join(now, "path", "left_anti")
-    since = changed.agg(F.min("modified")).first()[0]
-    if since is None and gone.isEmpty():
-        return
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if since is not None:
-        files = files.where(F.col("modificationTime") >= F.lit(since))
-    texts = files.select("path", F.col("content").cast("string").alias("text")).join(changed, "path")
-    found = changed.join(check(texts.select("path", "text")), "path", "left").withColumn("gone", F.lit(False))
-    rows = found.unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
-    rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
-
-
-def _state(spark: SparkSession, snapshots: str, before: int | None = None) -> DataFrame | None:
-    """The rows of each path's last version, of files that are still there."""
-    try:
-        rows = spark.read.option("mergeSchema", True).parquet(f"{snapshots}/*")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
-    last = rows.groupBy("path").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(last, ["path", "batch_id"], "left_semi").where("not gone")
-
-
-def watch_edits(spark: SparkSession, root: str, suffixes: Sequence[str], check: Check, snapshots: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
-    """Starts a watch that lists the files again with every tick, and so sees edited and vanished ones too."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = ticks.writeStream.foreachBatch(lambda _, i: recheck(spark, root, suffixes, i, check, snapshots))
-    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    stream = listing.listed_stream(spark, root, suffixes, ignores)
+    writer = stream.writeStream.foreachBatch(lambda batch, i: recheck(spark, root, suffixes, i, check, snapshots, ignores, batch, checkpoint)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
 def standing(spark: SparkSession, snapshots: str) -> DataFrame | None:
     """What ``watch_edits`` has found so far, None before its first version."""
-    return _state(spark, snapshots)
+    return versions.read(spark, snapshots)

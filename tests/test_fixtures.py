@@ -3,6 +3,7 @@
 import json
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from markcheck.functions import paths
 from markcheck.functions import text as T
 from markcheck.operators import config, edits, findings, incremental, lines, markup, nesting, report, spans, tokens
-from markcheck.sources import corpus, logs
+from markcheck.sources import corpus, listing, logs, versions
 from markcheck.streaming import watch
 
 
@@ -324,16 +325,69 @@ def test_a_watch_sees_edited_and_vanished_files(spark, tmp_path):
     (root / "b.page").unlink()
     assert pass_over(3) == [("a.page", "unclosed-tag")] == pass_over(3)
     query = watch.watch_edits(spark, str(root), [".page"], check, str(tmp_path / "snap2"), str(tmp_path / "check2"))
+
+    def seen(want):
+        for _ in range(120):
+            now = watch.standing(spark, str(tmp_path / "snap2"))  # reads while versions are written
+            if now is not None and sorted((r.path.rpartition("/")[2], r.code) for r in now.collect()) == want:
+                return True
+            time.sleep(0.25)
+        return False
+
     try:
-        for _ in range(60):
-            time.sleep(0.5)
-            if (now := watch.standing(spark, str(tmp_path / "snap2"))) is not None:
-                break
-        assert [r.code for r in now.collect()] == ["unclosed-tag"]
+        assert seen([("a.page", "unclosed-tag")])
+        write("a.page", "<i></b>", 5_000)
+        write("c.page", "<p></p>", 5_000)
+        assert seen([("a.page", "mismatched-close"), ("c.page", None)])
+        (root / "c.page").unlink()
+        assert seen([("a.page", "mismatched-close")])
     finally:
         query.stop()
 
 
+def test_ignored_folders_are_not_listed(spark, tmp_path, monkeypatch):
+    for name in ("a/x.page", "a/dist/y.page", "a/dist/deep/z.page", "b/c/w.page", "b/w.txt", "dist/v.page"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("<b>")
+    tree, looked = listing.Tree(str(tmp_path), [".page"], ["**/dist/**"]), []
+    mine = listing.Tree.look
+    monkeypatch.setattr(listing.Tree, "look", lambda self, folder: (looked.append(folder[len(str(tmp_path)) + 1 :]), mine(self, folder))[1])
+    assert sorted(f.path[len(str(tmp_path)) + 1 :] for _, own in tree.walk() for f in own) == ["a/x.page", "b/c/w.page"]
+    assert sorted(looked) == ["", "a", "b", "b/c"]
+    found = corpus.scan_files(spark, str(tmp_path), [".page"], ["**/dist/**"])
+    assert sorted((r.path[len(str(tmp_path)) + 1 :], r.text, r.bytes) for r in found.collect()) == [("a/x.page", "<b>", 3), ("b/c/w.page", "<b>", 3)]
+    assert corpus.scan_files(spark, str(tmp_path / "nothing"), [".page"]).collect() == []
+
+
+def test_writers_beside_each_other_lose_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+
+    def frame(keys, text):
+        return spark.createDataFrame([(k, text) for k in keys], "path string, text string")
+
+    assert incremental.write_changed(frame(["a", "b"], "1"), path, "path", "text") == {"written": 2, "skipped": 0, "removed": 0}
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda i: incremental.write_changed(frame(["a", f"k{i}"], f"v{i % 2}"), path, "path", "text", prune=False), range(4)))
+    stand = {r.path: r.text for r in incremental.read_snapshot(spark, path).collect()}
+    assert set(stand) == {"a", "b", *(f"k{i}" for i in range(4))} and all(stand[f"k{i}"] == f"v{i % 2}" for i in range(4)) and stand["b"] == "1"
+    assert all(g["written"] + g["skipped"] == 2 and g["written"] >= 1 and g["removed"] == 0 for g in got)
+    assert versions.latest(spark, path).number == 4
+    monkeypatch.setattr(versions, "COMPACT", 4)
+    for i in range(2):
+        assert incremental.write_changed(frame(["a"], f"w{i}"), path, "path", "text")["written"] == 1
+    assert len(versions.latest(spark, path).folders) <= 3
+    assert versions.vacuum(spark, path, 1) and rows(incremental.read_snapshot(spark, path), "path", "text") == [("a", "w1")]
+    assert incremental.write_changed(frame(["a"], "w1"), path, "path", "text") == {"written": 0, "skipped": 1, "removed": 0}
+
+
+def test_half_a_version_is_not_read(spark, tmp_path):
+    path = tmp_path / "table"
+    incremental.write_changed(spark.createDataFrame([("a", "1")], "path string, text string"), str(path), "path", "text")
+    (path / "data-half" / "_temporary").mkdir(parents=True)
+    (path / "_log" / "draft").write_text("{")
+    assert rows(incremental.read_snapshot(spark, str(path)), "path", "text") == [("a", "1")]
+
+
 def test_files_and_watch(spark, tmp_path):
     root = tmp_path / "site"
     (root / "sub").mkdir(parents=True)
