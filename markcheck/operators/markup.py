@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markcheck.functions import braces
 from markcheck.functions.text import is_void
 
-# Java regular expressions; possessive, so that a text of any length needs no stack. Braces nest three deep.
+# Java regular expressions; possessive, so that a text of any length needs no stack. Braces nest three deep here; texts
+# where they nest deeper, or where strings in them hold braces, are cut by ``functions.braces`` instead.
 BRACES = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
 QUOTED = r"\"[^\"]*+\"|'[^']*+'"
 #: Inside a tag; quoted values and braces may hold ``<`` and ``>``.
@@ -21,18 +27,66 @@ NAME = r"^/?([a-zA-Z][^\s/<>]*)"
 ATTRIBUTE = rf"{BRACES}|[^\s=/>\"'{{]++(?:\s*+=\s*+(?:{QUOTED}|(?:{BRACES}|[^\s>\"'{{])++))?+"
 
 
-def _tokens(pages: DataFrame, pattern: str, doc: str, html: str) -> DataFrame:
-    """``doc, start, text, gap``: matches of a pattern at their byte offsets, each with the text before it; the last gap has no match."""
-    placed = pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")).repartition("doc")
-    both = F.arrays_zip(F.split("html", pattern, -1).alias("gap"), F.regexp_extract_all("html", F.lit(pattern), F.lit(0)).alias("text"))
-    rows = placed.select("doc", F.posexplode(both).alias("i", "z")).select("doc", "i", "z.gap", "z.text")
+#: A brace behind which a string holds a brace or does not end.
+_ODD_STRING = r"\{(?:[^{}\"'`]++|\"[^\"{}]*+\"|'[^'{}]*+'|`[^`{}]*+`)*+[\"'`]"
+_PIECES = "array<struct<gap:string,text:string,flat:string>>"
+
+
+def _deep(text: Column) -> Column:
+    """Whether a pattern that counts braces three deep may misread them in ``text``."""
+    return F.coalesce(text.contains("{") & (F.regexp_replace(text, BRACES, "").rlike("[{}]") | text.rlike(_ODD_STRING)), F.lit(False))
+
+
+def _rows(cut: Callable[[str], Iterator[tuple[int, int, str]]], keep: list[str], text: str) -> Callable:
+    """Texts with ``cut``: pieces by what stands before them, the last without a piece."""
+
+    def pieces(value: str) -> list[dict]:
+        out, at = [], 0
+        for start, end, flat in cut(value):
+            out.append({"gap": value[at:start], "text": value[start:end], "flat": flat})
+            at = end
+        return [*out, {"gap": value[at:], "text": None, "flat": None}]
+
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("gap", "text", "flat")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [pieces(v) for v in b.column(b.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.nulls(b.num_rows, pa.string()), pa.array(found, kind)], [*keep, text, "cut"])
+
+    return run
+
+
+def _cut(rows: DataFrame, pattern: str, cut: Callable[[str], Iterator[tuple[int, int, str]]], text: str) -> tuple[DataFrame, Column]:
+    """``rows`` and, of their last column ``text``, the pieces ``gap, text, flat``: by a pattern, or by ``cut`` where braces are deep."""
+    keep = [c for c in rows.columns if c != text]
+    deep = _deep(F.col(text))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text)
+    plain = rows.where(~deep).select(*keep, text, F.expr(f"cast(null as {_PIECES})").alias("cut"))
+    hard = rows.where(deep).mapInArrow(_rows(cut, keep, text), f"{kinds}, `{text}` string, cut {_PIECES}")
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("text"), F.expr("cast(array() as array<string>)").alias("flat"))
+    return plain.unionByName(hard), F.coalesce("cut", found)
+
+
+def _tokens(pages: DataFrame, pattern: str, masked: bool, doc: str, html: str) -> DataFrame:
+    """``doc, start, text, gap, flat``: tokens at their byte offsets, each with the text before it; the last gap has none.
+
+    ``flat`` is the text of the same length in which braces do not nest.
+    """
+    placed, both = _cut(pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")), pattern, lambda t: braces.flat_tokens(t, masked), "html")
+    rows = placed.repartition("doc").select("doc", F.posexplode(both).alias("i", "z")).select("doc", "i", "z.gap", "z.text", F.coalesce("z.flat", "z.text").alias("flat"))
     w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     return rows.withColumn("start", (F.sum(F.octet_length("gap").cast("long") + size).over(w) - size).cast("long"))
 
 
 def _masked(pages: DataFrame, doc: str, html: str) -> DataFrame:
-    return _tokens(pages, f"(?is){COMMENT}|{RAW}|{TAG}", doc, html)
+    return _tokens(pages, f"(?is){COMMENT}|{RAW}|{TAG}", True, doc, html)
+
+
+def _head() -> Column:
+    """Open tag of a raw section, empty for anything else."""
+    return F.substring(F.col("text"), F.lit(1), F.length(F.regexp_extract("flat", f"(?is)^{RAW_HEAD}", 0)))
 
 
 def _event(text: Column, start: Column, name: Column | None = None) -> Column:
@@ -48,7 +102,7 @@ def tag_events(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFr
 
     Quoted values and braces belong to their tag whatever they hold; a tag that is not ended runs to the next ``<``.
     """
-    found = _tokens(pages, TAG, doc, html).where("text is not null")
+    found = _tokens(pages, TAG, False, doc, html).where("text is not null")
     return found.select("doc", _event(F.col("text"), F.col("start")).alias("e")).select("doc", "e.*")
 
 
@@ -59,8 +113,8 @@ def masked_tag_events(pages: DataFrame, doc: str = "doc", html: str = "html") ->
     """
     text, start = F.col("text"), F.col("start")
     found = _masked(pages, doc, html).where("text is not null and text not like '<!--%'")
-    head, shut = F.regexp_extract(text, f"(?is)^{RAW_HEAD}", 0), F.regexp_extract(text, f"(?is)^{RAW}$", 2)
-    found = found.withColumn("head", head).withColumn("shut", F.when(F.col("head") != "", shut).otherwise(""))
+    shut = F.regexp_extract("flat", f"(?is)^{RAW}$", 2)
+    found = found.withColumn("head", _head()).withColumn("shut", F.when(F.col("head") != "", shut).otherwise(""))
     opens = _event(F.when(F.col("head") != "", F.col("head")).otherwise(text), start)
     closes = _event(F.col("shut"), start + F.octet_length(text) - F.octet_length("shut"))
     both = F.when(F.col("shut") == "", F.array(opens)).otherwise(F.array(opens, closes))
@@ -74,13 +128,17 @@ def attributes(events: DataFrame) -> DataFrame:
     An expression alone, ``{name}``, is named by what it holds.
     """
     rest = F.regexp_replace("body", NAME, "")
-    found = F.regexp_extract_all(rest, F.lit(ATTRIBUTE), 0)
-    rows = events.where("kind <> 'close'").select("doc", "start", F.posexplode(found).alias("ord", "a"))
-    value = F.regexp_extract("a", r"(?s)^[^=]*=\s*(.*)$", 1)
-    text = F.when(value.rlike("(?s)^[\"'].*[\"']$"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    pieces, both = _cut(events.where("kind <> 'close'").select("doc", "start", rest.alias("rest")), ATTRIBUTE, lambda t: braces.flat_pieces(t, re.compile(ATTRIBUTE, re.A)), "rest")
+    rows = pieces.select("doc", "start", F.posexplode(both).alias("ord", "z")).select("doc", "start", "ord", F.col("z.text").alias("a"), F.coalesce("z.flat", "z.text").alias("flat")).where("a is not null")
     alone = F.col("a").startswith("{")
-    text = F.when(alone, F.col("a")).otherwise(text)
-    kind = F.when(alone, "expression").when(~F.col("a").contains("="), "bare").when(text.rlike(f"^{BRACES}$"), "expression").when(text.rlike(BRACES), "mixed").otherwise("text")
+
+    def value(of: str) -> Column:
+        own = F.regexp_extract(of, r"(?s)^[^=]*=\s*(.*)$", 1)
+        own = F.when(own.rlike("(?s)^[\"'].*[\"']$"), F.substring(own, F.lit(2), F.length(own) - 2)).otherwise(own)
+        return F.when(alone, F.col(of)).otherwise(own)
+
+    text, flat = value("a"), value("flat")
+    kind = F.when(alone, "expression").when(~F.col("a").contains("="), "bare").when(flat.rlike(f"^{BRACES}$"), "expression").when(flat.rlike(BRACES), "mixed").otherwise("text")
     head = F.when(alone, F.regexp_replace("a", r"^\{\s*|\s*\}$", "")).otherwise(F.regexp_extract("a", r"^([^\s=]+)", 1))
     plain = F.split(F.regexp_replace(head, "^[^:]*:", ""), "\\|")
     is_directive = ~alone & head.contains(":")
@@ -105,8 +163,8 @@ def comments(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFram
 def expressions(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
     """``doc, start, end, text`` of what stands in braces between tags, ``text`` without the braces."""
     gaps = _masked(pages, doc, html).select("doc", (F.col("start") - F.octet_length("gap")).alias("from"), "gap").where(F.col("gap").contains("{"))
-    both = F.arrays_zip(F.split("gap", BRACES, -1).alias("gap"), F.regexp_extract_all("gap", F.lit(BRACES), F.lit(0)).alias("text"))
-    rows = gaps.select("doc", "from", F.posexplode(both).alias("i", "z")).select("doc", "from", "i", "z.gap", "z.text")
+    pieces, both = _cut(gaps, BRACES, lambda t: braces.flat_pieces(t, re.compile(BRACES)), "gap")
+    rows = pieces.select("doc", "from", F.posexplode(both).alias("i", "z")).select("doc", "from", "i", "z.gap", "z.text")
     w = Window.partitionBy("doc", "from").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("from") + F.sum(F.octet_length("gap").cast("long") + F.coalesce(F.octet_length("text"), F.lit(0))).over(w)
     found = rows.withColumn("end", end.cast("long")).where("text is not null")
@@ -115,8 +173,8 @@ def expressions(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataF
 
 def sections(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
     """``doc, name, context, lang, start, body_start, body_end, body``: script and style sections."""
-    raw = _masked(pages, doc, html).withColumn("name", F.lower(F.regexp_extract("text", f"(?is)^{RAW}$", 1))).where("name in ('script', 'style')")
-    head, shut = F.regexp_extract("text", f"(?is)^{RAW_HEAD}", 0), F.regexp_extract("text", f"(?is)^{RAW}$", 2)
+    raw = _masked(pages, doc, html).withColumn("name", F.lower(F.regexp_extract("flat", f"(?is)^{RAW}$", 1))).where("name in ('script', 'style')")
+    head, shut = _head(), F.regexp_extract("flat", f"(?is)^{RAW}$", 2)
     body = F.substring(F.col("text"), F.length(head) + 1, F.length("text") - F.length(head) - F.length(shut))
     begin = (F.col("start") + F.octet_length(head)).cast("long")
     return raw.select(
