@@ -6,21 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Decisions that the fold over a document's edits gathers before it puts them aside.
+RUN = 1024
+
+
 def pick_edits(edits: DataFrame, by: str = "doc") -> DataFrame:
     """Edits (start, end, ord, ...) in order of start, then ``ord``, without invalid ones and those that begin before the last kept end.
 
-    Touching edits stay. The choice depends on all earlier ones, so it is one fold over a document's edits; the fold
-    carries only the end reached and the kept positions.
+    Touching edits stay. The choice depends on all earlier ones, so it is one fold over a document's edits. The fold
+    carries the end reached and one character for each decision, in runs of a fixed length, so that a step copies no
+    more than a run, however many edits there are.
     """
-    sortable = F.array_sort(F.collect_list(F.struct("start", "ord", "end")))
-    state = F.struct(F.lit(0).cast("long").alias("reach"), F.expr("cast(array() as array<bigint>)").alias("kept"))
+    ordered = edits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end"))).alias("__e"))
+    state = F.struct(F.lit(0).cast("long").alias("reach"), F.lit("").alias("run"), F.expr("cast(array() as array<string>)").alias("runs"))
 
     def step(s, e):
         ok = (e["end"] >= e["start"]) & (e["start"] >= s["reach"])
-        return F.struct(F.when(ok, e["end"]).otherwise(s["reach"]).cast("long").alias("reach"), F.when(ok, F.concat(s["kept"], F.array(e["ord"].cast("long")))).otherwise(s["kept"]).alias("kept"))
-
-    kept = edits.groupBy(by).agg(F.aggregate(sortable, state, step, lambda s: s["kept"]).alias("kept")).select(by, F.explode("kept").alias("ord"))
-    return edits.join(kept, [by, "ord"], "left_semi")
+        run = F.concat(s["run"], F.when(ok, "1").otherwise("0"))
+        full = F.octet_length(run) >= RUN
+        return F.struct(
+            F.when(ok, e["end"]).otherwise(s["reach"]).cast("long").alias("reach"),
+            F.when(full, "").otherwise(run).alias("run"),
+            F.when(full, F.concat(s["runs"], F.array(run))).otherwise(s["runs"]).alias("runs"),
+        )
+
+    decided = F.aggregate("__e", state, step, lambda s: F.split(F.concat(F.array_join(s["runs"], ""), s["run"]), ""))
+    both = ordered.select(by, F.explode(F.arrays_zip(F.col("__e.ord").alias("ord"), decided.alias("kept"))).alias("z"))
+    return edits.join(both.where("z.kept = '1'").select(by, "z.ord"), [by, "ord"], "left_semi")
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:

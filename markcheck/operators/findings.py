@@ -87,11 +87,18 @@ def duplicate_keys(rows: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.count_distinct(F.struct("*")).alias("variants")).where("n > 1")
 
 
-def check_nesting(events: DataFrame) -> DataFrame:
+def check_nesting(events: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Close tags that close an element of another name, and elements still open at the end of the text.
 
-    End tags that may be left out are put in first, so their elements are neither.
+    End tags that may be left out are put in first, so their elements are neither. With ``blocks`` (``markup.blocks``) an
+    element also has to be closed where the block, or the part of it, ends in which it was opened. A close tag that has
+    nothing to close in its block, or outside of all, is no finding.
     """
+    if blocks is not None:
+        inside = nesting.framed(events, blocks)
+        keyed = inside.select(F.struct("doc", "frame").alias("doc"), *(c for c in inside.columns if c not in ("doc", "frame")))
+        found = check_nesting(keyed)
+        return found.select("doc.doc", *(c for c in found.columns if c != "doc"))
     closes = F.col("kind") == "close"
     wrong = closes & (F.col("opener.name") != F.col("name"))
     left_open = ~closes & ~F.col("closed") & (F.lower("name") != "li")
@@ -101,14 +108,14 @@ def check_nesting(events: DataFrame) -> DataFrame:
     return found.select("doc", "start", "end", code.alias("code"), default_severity(code).alias("severity"), message.alias("message"))
 
 
-def check_mismatched(events: DataFrame) -> DataFrame:
+def check_mismatched(events: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """A close tag that closes an element of another name."""
-    return check_nesting(events).where("code = 'mismatched-close'")
+    return check_nesting(events, blocks).where("code = 'mismatched-close'")
 
 
-def check_unclosed(events: DataFrame) -> DataFrame:
-    """An element still open at the end of the text, unless its end tag is optional."""
-    return check_nesting(events).where("code = 'unclosed-tag'")
+def check_unclosed(events: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """An element still open at the end of the text or of its block, unless its end tag is optional."""
+    return check_nesting(events, blocks).where("code = 'unclosed-tag'")
 
 
 def check_headings(events: DataFrame) -> DataFrame:

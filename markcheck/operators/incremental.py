@@ -67,6 +67,21 @@ def invalidated(stored: DataFrame, old: DataFrame, new: DataFrame, group: str) -
     return stored.join(same, group, "left_anti")
 
 
+def dependents(changed: DataFrame, references: DataFrame, key: str = "path", target: str = "target") -> DataFrame:
+    """``key`` of what has to be checked again when ``changed`` is: those, what refers to them, what refers to that, and so on.
+
+    ``references`` is (key, target). Each round joins only what the last one found, and drops what was found before, so
+    circles end and a reference is followed once. Rounds are written tables; their number is the longest chain.
+    """
+    edges = materialize(references.select(F.col(key).alias("__from"), F.col(target).alias("__to")).where("__from is not null and __to is not null").distinct(), "references")
+    reached = fresh = materialize(changed.select(key).distinct(), "reached")
+    while not fresh.isEmpty():
+        next_ones = edges.join(fresh, edges["__to"] == fresh[key]).select(F.col("__from").alias(key)).distinct()
+        fresh = materialize(next_ones.join(reached, key, "left_anti"), "reached")
+        reached = reached.unionByName(fresh)
+    return reached
+
+
 def mirror_plan(source: DataFrame, mirror: DataFrame, key: str, content: str = "fingerprint") -> DataFrame:
     """``key, action``: copy, keep or delete."""
     classes = change_classes(source, mirror, key, content)

@@ -171,6 +171,13 @@ def expressions(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataF
     return found.select("doc", (F.col("end") - F.octet_length("text")).cast("long").alias("start"), "end", F.substring(F.col("text"), F.lit(2), F.length("text") - 2).alias("text"))
 
 
+def blocks(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
+    """``doc, start, end, kind``: where a block begins (``{#if ...}``), goes on (``{:else}``) or ends (``{/if}``); kinds block, part and end."""
+    mark = F.substring(F.ltrim("text"), 1, 1)
+    kind = F.when(mark == "#", "block").when(mark == ":", "part").when(mark == "/", "end")
+    return expressions(pages, doc, html).select("doc", "start", "end", kind.alias("kind")).where("kind is not null")
+
+
 def sections(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
     """``doc, name, context, lang, start, body_start, body_end, body``: script and style sections."""
     raw = _masked(pages, doc, html).withColumn("name", F.lower(F.regexp_extract("flat", f"(?is)^{RAW}$", 1))).where("name in ('script', 'style')")

@@ -36,6 +36,21 @@ def pairs(events: DataFrame) -> DataFrame:
     return live.withColumn("opener", F.when(F.col("kind") == "close", opener)).withColumn("closed", F.when(F.col("kind") == "open", F.lead("start").over(at_level).isNotNull())).drop("__before")
 
 
+def framed(events: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Tag events with ``frame``: where the innermost block or part of a block that holds them begins, -1 outside of all.
+
+    Blocks nest among themselves, whatever tags stand between; an end without a block, and a part outside of any, count
+    for nothing. An element is opened and closed in one frame.
+    """
+    marks = blocks.select("doc", "start", "end", "kind").withColumn("__block", F.lit(True))
+    step = F.when(F.col("__block") & (F.col("kind") == "block"), 1).when(F.col("__block") & (F.col("kind") == "end"), -1).otherwise(0)
+    rows = depth(events.unionByName(marks, allowMissingColumns=True), step, "doc", ["start", "end"])
+    at_level = Window.partitionBy("doc", "depth").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.when(F.col("__block") & F.col("kind").isin("block", "part"), F.col("start"))
+    frame = F.when(F.col("depth") > 0, F.last(begins, ignorenulls=True).over(at_level)).otherwise(F.lit(-1).cast("long"))
+    return rows.withColumn("frame", frame).where("__block is null").drop("__block", "depth")
+
+
 def level_skips(rows: DataFrame, by: str, order: list[str], level: str) -> DataFrame:
     """Rows whose level exceeds the previous row's by more than one, with ``previous``; the first may be any level."""
     w = Window.partitionBy(by).orderBy(*order)

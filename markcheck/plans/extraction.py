@@ -234,6 +234,67 @@ def check_unclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.check_unclosed(c.masked_tags(spark, sf_dir)).select("doc", "start", "end", "message")
 
 
+#: Blocks that stand behind every page: (text, kind, name, frame); elements are opened and closed in one frame.
+BLOCKS = (
+    ("{#if a}", "", "", 0), ("<div>", "open", "div", 1), ("<b>", "open", "b", 1), ("</b>", "close", "b", 1),
+    ("{#each b as c}", "", "", 1), ("<li>", "open", "li", 2), ("<em>", "open", "em", 2), ("{/each}", "", "", 1), ("</em>", "close", "em", 1), ("<s>", "open", "s", 1),
+    ("{:else}", "", "", 0), ("<i>", "open", "i", 3), ("</p>", "close", "p", 3), ("<u>", "open", "u", 3), ("{/if}", "", "", 0), ("</div>", "close", "div", 0),
+)
+_BLOCK_TEXT = "".join(t for t, *_ in BLOCKS)
+_BLOCK_ROWS = ", ".join(f"({at}, {at + len(t)}, '{kind}', '{name}', {frame})" for i, (t, kind, name, frame) in enumerate(BLOCKS) if kind for at in [len("".join(x for x, *_ in BLOCKS[:i]))])
+
+
+@query(f"""WITH {c.BARE_TAGS.replace(', tags AS (', ', bare_tags AS (')}, tags AS (
+  SELECT doc * 10 AS doc, start, "end", kind, name FROM bare_tags
+  UNION ALL SELECT page_id * 10 + v.f, strlen(html) + v.s, strlen(html) + v.e, v.kind, v.name FROM pages, (VALUES {_BLOCK_ROWS}) v(s, e, kind, name, f)
+), {c.PAIRS} SELECT doc // 10 AS doc, start, "end", code, message FROM found""")
+def check_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nesting rules on pages with blocks."""
+    pages = c.pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit(_BLOCK_TEXT)))
+    return findings.check_nesting(markup.masked_tag_events(pages), markup.blocks(pages)).select("doc", "start", "end", "code", "message")
+
+
+#: A tag behind every page whose braces nest as deep as its page says, up to 11, and hold a brace in a string.
+_DEEP_SQL = """deep_pages AS (SELECT page_id AS doc, strlen(html) AS pos, (page_id % 11 + 1)::INT AS d FROM pages),
+deep_values AS (SELECT doc, pos, repeat('{', d) || 'a > b' || repeat('}', d) AS x FROM deep_pages)"""
+
+
+def _deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depth = (F.col("doc") % 11 + 1).cast("int")
+    value = F.concat(F.repeat(F.lit("{"), depth), F.lit("a > b"), F.repeat(F.lit("}"), depth))
+    return c.pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit("<em x="), value, F.lit(" y={'}>'}>t</em>")))
+
+
+@query(f"""WITH {c.BARE_TAGS.replace(', tags AS (', ', bare_tags AS (')}, {_DEEP_SQL}
+SELECT doc, start, "end", kind, name FROM bare_tags
+UNION ALL SELECT doc, pos, pos + strlen(x) + 16, 'open', 'em' FROM deep_values
+UNION ALL SELECT doc, pos + strlen(x) + 17, pos + strlen(x) + 22, 'close', 'em' FROM deep_values""")
+def tag_events_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.masked_tag_events(_deep_pages(spark, sf_dir)).select("doc", "start", "end", "kind", "name")
+
+
+@query(f"""WITH {_DEEP_SQL}
+SELECT doc, pos AS start, 0::BIGINT AS ord, 'x' AS name, 'expression' AS value_kind, x AS value FROM deep_values
+UNION ALL SELECT doc, pos, 1, 'y', 'expression', '{{''}}>''}}' FROM deep_values""")
+def tag_attributes_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deep = markup.masked_tag_events(_deep_pages(spark, sf_dir)).where("name = 'em' and body like '%{%'")
+    return markup.attributes(deep).select("doc", "start", "ord", "name", "value_kind", "value")
+
+
+#: Program text in every document: its words count, those in its strings and comments do not.
+_PROGRAM = 'the "of \\" is" // und\n/* que */ der `la ${les}` is'
+
+
+_CODE_WORDS = f"({_PROGRAM.index('the')}, 'the'), ({_PROGRAM.index('der')}, 'der'), ({_PROGRAM.rindex('is')}, 'is')"
+
+
+@query(f"""SELECT doc_id AS doc, strlen(source) + 2 + v.s AS start, v.token FROM documents, (VALUES {_CODE_WORDS}) v(s, token)""")
+def token_occurrences_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of program text that names its document's source; strings and comments are stepped over."""
+    code = c.documents(spark, sf_dir).withColumn("text", F.concat("source", F.lit(";\n" + _PROGRAM)))
+    return tokens.token_occurrences(code, VOCABULARY, skip=tokens.CODE)
+
+
 CALLS = ("track", "margin", "of", "the", "de")
 _CALLS = ", ".join(f"'{n}'" for n in CALLS)
 

@@ -368,6 +368,18 @@ def invalidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.invalidated(old, before, now, "source").select("path")
 
 
+@query("""WITH RECURSIVE n AS (SELECT max(doc_id) AS top FROM documents),
+edges AS (SELECT doc_id AS path, doc_id // 2 AS target FROM documents UNION SELECT doc_id, doc_id // 3 FROM documents WHERE doc_id % 5 = 0 UNION SELECT doc_id - doc_id % 8, doc_id FROM documents WHERE doc_id % 8 = 7),
+reached AS (SELECT doc_id AS path FROM documents WHERE doc_id % 89 = 40 UNION SELECT e.path FROM edges e JOIN reached r ON e.target = r.path)
+SELECT path FROM reached""")
+def invalidate_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is checked again when some documents change: references make chains, diamonds and circles."""
+    i = F.col("doc")
+    docs = c.documents(spark, sf_dir).select("doc")
+    edges = docs.select(i.alias("path"), F.floor(i / 2).alias("target")).unionByName(docs.where("doc % 5 = 0").select(i.alias("path"), F.floor(i / 3).alias("target"))).unionByName(docs.where("doc % 8 = 7").select((i - i % 8).alias("path"), i.alias("target")))
+    return incremental.dependents(docs.where("doc % 89 = 40").select(i.alias("path")), edges)
+
+
 @query(f"""WITH {_SNAPSHOT} SELECT path, CASE change WHEN 'removed' THEN 'delete' WHEN 'unchanged' THEN 'keep' ELSE 'copy' END AS action FROM classes""")
 def mirror_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.mirror_plan(*_snapshot(spark, sf_dir), "path")

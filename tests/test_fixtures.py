@@ -408,3 +408,33 @@ def test_files_and_watch(spark, tmp_path):
     assert pass_over() == [("a.page", "mismatched-close")]
     (root / "new.page").write_text("<i>")
     assert pass_over() == [("a.page", "mismatched-close"), ("new.page", "unclosed-tag")]
+
+
+def test_elements_close_in_their_block(spark):
+    cases = {
+        "{#if a}<div>{/if}</div>": ["unclosed tag: <div>"],
+        "<p>{#if a}<b></b>{/if}</p>": [],
+        "<ul>{#each a as b}<li>{b}{:else}<i></b></i>{/each}</ul>": ["mismatched closing tag: expected </i>, found </b>"],
+        "{#if a}</div>{/if}<div>": ["unclosed tag: <div>"],
+        "{/if}{:else}<b>{#await x}<i>{:then y}</i>{#key z}<u>{/key}{/await}</b>": ["unclosed tag: <i>", "unclosed tag: <u>"],
+        "{#if a}{#if b}<b>{:else}</b>{/if}</i>{/if}": ["unclosed tag: <b>"],
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc long, html string")
+    found = findings.check_nesting(markup.masked_tag_events(frame), markup.blocks(frame)).collect()
+    for doc, want in enumerate(cases.values()):
+        assert sorted(r.message for r in found if r.doc == doc) == want
+
+
+def test_many_edits_of_one_document(spark):
+    n = 200_000
+    frame = spark.range(n).select(F.lit(1).alias("doc"), F.col("id").alias("ord"), (F.col("id") * 2).alias("start"), (F.col("id") * 2 + F.when(F.col("id") % 3 == 0, 5).otherwise(1)).alias("end"))
+    began = time.time()
+    assert edits.pick_edits(frame).count() == (n + 2) // 3
+    assert time.time() - began < 60
+
+
+def test_dependents_of_circles_and_diamonds(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("b", "e"), ("x", "y"), (None, "a"), ("a", None)], "path string, target string")
+    changed = spark.createDataFrame([("a",), ("lone",)], "path string")
+    assert rows(incremental.dependents(changed, edges), "path") == [("a",), ("b",), ("c",), ("d",), ("e",), ("lone",)]
+    assert incremental.dependents(changed.limit(0), edges).collect() == []
