@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markcheck.scratch import materialize
-
 
 def depth(events: DataFrame, step: Column, by: str, order: list[str]) -> DataFrame:
     """Adds ``depth`` after each event: the running sum of ``step`` (+1 push, -1 pop) that never falls below zero."""
@@ -57,54 +54,55 @@ def level_skips(rows: DataFrame, by: str, order: list[str], level: str) -> DataF
     return rows.withColumn("previous", F.lag(level).over(w)).where(F.col(level) > F.col("previous") + 1)
 
 
-#: An open or close tag (second) that ends an open element (first) whose end tag may be left out.
-_ENDS_ON_OPEN = frozenset({("li", "li")})
-_ENDS_ON_CLOSE = frozenset({("li", "ul"), ("li", "ol"), ("li", "menu")})
+#: Close tags that end an open item whose end tag was left out; another item does, too.
+_LISTS = ("ul", "ol", "menu")
+#: What the fold notes of an item, by how its name is written.
+_ITEMS = {"li": "a", "LI": "b", "Li": "c", "lI": "d"}
+#: Notes that the fold gathers before it puts them aside.
+RUN = 1024
+
+
+def _below(stack: Column) -> Column:
+    return F.substring(stack, 2, 2**31 - 1)
 
 
 def implicit_closes(events: DataFrame) -> DataFrame:
-    """Tag events with synthetic closes where an end tag was left out; ``synthetic`` marks them.
+    """``doc, start, end, kind, name, synthetic``: tag events with synthetic closes where an end tag was left out.
 
-    What is closed depends on the stack, so this folds over each document's events; output columns are
-    ``doc, start, end, kind, name, synthetic``. A document's tags are one group, as large as the document.
+    What is closed depends on the stack, so documents with items are folded, one group each, as large as the document.
+    The stack is a string, innermost element first, in which only items are told apart; no more than one item ends at
+    a tag, as an item never stands directly in an item. Events that lie by document are not shuffled again.
     """
-
-    def fold(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        stack: list[str] = []
-        for e in sorted(table.select(["doc", "start", "end", "kind", "name"]).to_pylist(), key=lambda e: e["start"]):
-            name = e["name"].lower()
-            ends = _ENDS_ON_OPEN if e["kind"] == "open" else _ENDS_ON_CLOSE if e["kind"] == "close" else ()
-            while stack and (stack[-1].lower(), name) in ends:
-                out.append((e["doc"], e["start"], e["start"], "close", stack.pop(), True))
-            if e["kind"] == "open":
-                stack.append(e["name"])
-            elif e["kind"] == "close" and stack:
-                stack.pop()
-            out.append((e["doc"], e["start"], e["end"], e["kind"], e["name"], False))
-        types = (table.schema.field("doc").type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, types, strict=True)], ["doc", "start", "end", "kind", "name", "synthetic"])
-
-    kind = events.schema["doc"].dataType.simpleString()
-    return events.select("doc", "start", "end", "kind", "name").groupBy("doc").applyInArrow(fold, f"doc {kind}, start long, end long, kind string, name string, synthetic boolean")
+    item = (F.col("kind") == "open") & (F.lower("name") == "li")
+    grouped = events.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "name"))).alias("__e"), F.max(item).alias("__items"))
+    state = F.struct(F.lit("").alias("stack"), F.lit("").alias("run"), F.expr("cast(array() as array<string>)").alias("runs"))
+
+    def step(s: Column, e: Column) -> Column:
+        name, opens, closes = F.lower(e["name"]), e["kind"] == "open", e["kind"] == "close"
+        top = F.substring(s["stack"], 1, 1)
+        ends = ~top.isin("", ".") & ((opens & (name == "li")) | (closes & name.isin(*_LISTS)))
+        rest = F.when(ends, _below(s["stack"])).otherwise(s["stack"])
+        mark = F.coalesce(F.create_map(*[F.lit(x) for kv in _ITEMS.items() for x in kv])[e["name"]], F.lit("."))
+        run = F.concat(s["run"], F.when(ends, top).otherwise("."))
+        full = F.octet_length(run) >= RUN
+        return F.struct(
+            F.when(opens, F.concat(mark, rest)).when(closes, _below(rest)).otherwise(rest).alias("stack"),
+            F.when(full, "").otherwise(run).alias("run"),
+            F.when(full, F.concat(s["runs"], F.array(run))).otherwise(s["runs"]).alias("runs"),
+        )
+
+    noted = F.aggregate("__e", state, step, lambda s: F.split(F.concat(F.array_join(s["runs"], ""), s["run"]), ""))
+    noted = F.when(F.col("__items"), noted).otherwise(F.expr("cast(array() as array<string>)"))
+    rows = grouped.select("doc", F.explode(F.arrays_zip(F.col("__e").alias("e"), noted.alias("note"))).alias("z")).where("z.e is not null")
+    left_out = F.create_map(*[F.lit(x) for n, mark in _ITEMS.items() for x in (mark, n)])[F.col("z.note")]
+    own = F.struct("z.e.start", "z.e.end", "z.e.kind", "z.e.name", F.lit(False).alias("synthetic"))
+    close = F.struct("z.e.start", F.col("z.e.start").alias("end"), F.lit("close").alias("kind"), left_out.alias("name"), F.lit(True).alias("synthetic"))
+    return rows.select("doc", F.explode(F.when(left_out.isNull(), F.array(own)).otherwise(F.array(close, own))).alias("e")).select("doc", "e.*")
 
 
 def with_optional_ends(events: DataFrame) -> DataFrame:
-    """``doc, start, end, kind, name`` of tag events and of the ends that may be left out.
-
-    Whether a document leaves one out shows in plain pairing: the first time, an item stands directly in an item, or
-    the end of a list closes one. Only such documents are folded.
-    """
-    events = materialize(events.select("doc", "start", "end", "kind", "name"), "tag-events")
-    live = pairs(events)
-    item = F.lower("name") == "li"
-    opens = live.where("kind = 'open'").select("doc", "start", item.alias("item"), F.explode(F.array(F.struct(F.col("level").alias("at"), F.lit(False).alias("inner")), F.struct((F.col("level") - 1).alias("at"), F.lit(True).alias("inner")))).alias("z"))
-    outer = Window.partitionBy("doc", "at").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    opens = opens.select("doc", "start", "item", "z.*").withColumn("outer", F.last(F.when(~F.col("inner"), F.col("item")), ignorenulls=True).over(outer))
-    ends = live.where((F.col("kind") == "close") & (F.lower("opener.name") == "li") & F.lower("name").isin(*[n for _, n in sorted(_ENDS_ON_CLOSE)]))
-    folded = materialize(opens.where("inner and item and outer").select("doc").unionByName(ends.select("doc")).distinct(), "left-out-ends")
-    rest = events.join(folded, "doc", "left_anti")
-    return rest.unionByName(implicit_closes(events.join(folded, "doc", "left_semi")).select(*rest.columns))
+    """``doc, start, end, kind, name`` of tag events and of the ends that were left out."""
+    return implicit_closes(events).drop("synthetic")
 
 
 def attach_nearest(rows: DataFrame, is_host: Column, is_pending: Column, by: str, order: str, host: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 
@@ -438,3 +439,31 @@ def test_dependents_of_circles_and_diamonds(spark):
     changed = spark.createDataFrame([("a",), ("lone",)], "path string")
     assert rows(incremental.dependents(changed, edges), "path") == [("a",), ("b",), ("c",), ("d",), ("e",), ("lone",)]
     assert incremental.dependents(changed.limit(0), edges).collect() == []
+
+
+def stack_closes(events):
+    """Ends that were left out, by a stack: ``(start, end, kind, name, synthetic)``."""
+    out, stack = [], []
+    for start, end, kind, name in sorted(events):
+        ends = {"open": ("li",), "close": ("ul", "ol", "menu")}.get(kind, ())
+        while stack and stack[-1].lower() == "li" and name.lower() in ends:
+            out.append((start, start, "close", stack.pop(), True))
+        if kind == "open":
+            stack.append(name)
+        elif kind == "close" and stack:
+            stack.pop()
+        out.append((start, end, kind, name, False))
+    return out
+
+
+@pytest.mark.parametrize("run", [1024, 3])
+def test_left_out_ends_equal_a_stack(spark, monkeypatch, run):
+    monkeypatch.setattr(nesting, "RUN", run)
+    rng = random.Random(run)
+    docs = [[(i * 10, i * 10 + 5, rng.choice(["open", "open", "close", "void", "self"]), rng.choice(["li", "LI", "Li", "lI", "ul", "OL", "b", "menu"])) for i in range(rng.randrange(60))] for _ in range(120)]
+    docs.append([(i * 10, i * 10 + 5, "open", "b" if i % 3 else "li") for i in range(6_000)])
+    frame = spark.createDataFrame([(d, *e) for d, own in enumerate(docs) for e in own], "doc long, start long, end long, kind string, name string")
+    found = nesting.implicit_closes(frame)
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    got = sorted((r.doc, r.start, r.end, r.kind, r.name, r.synthetic) for r in found.collect())
+    assert got == sorted((d, *e) for d, own in enumerate(docs) for e in stack_closes(own))
