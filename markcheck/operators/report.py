@@ -8,10 +8,11 @@ and findings below are fixed values that readers of reports rely on.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -89,6 +90,14 @@ class Phases(dict):
             self[phase] = self.get(phase, 0.0) + (time.perf_counter() - began) * 1000
 
 
+    def job(self, phase: str, rows: DataFrame, write: Callable[[DataFrame], None], **counts: Column) -> dict[str, int]:
+        """Has ``rows`` written and measures that; ``counts`` are aggregated from the rows as they pass by, in the same job."""
+        seen = Observation(f"{phase}-{uuid.uuid4().hex}")
+        with self(phase):
+            write(rows.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+            return seen.get
+
+
 def run_metrics(counts: DataFrame, phases: Sequence[str], measured: Mapping[str, float] | None = None) -> DataFrame:
     """``json``: one nested object of counts and of the durations of ``phases``, null for one that was not measured."""
     durations = F.struct(*[F.lit((measured or {}).get(p)).cast("double").alias(p) for p in phases])

@@ -273,6 +273,17 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.run_metrics(counts, ["scan", "check"])  # durations differ from run to run
 
 
+@query(f"""WITH {_EVENT_FINDINGS} SELECT (SELECT count(*) FROM events) AS events, count(*) AS findings, count(*) FILTER (severity = 'error') AS errors, TRUE AS timed FROM ef""")
+def run_metrics_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that two jobs gather as they write, and whether both were timed."""
+    phases, path = report.Phases(), f"{shared_dir(spark)}/markcheck-metrics-{uuid.uuid4().hex}"
+    scanned = phases.job("scan", c.events(spark, sf_dir), lambda rows: rows.write.parquet(f"{path}/events"), events=F.count("*"))
+    checked = phases.job("check", _event_findings(spark, sf_dir), lambda rows: rows.write.parquet(f"{path}/findings"), findings=F.count("*"), errors=F.count_if(F.col("severity") == "error"))
+    counts = spark.createDataFrame([(scanned["events"], checked["findings"], checked["errors"])], "events long, findings long, errors long")
+    text = report.run_metrics(counts, ["scan", "check"], phases).select(F.from_json("json", "counts struct<events:bigint,findings:bigint,errors:bigint>, ms struct<scan:double,check:double>").alias("j"))
+    return text.select("j.counts.*", ((F.col("j.ms.scan") > 0) & (F.col("j.ms.check") > 0)).alias("timed"))
+
+
 @query("""WITH n AS (SELECT regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS name FROM pages),
 l AS (SELECT CASE WHEN ends_with(name, '0.html') THEN '0.html' WHEN ends_with(name, '.html') THEN '.html' WHEN regexp_matches(name, '[.][^.]+$') THEN regexp_extract(name, '([.][^.]+)$', 1) ELSE name END AS label FROM n)
 SELECT label, count(*)::BIGINT AS files, 'warning: ' || count(*) || CASE WHEN count(*) = 1 THEN ' file' ELSE ' files' END || ' with unregistered extension (' || label || ') skipped' AS text FROM l GROUP BY label""")

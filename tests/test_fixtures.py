@@ -467,3 +467,16 @@ def test_left_out_ends_equal_a_stack(spark, monkeypatch, run):
     assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
     got = sorted((r.doc, r.start, r.end, r.kind, r.name, r.synthetic) for r in found.collect())
     assert got == sorted((d, *e) for d, own in enumerate(docs) for e in stack_closes(own))
+
+
+def test_a_job_is_timed_and_counted_in_one_pass(spark):
+    passed, phases = spark.sparkContext.accumulator(0), report.Phases()
+
+    def slowly(batches):
+        for b in batches:
+            time.sleep(0.05)
+            passed.add(b.num_rows)
+            yield b
+
+    counts = phases.job("check", spark.range(1_000).mapInArrow(slowly, "id long"), lambda r: r.write.format("noop").mode("overwrite").save(), all=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
+    assert counts == {"all": 1_000, "even": 500} and passed.value == 1_000 and phases["check"] >= 50
