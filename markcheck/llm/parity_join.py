@@ -192,7 +192,10 @@ def _all_signatures(width: int, percent: int):
 
 
 def _pack(width: int, percent: int, buckets: int, frequencies, weight: float):
-    """Per bucket and some slices one row with signatures and documents; only the first of equal sets in a slice takes part."""
+    """Per bucket and some slices one row with signatures and documents; only the first of equal sets in a slice takes part.
+
+    Sizes are negative where a signature is dealt to several groups.
+    """
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         bucket, *columns = map(np.concatenate, zip(*held, strict=True))
@@ -219,7 +222,8 @@ def _pack(width: int, percent: int, buckets: int, frequencies, weight: float):
             doc = _ids(b).to_numpy(zero_copy_only=False)[rows][owner].astype(np.int64)
             deals = np.maximum(1, often * weight / BUCKET).astype(_U)
             salt = mix(doc.view(_U) + _U(1)) % deals
-            held.append(((mix(sig + salt * _U(0x9E3779B97F4A7C15)) % _U(buckets)).astype(np.int64), sig, doc, counts[owner].astype(np.int32)))
+            size = np.where(deals > 1, -counts[owner], counts[owner]).astype(np.int32)
+            held.append(((mix(sig + salt * _U(0x9E3779B97F4A7C15)) % _U(buckets)).astype(np.int64), sig, doc, size))
             if sum(len(h[0]) for h in held) >= HELD:
                 yield flush(held)
         if held:
@@ -238,11 +242,12 @@ def _match(percent: int):
         """Candidate pairs of a bucket, then (signature, band, centre, document) of its signatures with many documents."""
         sig, doc, size = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("sigs", np.int64), ("docs", np.int64), ("sizes", np.int32)))
         group = None
+        dealt, size = size < 0, np.abs(size)
         band = _band(size, percent)
         order = np.lexsort((doc, band, sig))
-        sig, doc, size, band = sig[order], doc[order], size[order].astype(np.int64), band[order]
+        sig, doc, size, band, dealt = sig[order], doc[order], size[order].astype(np.int64), band[order], dealt[order]
         run = np.cumsum(np.concatenate(([True], sig[1:] != sig[:-1]))) - 1
-        few = (np.bincount(run) <= SMALL)[run]
+        few = (np.bincount(run) <= SMALL)[run] & ~dealt  # however few are here, other groups hold more
         pairs = []
         for k in range(1, min(SMALL, len(doc))):
             i = np.flatnonzero(few[:-k] & (run[:-k] == run[k:]))

@@ -130,6 +130,17 @@ def test_one_line_in_a_third_of_all_documents(spark, monkeypatch):
     check(spark, list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("bucket", [1, 3])
+def test_dealing_to_nearly_empty_groups_parts_nothing(spark, monkeypatch, bucket):
+    monkeypatch.setattr(parity_join, "BUCKET", bucket)
+    rng = random.Random(11)
+    texts = []
+    for size in (8, 30, 60):
+        base = [f"v{size}x{k}" for k in range(size)]
+        texts += list(family(rng, base, 40, 3 + size // 20))
+    check(spark, list(enumerate(texts)))
+
+
 def test_an_id_on_several_texts_links_as_each_of_them(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     rows = [(1, a), (2, a + " more"), (5, b), (6, b + " more"), (7, a + " else"), (7, b + " else"), (8, "on its own"), (8, "on its own too")]
