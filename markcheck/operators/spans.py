@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from markcheck.operators.lines import as_of
 
-#: Positions that one bucket of a range join covers.
-BUCKET = 1024
+#: A cell of the finest level covers 2 ** CELL positions, one of the next level 2 ** STEP times as many.
+CELL, STEP = 10, 7
+#: Levels of cells: with these no span of up to 2 ** 30 positions touches more than 65 cells.
+LEVELS = 3
 
 
 def contains(start: Column, end: Column, at: Column) -> Column:
@@ -24,18 +26,38 @@ def cover(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Col
     return F.struct(F.least(a_start, b_start).alias("start"), F.greatest(a_end, b_end).alias("end"))
 
 
-def point_in_span(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, by: str = "doc", how: str = "inner", bucket: int = BUCKET) -> DataFrame:
-    """Every point with every span of the same ``by`` that contains it.
+def _cell(at: Column, level: Column) -> Column:
+    return F.call_function("shiftright", at.cast("long"), (CELL + STEP * level).cast("int"))
 
-    Both sides meet in equal buckets of positions, so the range condition is an equi-join that shuffles and splits
-    like any other; a span is repeated once per bucket it covers. Columns of the sides must differ but for ``by``.
+
+def _in_cells(spans: DataFrame, start: str, end: str, levels: int) -> DataFrame:
+    """Spans with ``__level``, by their length, once per ``__cell`` of that level that they touch; empty ones go."""
+    bits = F.length(F.bin(F.greatest(F.col(end) - F.col(start), F.lit(1)).cast("long") - 1))
+    level = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor((bits - CELL) / STEP))).cast("int")
+    placed = spans.where(F.col(end) > F.col(start)).withColumn("__level", level)
+    return placed.withColumn("__cell", F.explode(F.sequence(_cell(F.col(start), F.col("__level")), _cell(F.col(end) - 1, F.col("__level")))))
+
+
+def point_in_span(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, by: str = "doc", how: str = "inner", levels: int = LEVELS) -> DataFrame:
+    """Every point with every span of the same ``by`` that contains it; ``how`` is inner, left, left_semi or left_anti.
+
+    Both sides meet in cells of positions, so the range condition is an equi-join that shuffles and splits like any
+    other. Long spans go to levels of wider cells, so that a span is repeated a few times whatever its length; a point
+    looks into its cell of each level. ``levels`` changes the plan only: one level does where all spans are short.
+    Columns of the sides must differ but for ``by``. Points and spans with nulls, and empty spans, meet nothing.
     """
-    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / bucket))))
-    points = points.withColumn("__b", F.floor(F.col(at) / bucket))
-    joined = points.alias("p").join(spans.alias("s"), (F.col(f"p.{by}") == F.col(f"s.{by}")) & (F.col("p.__b") == F.col("s.__b")) & contains(F.col(f"s.{start}"), F.col(f"s.{end}"), F.col(f"p.{at}")), how)
-    if how in ("left_semi", "left_anti"):
-        return joined.drop("__b")
-    return joined.select("p.*", *[F.col(f"s.{c}") for c in spans.columns if c not in (by, "__b")]).drop("__b")
+    if how != "inner":
+        hits = point_in_span(points.select(by, at).distinct(), spans.select(by, start, end), at, start, end, by, "inner", levels).select(by, at).distinct()
+        if how in ("left_semi", "left_anti"):
+            return points.join(hits, [by, at], how).select(*points.columns)
+        if how != "left":
+            raise ValueError(f"how: {how}")
+        return point_in_span(points, spans, at, start, end, by, "inner", levels).unionByName(points.join(hits, [by, at], "left_anti"), allowMissingColumns=True)
+    placed = _in_cells(spans, start, end, levels)
+    probes = points.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in range(levels)]))).withColumn("__cell", _cell(F.col(at), F.col("__level")))
+    meet = (F.col(f"p.{by}") == F.col(f"s.{by}")) & (F.col("p.__level") == F.col("s.__level")) & (F.col("p.__cell") == F.col("s.__cell"))
+    joined = probes.alias("p").join(placed.alias("s"), meet & contains(F.col(f"s.{start}"), F.col(f"s.{end}"), F.col(f"p.{at}")))
+    return joined.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{c}") for c in spans.columns if c != by])
 
 
 def to_original(points: DataFrame, span_map: DataFrame, at: str = "offset") -> DataFrame:

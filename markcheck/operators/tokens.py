@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-
-#: Strings and comments of program text, for ``skip``.
-CODE = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|//[^\n]*+|/\*.*?(?:\*/|\z)"
+#: Strings and comments of program text, for ``skip``. Java's and Python's patterns read it alike, with ``(?s)`` before it.
+CODE = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|//[^\n]*+|/\*.*?(?:\*/|(?!.))"
+#: Words of a batch that ``words`` sends on.
+WORDS = 65_536
 _WORD = r"[\pL\pN_]"
 
 
@@ -45,6 +48,61 @@ def token_occurrences(docs: DataFrame, tokens: Sequence[str], doc: str = "doc",
     return _placed(docs, pattern, doc, text, keep).where(F.col("token").isin(*tokens))
 
 
+def _all_words(skip: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # \w is [\pL\pN_] here; what it matches behind a skipped part that ends within a word is no whole word
+        pattern = re.compile((f"(?s)(?:{skip})|" if skip else "") + r"(?<!\w)(\w++)")
+        rows, starts, found = [], [], []
+
+        def flush(batch: pa.RecordBatch) -> pa.RecordBatch:
+            others = [batch.column(k).take(pa.array(rows, pa.int32())) for k in range(batch.num_columns - 1)]
+            columns = [*others, pa.array(starts, pa.int64()), pa.array(found, pa.string())]
+            out = pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "start", "token"])
+            for held in (rows, starts, found):
+                held.clear()
+            return out
+
+        for batch in batches:
+            for row, text in enumerate(batch.column(batch.num_columns - 1)):
+                text = text.as_py() or ""
+                at = seen = 0  # bytes before the character ``seen``
+                for m in pattern.finditer(text):
+                    if m[1] is None:
+                        continue
+                    at += len(text[seen : m.start()].encode())
+                    seen = m.start()
+                    rows.append(row)
+                    starts.append(at)
+                    found.append(m[1])
+                    if len(rows) == WORDS:
+                        yield flush(batch)
+            yield flush(batch)
+
+    return run
+
+
+def words(docs: DataFrame, doc: str = "doc", text: str = "text", skip: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc, *keep, start, token``: all whole words (letters, digits and ``_``) by byte offset, but for what ``skip`` matches.
+
+    Nothing is shuffled: places are counted while a text is read. A null or empty text has no words; documents may have
+    several rows; a text of any length goes out in batches of ``WORDS`` words.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), *keep, F.col(text).cast("string").alias("__text"))
+    fields = [*rows.schema.fields[:-1], StructField("start", LongType()), StructField("token", StringType())]
+    return rows.mapInArrow(_all_words(skip), StructType(fields))
+
+
+def vocabulary_occurrences(docs: DataFrame, vocabulary: DataFrame, token: str = "token", doc: str = "doc", text: str = "text", skip: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc, *keep, start, token``: occurrences of the words in a column of ``vocabulary``, by byte offset.
+
+    The same as ``token_occurrences`` with these words, but for a table of any size: words meet it in an equi-join, which
+    is broadcast or shuffled by size and splits frequent words. An entry that is not one whole word is never found;
+    nulls, repeated entries and other columns of the table change nothing.
+    """
+    wanted = vocabulary.select(F.col(token).cast("string").alias("token")).where("token is not null").distinct()
+    return words(docs, doc, text, skip, keep).join(wanted, "token", "left_semi").select("doc", *keep, "start", "token")
+
+
 def marked_names(docs: DataFrame, mark: str, doc: str = "doc", text: str = "text", skip: str = CODE) -> DataFrame:
     """``doc, name``: distinct identifiers that follow ``mark``, outside strings and comments."""
     code = F.regexp_replace(F.col(text), f"(?s){skip}", " ")

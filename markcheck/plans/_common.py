@@ -89,7 +89,7 @@ bodies AS (
 )"""
 
 
-def _sql(text: str) -> str:
+def sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
@@ -100,12 +100,12 @@ def tail_sql(kinds: tuple[str, ...]) -> str:
         end = at + len(text.encode())
         if kind in kinds:
             shown = {"end": "close", "raw": "close"}.get(kind, kind)
-            values.append(f"({at}, {end}, '{shown}', '{name}', {_sql(text[1:-1])})")
+            values.append(f"({at}, {end}, '{shown}', '{name}', {sql_text(text[1:-1])})")
         at = end
     return f"""SELECT page_id AS doc, (strlen(html) + v.s)::BIGINT AS start, (strlen(html) + v.e)::BIGINT AS "end", v.kind, v.name, v.body FROM pages, (VALUES {', '.join(values)}) v(s, e, kind, name, body)"""
 
 
-HTML = f"html || {_sql(TAIL_TEXT)}"
+HTML = f"html || {sql_text(TAIL_TEXT)}"
 
 BARE_RAW_TAGS = (
     """

@@ -295,6 +295,22 @@ def token_occurrences_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_occurrences(code, VOCABULARY, skip=tokens.CODE)
 
 
+_SKIPPED_SQL = r""""(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?(?:\*/|\z)"""
+_WORDS_SQL = rf"(?s){_SKIPPED_SQL}|[\pL\pN_]+"
+
+
+@query(f"""WITH code AS (SELECT doc_id AS doc, source || ';' || chr(10) || {c.sql_text(_PROGRAM)} || chr(10) || text AS t FROM documents),
+cut AS (SELECT doc, regexp_split_to_array(t, '{_WORDS_SQL}') AS gaps, regexp_extract_all(t, '{_WORDS_SQL}') AS found FROM code),
+placed AS (SELECT doc, unnest(range(len(found))) AS i, unnest(found) AS token, unnest(gaps[1:len(found)]) AS gap FROM cut),
+starts AS (SELECT doc, token, (sum(strlen(gap) + strlen(token)) OVER (PARTITION BY doc ORDER BY i) - strlen(token))::BIGINT AS start FROM placed)
+SELECT doc, start, token FROM starts WHERE token IN (SELECT unnest(regexp_extract_all(text, '[\\pL\\pN_]+')) FROM benchmark)""")
+def vocabulary_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark in program text and the texts behind it, outside strings and comments."""
+    code = c.documents(spark, sf_dir).withColumn("text", F.concat("source", F.lit(";\n" + _PROGRAM + "\n"), "text"))
+    vocabulary = c.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\pL\pN_]+"), F.lit(0))).alias("word"))
+    return tokens.vocabulary_occurrences(code, vocabulary, "word", skip=tokens.CODE)
+
+
 CALLS = ("track", "margin", "of", "the", "de")
 _CALLS = ", ".join(f"'{n}'" for n in CALLS)
 

@@ -97,6 +97,15 @@ def span_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.point_in_span(markup.tag_events(pages).select("doc", "start"), raw, "start", "section_start", "section_end").select("doc", "start", "section_start")
 
 
+@query(f"""WITH {c.PROBES}, parts AS (SELECT doc_id AS doc, strlen(text) // h.n AS part_end FROM documents, (VALUES (1), (2), (4), (8)) h(n))
+SELECT p.doc, p."offset", q.part_end FROM probes p JOIN parts q ON p.doc = q.doc AND p."offset" < q.part_end""")
+def span_contains_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes with the leading parts of their document, whole, half, a quarter and an eighth, that hold them."""
+    size = F.octet_length("text").cast("long")
+    parts = c.documents(spark, sf_dir).select("doc", F.lit(0).cast("long").alias("part_start"), F.explode(F.array(*[F.floor(size / n) for n in (1, 2, 4, 8)])).alias("part_end"))
+    return spans.point_in_span(c.probes(spark, sf_dir), parts, "offset", "part_start", "part_end").select("doc", "offset", "part_end")
+
+
 @query(f"""WITH {c.MASKED_TAGS}, {c.PAIRS} SELECT doc, start, least(start, opened_at) AS cover_start, greatest("end", opened_at + 1) AS cover_end FROM paired WHERE kind = 'close'""")
 def span_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     closes = nesting.pairs(c.masked_tags(spark, sf_dir)).where("kind = 'close'")

@@ -480,3 +480,49 @@ def test_a_job_is_timed_and_counted_in_one_pass(spark):
 
     counts = phases.job("check", spark.range(1_000).mapInArrow(slowly, "id long"), lambda r: r.write.format("noop").mode("overwrite").save(), all=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
     assert counts == {"all": 1_000, "even": 500} and passed.value == 1_000 and phases["check"] >= 50
+
+
+def test_words_of_a_large_table_are_found_like_a_vocabulary(spark):
+    code = 'alpha "alpha \\" beta" beta // alpha\nnaïve été_1 alpha-beta /* gamma */ x.alpha `beta` über9 /* beta'
+    docs = spark.createDataFrame([(1, code, "k"), (2, "", "k"), (3, None, None), (1, "beta " * 3, None)], "doc long, text string, more string")
+    found = ["alpha", "beta", "gamma", "été_1", "über9", "naïve"]
+    wanted = [(w, 0) for w in (*found, "alpha", None, "two words", "$x", *(f"w{k}" for k in range(100_000)))]
+    table = spark.createDataFrame(wanted, "token string, start int")
+    for skip in (None, tokens.CODE):
+        mine = rows(tokens.vocabulary_occurrences(docs, table, skip=skip), "doc", "start", "token")
+        one = docs.where("more is not null or doc <> 1")
+        assert mine == sorted([*rows(tokens.token_occurrences(one, found, skip=skip), "doc", "start", "token"), (1, 0, "beta"), (1, 5, "beta"), (1, 10, "beta")])
+    assert {r.more for r in tokens.vocabulary_occurrences(docs, table, keep=["more"]).collect()} == {"k", None}
+    assert tokens.vocabulary_occurrences(docs.limit(0), table).count() == tokens.vocabulary_occurrences(docs, table.limit(0)).count() == 0
+
+
+def test_a_long_text_sends_its_words_in_batches(spark):
+    n = tokens.WORDS * 2 + 5
+    out = tokens.words(spark.createDataFrame([(7, "é " * n)], "doc long, text string"))
+    assert out.selectExpr("count(*)", "max(start)", "min(start)", "sum(start)").first() == (n, 3 * (n - 1), 0, 3 * n * (n - 1) // 2)
+
+
+def test_spans_of_any_length_meet_their_points(spark):
+    rng = random.Random(4)
+    some = [(rng.randrange(3), s, s + rng.randrange(-3, 2 ** rng.randrange(1, 41))) for s in (rng.randrange(2 ** rng.randrange(1, 40)) for _ in range(300))]
+    some += [(0, -5000, -10), (1, 7, 7), (1, None, 9), (1, 3, None), (None, 0, 99)]
+    at = [(rng.randrange(4), x + d) for _, s, e in some for x in (s, e) if x is not None for d in (-1, 0)] + [(None, 5), (0, None), (0, None)]
+    held = [(k, n, s, e) for n, (k, x) in enumerate(at) for d, s, e in some if None not in (k, x, d, s, e) and k == d and s <= x < e]
+    points = spark.createDataFrame([(k, x, n) for n, (k, x) in enumerate(at)], "doc long, at long, n int")
+    ranges = spark.createDataFrame([(k, s, e) for k, s, e in some if e is None or s is None or e - s < 2**31], "doc long, s long, e long")
+    held = sorted(h for h in held if h[3] - h[2] < 2**31)
+    for levels in (2, 3, 5):
+        found = spans.point_in_span(points, ranges, "at", "s", "e", levels=levels)
+        assert rows(found, "doc", "n", "s", "e") == held and found.columns == ["doc", "at", "n", "s", "e"]
+    hit = {n for _, n, _, _ in held}
+    assert rows(spans.point_in_span(points, ranges, "at", "s", "e", how="left_semi"), "n") == [(n,) for n in sorted(hit)]
+    assert rows(spans.point_in_span(points, ranges, "at", "s", "e", how="left_anti"), "n") == [(n,) for n in range(len(at)) if n not in hit]
+    left = spans.point_in_span(points, ranges, "at", "s", "e", how="left").collect()
+    assert sorted((r.n, r.s is None) for r in left) == sorted([(n, False) for _, n, _, _ in held] + [(n, True) for n in range(len(at)) if n not in hit])
+
+
+def test_a_long_span_touches_few_cells(spark):
+    sizes = [1, 1024, 2**16, 2**16 + 1, 2**23, 2**23 + 1, 10**9, 2**30]
+    some = spark.createDataFrame([(k, n) for n in sizes for k in (0, 777)], "s long, n long").selectExpr("s", "s + n as e", "n")
+    counts = {(r.s, r.n): r["count"] for r in spans._in_cells(some, "s", "e", spans.LEVELS).groupBy("s", "n").count().collect()}
+    assert len(counts) == 2 * len(sizes) and max(counts.values()) <= 65
