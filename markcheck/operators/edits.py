@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Decisions that the fold over a document's edits gathers before it puts them aside.
+#: Decisions that the fold over overlapping edits gathers before it puts them aside.
 RUN = 1024
 
 
 def pick_edits(edits: DataFrame, by: str = "doc") -> DataFrame:
     """Edits (start, end, ord, ...) in order of start, then ``ord``, without invalid ones and those that begin before the last kept end.
 
-    Touching edits stay. The choice depends on all earlier ones, so it is one fold over a document's edits. The fold
-    carries the end reached and one character for each decision, in runs of a fixed length, so that a step copies no
-    more than a run, however many edits there are.
+    Touching edits stay; ``ord`` names an edit of its document; an edit with a null start or end is invalid. An edit that
+    begins where all earlier ones have ended is kept whatever was chosen before, so a document falls into stretches of
+    overlapping edits that are chosen apart: running maxima find them, and one fold goes over each. The fold carries the
+    end reached and one character for each decision, in runs of a fixed length, so that a step copies no more than a run.
     """
-    ordered = edits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end"))).alias("__e"))
+    valid = edits.select(by, "start", "ord", "end").where("start >= 0 and end >= start")
+    before = Window.partitionBy(by).orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(by).orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(0))
+    stretches = valid.withColumn("__fresh", fresh.cast("long")).withColumn("__stretch", F.sum("__fresh").over(upto))
+    ordered = stretches.groupBy(by, "__stretch").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end"))).alias("__e"))
     state = F.struct(F.lit(0).cast("long").alias("reach"), F.lit("").alias("run"), F.expr("cast(array() as array<string>)").alias("runs"))
 
     def step(s, e):
-        ok = (e["end"] >= e["start"]) & (e["start"] >= s["reach"])
+        ok = e["start"] >= s["reach"]
         run = F.concat(s["run"], F.when(ok, "1").otherwise("0"))
         full = F.octet_length(run) >= RUN
         return F.struct(

@@ -434,6 +434,27 @@ def test_many_edits_of_one_document(spark):
     assert time.time() - began < 60
 
 
+def test_edits_that_all_overlap_are_one_stretch(spark):
+    n = 100_000
+    frame = spark.range(n).select(F.lit(1).alias("doc"), F.col("id").alias("ord"), (F.col("id") * 2).alias("start"), (F.col("id") * 2 + 3).alias("end"))
+    assert edits.pick_edits(frame).agg(F.count("*"), F.max("start")).first() == (n // 2, 2 * n - 4)
+
+
+def test_edits_are_picked_like_one_after_the_other(spark):
+    rng = random.Random(8)
+    some = [(d, s, s + rng.randrange(-2, 12), k, "x") for d in (1, 2, None) for k, s in enumerate(rng.randrange(-5, 900) for _ in range(250))]
+    some += [(1, None, 5, 900, "x"), (1, 5, None, 901, "x"), (3, -1, 4, 0, "x"), (4, 0, 0, 0, "x"), (4, 0, 0, 1, "x")]
+    expected = []
+    for d in (1, 2, 3, 4):  # edits without a document are none's
+        reach = 0
+        for s, k, e in sorted((s, k, e) for x, s, e, k, _ in some if x == d and None not in (s, e)):
+            if e >= s >= reach:
+                expected.append((d, k))
+                reach = e
+    out = edits.pick_edits(spark.createDataFrame(some, "doc long, start long, end long, ord long, replacement string"))
+    assert rows(out, "doc", "ord") == sorted(expected) and out.columns == ["doc", "ord", "start", "end", "replacement"]
+
+
 def test_dependents_of_circles_and_diamonds(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("b", "e"), ("x", "y"), (None, "a"), ("a", None)], "path string, target string")
     changed = spark.createDataFrame([("a",), ("lone",)], "path string")
