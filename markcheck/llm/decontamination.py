@@ -137,7 +137,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     ``spans`` are the merged word ranges that lie inside an occurrence of an item window, ``items`` the item ids as
     sorted strings. A document is contaminated when at least a twentieth of its words are hit. Null and empty texts
     have no words; items without words or text match nothing; an item without an id counts as the id ''. Repeated
-    rows stay repeated; other columns are ignored; an empty benchmark or table is fine.
+    rows stay repeated; other columns are ignored; an empty benchmark or table is fine; a text of any length is read
+    whole.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return _annotated(rows, benchmark, width, block_bytes, "text", item_col, item_text_col).select(

@@ -49,7 +49,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical without blanks; null counts as empty, and all empty texts form one group. The
     row with the most code points stays, then the smallest id; a null id loses every tie. Rows that repeat one id
     are one document and are kept or dropped together. Other columns are ignored, an empty table gives an empty
-    result. ``digest`` may be any Column function; its collisions cost time, never correctness.
+    result. ``digest`` may be any Column function; its collisions cost time, never correctness. Texts of any
+    length are compared whole.
     """
     norm = normalised(F.col(text_col))
     rows = docs.select(

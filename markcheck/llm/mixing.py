@@ -93,7 +93,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, id_
     target stops at ``cap`` times its source and the excess is shared again. A document is taken as often as its
     source fits whole into the target, and once more if its hash is under the source's threshold. The document at
     the threshold is taken when that leaves the sum nearer to the target. Null and empty texts have size 0; a null
-    source is a source; rows that repeat an id share its hash and so its fate; an empty table gives no rows.
+    source is a source; rows that repeat an id share its hash and so its fate; an empty table gives no rows. A text of any length is
+    counted whole and read once; only its size goes on.
     """
     base = materialize(docs.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in _keys(id_col, text_col, source_col).items())), "mix-base")
     rows = base.join(_plan(base, weights, cap), "src")

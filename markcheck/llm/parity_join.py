@@ -355,7 +355,8 @@ def similar(docs: DataFrame, percent: int = 75, width: int = WIDTH, id_col: str
     Documents link when the Jaccard similarity of their word shingles is at least ``percent``; ``component_id`` is
     the smallest id that links reach, ``class_id`` the smallest id with the same shingles. Texts without words, and
     nulls, have no shingles and link with nothing; a row without an id is described but takes part in no link;
-    rows that repeat an id are one document. Shingles are compared by 64-bit hashes. Other columns are ignored.
+    rows that repeat an id are one document. Shingles are compared by 64-bit hashes. Other columns are ignored. A text
+    of any length is read whole; a task's memory follows its longest text.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     info = materialize(texts.mapInArrow(_describe(width), _NARROW), "shingle-sets")

@@ -154,7 +154,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     ``start_word`` (from 0) and ``end_word`` (exclusive) count white-space separated words; overlapping matches of
     a document are one stretch, ``other_id`` is the smallest document that shares some of it. Repeats within one
     document do not count. Texts of fewer words, nulls and rows without an id give nothing; rows that repeat an id
-    are one document; words are compared by hash. Other columns are ignored.
+    are one document; words are compared by hash. Other columns are ignored. A text of any length is
+    read whole, and its stretches are spread like those of many short ones.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()

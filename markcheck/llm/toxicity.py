@@ -145,7 +145,8 @@ def score(docs: DataFrame, model: ToxicityModel, folds: int = 5, held_out: int =
     """One row per input row: ``doc_id, held_out, score, predicted``; no shuffle.
 
     Null and empty texts get the score of a text without windows. Without both kinds of labels every score is the
-    share of toxic labels. Repeated rows stay; other columns are ignored.
+    share of toxic labels. Repeated rows stay; other columns are ignored. A text of any length is
+    scored whole.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     made = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double"
