@@ -1,18 +1,18 @@
 """Main text of pages by site style trees.
 
-The DOMs of a host are merged: a node of the merged tree stands for one path of styled elements (tag and class) on
-all pages of the host. Its presentation importance is the entropy of the child styles that pages show there, its
-content importance one minus the mean entropy of its sentences over pages: boilerplate is spread evenly, articles
-say something else on every page. Branches whose combined importance is low are cut from each page.
+The DOMs of a host are merged: a node of the merged tree stands for one path of styled elements (tag, class, and the
+kinds of blocks inside) on all pages of the host. Its presentation importance is the entropy of the child styles that pages
+show there, its content importance one minus the mean entropy of its sentences over pages: boilerplate is spread over
+many pages, articles say something else on every page. Branches whose combined importance is low are cut from each page.
 
-Elements that say what they are (navigation, scripts, forms) are presentation nodes of known importance. A core (an
-article or a main part) is prior knowledge that adds to the importance of the blocks inside it and takes from those
-outside: a block inside goes where the tree shows it clearly to repeat, and at the given settings none outside is left.
+Scripts, forms and elements that name their role (navigation, adverts) are presentation nodes of known importance. A
+core (an article or a main part) is prior knowledge that adds to the importance of the blocks inside it and takes from
+those outside; neither decides alone. What carries no such name is for the tree to judge.
 
-Entropies are divided by their maximum, the log of the number of pages that show the node, so other pages and hosts do
-not matter to it. Copies of a page share the weight of one, and one page that says something else is added to those
-seen, as two pages alone cannot tell boilerplate from a reprint; what only one page shows is important. Hosts with few
-pages are also merged: of a node's importance on its host and on all such hosts, the lesser counts.
+The entropy of a sentence counts pages of all hosts that show it at one path, and is full once it is that of ``SPREAD``
+pages, so it means the same at any size of host or corpus. A node's content importance is the mean over what its own host
+shows; hosts with few pages lean on the mean of the same path over all hosts, by ``SHARED`` pages against their own.
+Copies of a page share the weight of one. What one page of a host alone shows is weighed by what it says.
 
 Nodes and sentences are counted by their hashes, combined inside each task before they are summed, so a hot host costs
 every task one row per node and sentence. A page is given the unimportant paths of its host, not the tree.
@@ -23,8 +23,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import ChainMap, Counter, defaultdict
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 import xxhash
@@ -33,16 +33,16 @@ from pyspark.sql import functions as F
 
 from markcheck.scratch import materialize
 
-#: A host with fewer pages also uses what all such hosts show.
-FEW_PAGES = 8
+#: Pages over which a sentence is spread that says nothing of any of them.
+SPREAD = 4
+#: Pages for which a path's mean over all hosts counts, against those of the host.
+SHARED = 8
 #: Branches under this importance go.
 KEEP = 0.35
 #: What lying in a core adds to the importance of a block, and what lying outside the cores of its page takes away.
-CORE_BONUS, OUTSIDE = 0.2, 0.7
+CORE_BONUS, OUTSIDE = 0.2, 0.5
 #: Weight of a node's own presentation against its children's, by number of styles seen.
 GAMMA = 0.9
-#: Levels of a path.
-DEEPEST = 60
 #: Counts that a task holds before it passes them on.
 HELD = 200_000
 #: Texts with copies whose weights are broadcast to the scan of the pages; more are joined by shuffling the pages.
@@ -112,13 +112,26 @@ def parse(page: str) -> Node:
     if at < len(page):
         stack[-1].children.append(page[at:])
     _spare(root)
+    _mark_frames(root)
     return root
 
 
+def _mark_frames(root: Node) -> None:
+    """The style of an element around blocks tells what kinds of blocks these are."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        inner = [c for c in node.children if isinstance(c, Node)]
+        if blocks := {c.name for c in inner if c.name in BLOCK}:
+            node.style += f"+{'.'.join(sorted(blocks))}"
+        stack += inner
+
+
 def _spare(root: Node) -> None:
     """Elements that only a name or a form makes noise are none if they hold a core, or most of the page's text.
 
-    Most is over half of it, or more than stands outside all noise. Sizes leave out what a tag makes noise.
+    Most is over half of it, or more than stands outside all noise. Sizes leave out what a tag makes noise. Where a core
+    with text stands outside, size spares nothing.
     """
     order, stack = [], [(root, None)]
     while stack:
@@ -134,12 +147,18 @@ def _spare(root: Node) -> None:
             if (node.core and not NOISE_NAMES.search(node.style.replace(".", " "))) or node in cores:
                 cores.add(up)
     named = [n for n, _ in order if n.named and (n.name == "form" or n.name not in NOISE)]
+    apart, within = False, set()
+    for node, up in order:  # parents come first
+        if up in within or (node.noise and node not in cores):
+            within.add(node)
+        else:
+            apart = apart or (node.core and node.size > 0)
     for node in named:
-        most = 2 * node.size > root.size
+        most = 2 * node.size > root.size and not (apart and node not in cores)
         node.held = node in cores and not most
         node.noise = not (most or node.held)
     hidden, outermost, within = 0, [], set()
-    for node, up in order:  # parents come first
+    for node, up in order:
         if up in within:
             within.add(node)
         elif node.noise:
@@ -147,7 +166,7 @@ def _spare(root: Node) -> None:
             outermost.append(node)
             hidden += node.size
     largest = max((n for n in outermost if n.size), key=lambda n: n.size, default=None)
-    if largest is not None and largest.size > root.size - hidden:
+    if largest is not None and largest.size > root.size - hidden and not apart:
         largest.noise = False
 
 
@@ -162,29 +181,28 @@ def _imply_ends(stack: list[Node], name: str) -> None:
             return
 
 
-def _below(path: str, child: Node) -> str:
-    """Path of a child; what lies deeper than any layout shares its ancestor's path."""
-    return f"{path}/{child.style}" if path.count("/") < DEEPEST else path
+def _key(*parts: object) -> int:
+    """A hash as Spark's long."""
+    return xxhash.xxh64_intdigest("\n".join(map(str, parts))) - 2**63
 
 
-def _walk(root: Node) -> Iterator[tuple[str, Node]]:
-    """Nodes whose importance is open: those not in a known branch of noise."""
-    stack = [("", root)]
+#: Path of the root; a path is known by the hash of its parent's and a style.
+TOP = _key("")
+
+
+def _walk(root: Node) -> Iterator[tuple[int, int, int, Node]]:
+    """Path, parent's path, depth and node, of nodes whose importance is open: those not in a known branch of noise."""
+    stack = [(TOP, 0, 0, root)]
     while stack:
-        path, node = stack.pop()
-        yield path, node
-        stack += [(_below(path, c), c) for c in node.children if isinstance(c, Node) and not c.noise]
+        path, up, depth, node = stack.pop()
+        yield path, up, depth, node
+        stack += [(_key(path, c.style), path, depth + 1, c) for c in node.children if isinstance(c, Node) and not c.noise]
 
 
 def _signature(node: Node) -> str:
     return " ".join(dict.fromkeys(c.style for c in node.children if isinstance(c, Node)))
 
 
-def _key(path: str) -> int:
-    """A path's hash as Spark's long."""
-    return xxhash.xxh64_intdigest(path) - 2**63
-
-
 def _sentences(node: Node) -> list[str]:
     """What a node says by itself, in lower case and without punctuation."""
     return [t for c in node.children if isinstance(c, str) for part in _SENTENCES(c.lower()) if (t := " ".join(_WORDS(part)))]
@@ -193,36 +211,37 @@ def _sentences(node: Node) -> list[str]:
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and node: on how many pages it is, and how often a child style or a sentence was seen there.
 
-    A node is known by a hash of host and path; host and path come with its own row only. ``clogc`` is the sum of
-    c log c over pages.
+    A node is known by a hash of host and path; its place in the tree comes with its own row only. ``clogc`` is the sum
+    of c log c over pages, ``page`` one of the pages that show the node.
     """
     sums: dict[tuple, list] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    names: dict[int, tuple[str, str]] = {}
-    types = {"node": pa.int64(), "at": pa.int64(), "kind": pa.string(), "feature": pa.int64(), "c": pa.float64(), "clogc": pa.float64(), "pages": pa.float64(), "site": pa.string(), "path": pa.string()}
+    places: dict[int, tuple[str, int, int, int]] = {}
+    types = {"node": pa.int64(), "at": pa.int64(), "kind": pa.string(), "feature": pa.int64(), "c": pa.float64(), "clogc": pa.float64(), "pages": pa.float64(), "site": pa.string(), "up": pa.int64(), "depth": pa.int64(), "page": pa.int64()}
 
     def flush() -> pa.RecordBatch:
-        rows = [(*k, *v, *(names[k[0]] if k[2] == "node" else (None, None))) for k, v in sums.items()]
+        rows = [(*k, *v, *(places[k[0]] if k[2] == "node" else (None,) * 4)) for k, v in sums.items()]
         sums.clear()
-        names.clear()
+        places.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
     for b in batches:
-        for site, page, weight in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            said: dict[str, Counter] = defaultdict(Counter)
-            styles: dict[str, set] = defaultdict(set)
-            for path, node in _walk(parse(page)):
-                styles[path].add(_signature(node))
-                said[path].update(_sentences(node))
+        for k in range(b.num_rows):
+            site, page, weight, digest = (b.column(i)[k].as_py() for i in range(4))
+            said: dict[int, Counter] = defaultdict(Counter)
+            styles: dict[int, set] = defaultdict(set)
+            for path, up, depth, element in _walk(parse(page)):
+                places[_key(site, path)] = (site, up, depth, digest)
+                styles[path].add(_signature(element))
+                said[path].update(_sentences(element))
             for path, shown in styles.items():
-                node, at = _key(f"{site}\n{path}"), _key(path)
-                names[node] = (site, path)
-                sums[node, at, "node", 0][2] += weight
+                node = _key(site, path)
+                sums[node, path, "node", 0][2] += weight
                 for style in shown:
-                    s = sums[node, at, "style", _key(style)]
+                    s = sums[node, path, "style", _key(style)]
                     s[0] += weight
                     s[2] += weight
                 for text, c in said[path].items():
-                    s = sums[node, at, "text", _key(text)]
+                    s = sums[node, path, "text", _key(text)]
                     s[0] += weight * c
                     s[1] += weight * c * math.log(c)
                     s[2] += weight
@@ -231,91 +250,90 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _importance(nodes: dict[str, tuple[int, float, float]], others: dict[str, int] | None = None) -> dict[str, float]:
-    """Combined importance by path of one tree; a node is (styles, presentation, content).
+def _importance(nodes: dict[int, tuple[int, int, int, float, float]], others: dict[int, tuple[int, float]] | None = None) -> dict[int, float]:
+    """Combined importance by path of one tree; a node is (parent, depth, styles, presentation, content).
 
-    ``others`` counts the children of a path that only one page shows; these are important.
+    ``others`` has number and summed importance of the children of a path that only one page shows.
     """
     others = others or {}
-    below: dict[str, list[str]] = defaultdict(list)
-    for path in nodes:
-        if path:
-            below[path.rpartition("/")[0]].append(path)
-    out: dict[str, float] = {}
-    for path in sorted(nodes, key=lambda p: -p.count("/")):
-        styles, presentation, content = nodes[path]
-        seldom = others.get(path, 0)
-        if below[path] or seldom:
+    below: dict[int, list[int]] = defaultdict(list)
+    for path, node in nodes.items():
+        below[node[0]].append(path)
+    out: dict[int, float] = {}
+    for path, (_, _, styles, presentation, content) in sorted(nodes.items(), key=lambda n: -n[1][1]):
+        number, total = others.get(path, (0, 0.0))
+        if below[path] or number:
             weight = GAMMA**styles
-            inner = (sum(out[c] for c in below[path]) + seldom) / (len(below[path]) + seldom)
+            inner = (sum(out[c] for c in below[path]) + total) / (len(below[path]) + number)
             out[path] = max((1 - weight) * presentation + weight * inner, content)
         else:
             out[path] = content
     return out
 
 
-def _nodes(features: DataFrame, key: str) -> DataFrame:
-    """Pages, styles, presentation and content importance by ``key`` of summed features."""
-    # of a sentence: entropy over pages; of a style: its part of the entropy over styles
-    even = F.greatest(F.lit(0.0), F.log("c") - F.col("clogc") / F.col("c"))
+def _nodes(features: DataFrame) -> DataFrame:
+    """Pages, styles, presentation and content importance of nodes, from summed features."""
     is_style, is_text = F.col("kind") == "style", F.col("kind") == "text"
-    nodes = features.groupBy(key).agg(
+    texts = features.where(is_text)
+    seen = texts.groupBy("at", "feature").agg(*(F.sum(c).alias(f"all_{c}") for c in ("c", "clogc", "pages")))
+    repeated = seen.where("all_pages > 1.000001")
+    entropy = F.greatest(F.lit(0.0), F.log("all_c") - F.col("all_clogc") / F.col("all_c"))
+    even = F.coalesce(F.least(F.lit(1.0), entropy / math.log(SPREAD)), F.lit(0.0))  # on one page alone: none
+    said = texts.join(repeated, ["at", "feature"], "left").groupBy("node", "at").agg(F.sum(F.col("pages") * (1 - even)).alias("own"), F.sum("pages").alias("said"))
+    shared = said.groupBy("at").agg((F.sum("own") / F.sum("said")).alias("mean"))
+    counted = features.where(~is_text).groupBy("node", "at").agg(
         F.sum(F.when(F.col("kind") == "node", F.col("pages"))).alias("n"),
         F.coalesce(F.sum(F.when(is_style, F.col("pages"))), F.lit(0.0)).alias("shown"),
         F.count_if(is_style).alias("styles"),
         F.coalesce(F.sum(F.when(is_style, F.col("pages") * F.log("pages"))), F.lit(0.0)).alias("style_clogc"),
-        F.coalesce(F.sum(F.when(is_text, even)), F.lit(0.0)).alias("even"),
-        F.count_if(is_text).alias("texts"),
+        *(F.max(c).alias(c) for c in ("site", "up", "depth", "page")),
     )
+    # styles of a page that share its weight with copies stay under one
     n, shown = F.col("n"), F.greatest(F.col("shown"), F.lit(1.0))
-    base = F.log(F.greatest(n, F.lit(2.0)))
-    presentation = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(shown) - F.col("style_clogc") / shown) / base))
-    content = F.when(F.col("texts") == 0, 0.0).otherwise(1 - (1 - 1 / n) * F.col("even") / F.col("texts") / base)
-    alone = F.round("n", 6) <= 1
-    return nodes.select(key, "n", "styles", F.when(alone, 1.0).otherwise(presentation).alias("presentation"), F.when(alone, 1.0).otherwise(content).alias("content"))
+    presentation = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(shown) - F.col("style_clogc") / shown) / F.log(F.greatest(n, F.lit(2.0)))))
+    content = F.when(F.col("said").isNull(), 0.0).otherwise((n * F.col("own") / F.col("said") + SHARED * F.col("mean")) / (n + SHARED))
+    once = F.round(n, 6) <= 1
+    joined = counted.join(said.join(shared, "at").drop("at"), "node", "left")
+    return joined.select("site", F.col("at").alias("path"), "up", "depth", "page", "styles", F.when(once, 1.0).otherwise(presentation).alias("presentation"), F.when(once & F.col("said").isNull(), 1.0).otherwise(content).alias("content"), once.alias("once"))
+
 
+def trees(pages: DataFrame, keep: float = KEEP) -> tuple[DataFrame, DataFrame]:
+    """The hashes of paths under ``keep`` in ``pages(site, html)``, with their importance.
 
-def trees(pages: DataFrame, keep: float = KEEP, few: int = FEW_PAGES) -> DataFrame:
-    """``site, paths, importance`` of ``pages(site, html)``: the hashes of a site's paths under ``keep``."""
-    pages = pages.withColumn("print", F.xxhash64("html"))
-    copies = materialize(pages.groupBy("site", "print").agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
+    First ``site, paths, importance`` of what two pages of a site or more show, then ``page, once, worth`` of what one
+    page alone shows, by the page's ``xxhash64``.
+    """
+    pages = pages.withColumn("page", F.xxhash64("html"))
+    copies = materialize(pages.groupBy("page").agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
     side = F.broadcast(copies) if copies.count() <= BROADCAST else copies
-    weighed = pages.join(side, ["site", "print"], "left").select("site", "html", F.coalesce(1 / F.col("n"), F.lit(1.0)).alias("weight"))
-    seen = weighed.mapInArrow(_observe, "node long, at long, kind string, feature long, c double, clogc double, pages double, site string, path string")
+    weighed = pages.join(side, "page", "left").select("site", "html", F.coalesce(1 / F.col("n"), F.lit(1.0)).alias("weight"), "page")
+    seen = weighed.mapInArrow(_observe, "node long, at long, kind string, feature long, c double, clogc double, pages double, site string, up long, depth long, page long")
     sums = [F.sum(c).alias(c) for c in ("c", "clogc", "pages")]
-    features = seen.groupBy("node", "at", "kind", "feature").agg(*sums, *(F.max(c).alias(c) for c in ("site", "path")))
-    features = materialize(features, "features")
-    names = features.where("kind = 'node'").select("node", "at", "site", "path", "pages")
-    small = names.where((F.col("path") == "") & (F.col("pages") < few - 0.5)).select("site")
-    at_small = names.join(small, "site", "left_semi").select("node", "at")
-    pooled = features.drop("site", "path").join(at_small.select("node"), "node", "left_semi").groupBy("at", "kind", "feature").agg(*sums)
-    shared = _nodes(pooled, "at").where("round(n, 6) > 1").select("at", F.col("presentation").alias("p"), F.col("content").alias("t"))
-    shared = at_small.join(shared, "at").drop("at")
-    nodes = _nodes(features, "node").join(names.select("node", "site", "path"), "node").join(shared, "node", "left")
-    least = [F.least(a, b).alias(a) for a, b in (("presentation", "p"), ("content", "t"))]  # of nulls, the other one
-    nodes = nodes.select("site", "path", "styles", *least, (F.col("p").isNull() & (F.round("n", 6) <= 1)).alias("seldom"))
+    features = seen.groupBy("node", "at", "kind", "feature").agg(*sums, *(F.max(c).alias(c) for c in ("site", "up", "depth", "page")))
+    nodes = materialize(_nodes(materialize(features, "features")), "style-nodes")
     # what one page alone shows only counts, so a row per site holds the paths of its layouts
-    up = F.regexp_replace("path", "/[^/]*$", "")
-    counted = nodes.where("seldom and path <> ''").groupBy("site", up.alias("path")).agg(F.count("*").alias("others"))
-    known = nodes.where("not seldom").select("site", "path", "styles", "presentation", "content").unionByName(counted, allowMissingColumns=True)
-    merged = known.groupBy("site").agg(F.collect_list(F.struct("path", "styles", "presentation", "content", "others")).alias("nodes"))
+    counted = nodes.where("once and depth > 0").groupBy("site", F.col("up").alias("path")).agg(F.count("*").alias("others"), F.sum("content").alias("total"))
+    known = nodes.where("not once").drop("once", "page").unionByName(counted, allowMissingColumns=True)
+    merged = known.groupBy("site").agg(F.collect_list(F.struct("path", "up", "depth", "styles", "presentation", "content", "others", "total")).alias("nodes"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             low = []
             for nodes in b.column(1).to_pylist():
-                tree = {n["path"]: (n["styles"], n["presentation"], n["content"]) for n in nodes if n["others"] is None}
-                found = _importance(tree, {n["path"]: n["others"] for n in nodes if n["others"] is not None})
-                low.append({_key(p): x for p, x in found.items() if x < keep})
+                tree = {n["path"]: (n["up"], n["depth"], n["styles"], n["presentation"], n["content"]) for n in nodes if n["others"] is None}
+                found = _importance(tree, {n["path"]: (n["others"], n["total"]) for n in nodes if n["others"] is not None})
+                low.append({p: x for p, x in found.items() if x < keep})
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in low], pa.list_(pa.int64())), pa.array([list(x.values()) for x in low], pa.list_(pa.float64()))], ["site", "paths", "importance"])
 
-    return merged.mapInArrow(weigh, "site string, paths array<bigint>, importance array<double>")
+    once = nodes.where((F.col("content") < keep) & F.col("once")).groupBy("page").agg(F.collect_list("path").alias("once"), F.collect_list("content").alias("worth"))
+    return merged.mapInArrow(weigh, "site string, paths array<bigint>, importance array<double>"), once
 
 
-def _blocks(root: Node, importance: dict[int, float], keep: float, cores: set[Node]) -> list[str]:
+def _blocks(root: Node, importance: Mapping[int, float], keep: float, cores: set[Node]) -> list[str]:
     """Texts of the blocks whose importance, with what the cores of the page say beforehand, reaches ``keep``, in page order."""
     out: list[list[str]] = [[]]
-    stack = [(iter(root.children), "", False, bool(cores), False)]
+    shift = CORE_BONUS if root in cores else -OUTSIDE if cores else 0.0
+    stack = [(iter(root.children), TOP, False, importance.get(TOP, 1.0) + shift < keep, False)]
     while stack:
         children, path, core, low, block = stack[-1]
         child = next(children, None)
@@ -329,17 +347,17 @@ def _blocks(root: Node, importance: dict[int, float], keep: float, cores: set[No
         elif child.name == "br":
             out[-1].append(" ")
         elif not child.noise and (child.name != "header" or core):
-            where, inside = _below(path, child), core or child in cores
+            where, inside = _key(path, child.style), core or child in cores
             if child.name in BLOCK:
                 out.append([])
             # what matters below an unimportant node stays; in a core, running text is not torn apart
             if not inside or child.name in BLOCK:
-                low = importance.get(_key(where), 1.0) + (CORE_BONUS if inside else -OUTSIDE if cores else 0.0) < keep
+                low = importance.get(where, 1.0) + (CORE_BONUS if inside else -OUTSIDE if cores else 0.0) < keep
             stack.append((iter(child.children), where, inside, low, child.name in BLOCK))
     return [t for parts in out if (t := " ".join(entities.unescape("".join(parts)).split()))]
 
 
-def extract(page: str | None, importance: dict[int, float], keep: float = KEEP) -> str:
+def extract(page: str | None, importance: Mapping[int, float], keep: float = KEEP) -> str:
     """Main text of one page, given the importance of its site's paths by their hashes."""
     if not page:
         return ""
@@ -369,19 +387,21 @@ def _apply(keep: float):
         known: dict[str, dict[int, float]] = {}
         for b in batches:
             texts = []
-            html, host, paths, values = (b.column(b.schema.get_field_index(n)) for n in ("html", "site", "paths", "importance"))
-            for k, (page, name) in enumerate(zip(html.to_pylist(), host.to_pylist(), strict=True)):
+            html, host, paths, values, once, worth = (b.column(b.schema.get_field_index(n)) for n in ("html", "site", "paths", "importance", "once", "worth"))
+            for k in range(b.num_rows):
+                name = host[k].as_py()
                 if name not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[name] = dict(zip(paths[k].as_py() or [], values[k].as_py() or [], strict=True))
-                texts.append(extract(page, known[name], keep))
+                own = dict(zip(once[k].as_py() or [], worth[k].as_py() or [], strict=True))
+                texts.append(extract(html[k].as_py(), ChainMap(own, known[name]), keep))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return run
 
 
-def main_text(pages: DataFrame, keep: float = KEEP, few: int = FEW_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, keep: float = KEEP, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: ``page_id, url, text, n_chars``.
 
     ``text`` joins the blocks of the page's main part by two line feeds, with white space turned into single spaces
@@ -390,8 +410,10 @@ def main_text(pages: DataFrame, keep: float = KEEP, few: int = FEW_PAGES, id_col
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("site"))
-    merged = materialize(trees(rows.select("site", "html"), keep, few), "style-trees")
-    with_tree = rows.join(merged, "site", "left").select("page_id", "url", "html", "site", "paths", "importance")
+    merged, once = trees(rows.select("site", "html"), keep)
+    merged, once = materialize(merged, "style-trees"), materialize(once, "style-pages")
+    with_tree = rows.withColumn("page", F.xxhash64("html")).join(merged, "site", "left").join(once, "page", "left")
+    with_tree = with_tree.select("page_id", "url", "html", "site", "paths", "importance", "once", "worth")
     id_type = rows.schema["page_id"].dataType.simpleString()
     out = with_tree.mapInArrow(_apply(keep), f"page_id {id_type}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

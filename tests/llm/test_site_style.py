@@ -2,16 +2,22 @@ import html
 import math
 import re
 
+import pytest
+
 from markcheck.llm import site_style
 
 
+def article_of(page):
+    article = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:h1|p)\b[^>]*>", article)]
+    return "\n\n".join(b for b in blocks if b)
+
+
 def test_driver_pages_give_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = {r.page_id: r for r in site_style.main_text(pages).collect()}
     for row in pages.collect():
-        article = re.search(r"<article>(.*?)</article>", row.html, re.S)[1].replace("<br>", " ")
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:h1|p)\b[^>]*>", article)]
-        assert out[row.page_id].text == "\n\n".join(b for b in blocks if b)
+        assert out[row.page_id].text == article_of(row.html)
         assert out[row.page_id].n_chars == len(out[row.page_id].text) and out[row.page_id].url == row.url
     assert len(out) == pages.count()
 
@@ -93,58 +99,91 @@ def test_frames_named_like_noise_keep_their_text():
     assert "goes on" in site_style.extract(f"{body * 3}<div class=related><article>Card</article></div>", {})
 
 
-def brute_importance(pages):
-    """Importance by path of the pages of one site, from the definition."""
-    pages = [site_style.parse(p) for p in dict.fromkeys(pages)]
-    nodes, children = {}, {}
-    for k, root in enumerate(pages):
-        for path, node in site_style._walk(root):
-            per_page = nodes.setdefault(path, {}).setdefault(k, (set(), []))
-            per_page[0].add(tuple(dict.fromkeys(c.style for c in node.children if not isinstance(c, str))))
-            per_page[1].extend(site_style._sentences(node))
-            if path:
-                children.setdefault(path.rpartition("/")[0], set()).add(path)
+def brute_importance(sites):
+    """Importance by host and path, and whether more than one page shows it, of pages by host, from the definition."""
+    sites = {site: [site_style.parse(p) for p in dict.fromkeys(pages)] for site, pages in sites.items()}
+    nodes, parents, said_at = {}, {}, {}
+    for site, roots in sites.items():
+        for k, root in enumerate(roots):
+            for path, up, _, node in site_style._walk(root):
+                parents[path] = up
+                styles, texts = nodes.setdefault((site, path), {}).setdefault(k, (set(), []))
+                styles.add(tuple(dict.fromkeys(c.style for c in node.children if not isinstance(c, str))))
+                texts.extend(site_style._sentences(node))
+                said_at.setdefault(path, {}).setdefault((site, k), texts)
 
     def entropy(counts):
         return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
 
-    def content(path):
-        seen = nodes[path]
-        if len(seen) == 1:
-            return 1.0
-        said = {t for _, texts in seen.values() for t in texts}
-        if not said:
-            return 0.0
-        even = sum(entropy([c for _, texts in seen.values() if (c := texts.count(t))]) for t in said) / len(said)
-        return 1 - (1 - 1 / len(seen)) * even / math.log(len(seen))
-
-    def importance(path):
-        seen, own = nodes[path], content(path)
-        if len(seen) == 1:
-            return 1.0
-        if path not in children:
+    def said(site, path):
+        """For each page and sentence, how much the sentence says of it."""
+        shown = said_at[path].values()
+        spread = {t: entropy([c for texts in shown if (c := texts.count(t))]) for texts in shown for t in texts}
+        return [1 - min(1, spread[t] / math.log(site_style.SPREAD)) for _, texts in nodes[site, path].values() for t in set(texts)]
+
+    def content(site, path):
+        own = said(site, path)
+        if not own:
+            return 1.0 if len(nodes[site, path]) == 1 else 0.0
+        everywhere = [x for s in sites if (s, path) in nodes for x in said(s, path)]
+        n = len(nodes[site, path])
+        return (n * sum(own) / len(own) + site_style.SHARED * sum(everywhere) / len(everywhere)) / (n + site_style.SHARED)
+
+    def importance(site, path):
+        seen, own = nodes[site, path], content(site, path)
+        below = [p for s, p in nodes if s == site and parents[p] == path]
+        if not below or len(seen) == 1:
             return own
         shown = [style for styles, _ in seen.values() for style in styles]
         kinds = [shown.count(s) for s in set(shown)]
         weight = site_style.GAMMA ** len(kinds)
-        inner = sum(importance(c) for c in children[path]) / len(children[path])
+        inner = sum(importance(site, p) for p in below) / len(below)
         return max((1 - weight) * min(1.0, entropy(kinds) / math.log(len(seen))) + weight * inner, own)
 
-    return {site_style._key(p): importance(p) for p in nodes}
+    return {(s, p): (importance(s, p), len(shown) > 1) for (s, p), shown in nodes.items()}
 
 
 def test_importance_equals_brute_force(spark):
-    def page(k):
+    def page(k, extra=""):
         story = " ".join(f"story{k}x{j}." for j in range(9))
-        extra = "<div class=rare><i>Now and then.</i></div>" if k % 4 == 0 else "<ul><li>a</li></ul>" if k % 3 else ""
+        extra += "<div class=rare><i>Now and then.</i></div>" if k % 4 == 0 else "<ul><li>a</li></ul>" if k % 3 else ""
         return f"<body><div class=top>Home. About us! Contact</div><div class=b{k % 2}><p>{story}</p>{extra}</div><div id=post-{k}123 class=low>All rights. Page {k % 5}.</div><b>once {k}</b></body>"
 
-    pages = [page(k) for k in range(24)] + [page(3), page(3)]
-    expected = brute_importance(pages)
-    found = site_style.trees(spark.createDataFrame([("s", p) for p in pages], "site string, html string"), keep=2.0).first()
-    mine = dict(zip(found.paths, found.importance, strict=True))
-    assert {k for k, x in expected.items() if x < 1} <= mine.keys() <= expected.keys()
-    assert all(abs(mine[k] - expected[k]) < 1e-9 for k in mine)
+    sites = {"s": [page(k) for k in range(24)] + [page(3), page(3)], "t": [page(k) for k in range(50, 53)], "u": [page(90, "<p class=u>Home.</p><p class=v>Only here</p>")]}
+    expected = brute_importance(sites)
+    rows = [(s, p) for s, pages in sites.items() for p in pages]
+    shown, alone = site_style.trees(spark.createDataFrame(rows, "site string, html string"), keep=2.0)
+    mine = {(r.site, p): x for r in shown.collect() for p, x in zip(r.paths, r.importance, strict=True)}
+    assert mine.keys() == {k for k, (_, several) in expected.items() if several}
+    assert all(abs(mine[k] - expected[k][0]) < 1e-9 for k in mine)
+    single = sorted(x for r in alone.collect() for x in r.worth)
+    assert len(single) > 5 and all(abs(a - b) < 1e-9 for a, b in zip(single, sorted(x for x, several in expected.values() if not several), strict=True))
+
+
+def plain_names(page, cores=True):
+    """The page with elements and classes that tell no role."""
+    page = re.sub(r"(</?)(?:nav|footer|aside)\b", r"\1div", page).replace('class="ad"', 'class="x"')
+    return page if cores else re.sub(r"(</?)(?:article|main)\b", r"\1div", page)
+
+
+@pytest.mark.parametrize("cores", [True, False])
+def test_driver_pages_without_telling_names_need_the_tree(spark, cores):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = [(r.page_id, r.url, plain_names(r.html, cores)) for r in pages]
+    out = {r.page_id: r.text for r in site_style.main_text(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()}
+    assert out == {r.page_id: article_of(r.html) for r in pages}
+    assert not any(site_style.extract(page, {}) == out[k] for k, _, page in plain)
+
+
+def test_reprints_on_small_sites_stay(spark):
+    def page(k):
+        story = "reprint" if k % 3 == 0 else f"story{k}"
+        return f"<body><div class=top>Home and Contact Us</div><p>{' '.join(f'{story}x{j}' for j in range(30))}</p><p>told by {k}</p></body>"
+
+    rows = [(k, f"http://s{k}.example/", page(k)) for k in range(30)]
+    for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        story = "reprint" if r.page_id % 3 == 0 else f"story{r.page_id}"
+        assert r.text == " ".join(f"{story}x{j}" for j in range(30)) + f"\n\ntold by {r.page_id}"
 
 
 def test_the_tree_finds_an_article_without_telling_names(spark):
@@ -155,6 +194,4 @@ def test_the_tree_finds_an_article_without_telling_names(spark):
     rows = [(k, f"http://plain.example/{k}", page(k)) for k in range(20)]
     for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         k = r.page_id
-        kept = [f"Title {k}", *(" ".join(f"w{k}x{i}x{j}" for j in range(12)) + "." for i in range(3))]
-        blocks = r.text.split("\n\n")
-        assert [b for b in blocks if b in kept] == kept
+        assert r.text == "\n\n".join([f"Title {k}", *(" ".join(f"w{k}x{i}x{j}" for j in range(12)) + "." for i in range(3))])
