@@ -28,9 +28,8 @@ from markcheck.scratch import materialize
 
 #: Labelled documents that the fit reads at most.
 SAMPLE = 20_000
-#: Windows in each dictionary at most, which bounds its size as the trainer of zstandard does.
-WINDOWS = 16_000
-#: Documents that hold a window of a dictionary: three, or this share of the documents of the smaller class.
+#: Documents that hold a window of a dictionary: three, or this share of the documents of the smaller class. A dictionary
+#: has all such windows, so it is bounded by the sample and the share alone.
 SUPPORT = 0.01
 #: Byte thresholds that are calibrated.
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8)
@@ -113,7 +112,8 @@ def _features(model) -> object:
 
 def _trained(seen: DataFrame, documents: str, least: int) -> bytes:
     """A dictionary of the windows of most documents; those come last, where offsets are shortest."""
-    top = seen.where(F.col(documents) >= least).orderBy(F.col(documents).desc(), "window").limit(WINDOWS).select("window").collect()
+    top = seen.where(F.col(documents) >= least).select(documents, "window").collect()
+    top.sort(key=lambda r: (-r[0], r.window))
     return b"".join(b" " + r.window.encode() + b" " for r in reversed(top))
 
 
