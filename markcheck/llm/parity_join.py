@@ -50,6 +50,8 @@ _PACKED = "bucket long, sigs binary, docs binary, sizes binary"
 _MATCHED = "many boolean, sig long, band int, a long, b long"
 _U = np.uint64
 _STEPS = np.arange(7)
+#: Signatures of a document that tell where it first meets another, see ``_meetings``.
+TOPS = 16
 #: Pairs that are broadcast to the scan of the texts; more are joined by shuffling the texts.
 BROADCAST = 1_000_000
 
@@ -408,6 +410,24 @@ def _across(many: DataFrame) -> DataFrame:
     return centres.join(first, ["sig", "band"]).where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
 
 
+def _meetings(live: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of classes of different components that meet in a signature and that sizes and sketches do not rule out.
+
+    Near copies share very many signatures. Two classes that share one of the ``TOPS`` most frequent of each are made a
+    pair by the first of these alone, others by every signature that they share.
+    """
+    order = live.groupBy("sig").agg((-F.count("*")).alias("__order"))
+    tops = live.join(order, "sig").groupBy("class_id").agg(F.array_sort(F.collect_set(F.struct("__order", "sig"))).alias("__tops"), (F.min("band") == F.max("band")).alias("__one"))
+    # a class of several bands, by an id on several texts, does not meet others alike in all its signatures
+    tops = tops.select("class_id", F.when(F.col("__one"), F.slice("__tops.sig", 1, TOPS)).otherwise(F.expr("cast(array() as array<bigint>)")).alias("tops"))
+    live = materialize(live.join(tops, "class_id"), "second-look")
+    a, b = (live.select("sig", "band", F.col("class_id").alias(x), F.col("component").alias(f"{x}_component"), F.col("n").alias(f"{x}_n"), *(F.col(c).alias(f"{x}_{c}") for c in ("sketch", "tops"))) for x in "ab")
+    b = b.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    first = F.coalesce(F.get(F.array_intersect("a_tops", "b_tops"), F.lit(0)), F.col("sig"))
+    pairs = a.join(b, ["sig", "band"]).where(((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))) & (F.col("a_component") != F.col("b_component")) & _close(percent) & (first == F.col("sig")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _second_look(many: DataFrame, reps: DataFrame, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that only signatures with many documents could have brought together and did not.
 
@@ -418,11 +438,7 @@ def _second_look(many: DataFrame, reps: DataFrame, found: DataFrame, done: DataF
     several = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     several = materialize(several, "live-signatures")  # read anew, so that the join can split what a frequent one holds
     live = held.join(several, "sig").join(reps.select("class_id", "n", "sketch"), "class_id")
-    live = materialize(live, "second-look")
-    a, b = (live.select("sig", "band", F.col("class_id").alias(x), F.col("component").alias(f"{x}_component"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
-    b = b.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    pairs = a.join(b, ["sig", "band"]).where(((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))) & (F.col("a_component") != F.col("b_component")) & _close(percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    pairs = _meetings(materialize(live, "live-rows"), percent).distinct().join(done, ["a", "b"], "left_anti")
     return materialize(_candidates(pairs, reps, percent), "more-pairs")
 
 

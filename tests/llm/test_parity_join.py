@@ -74,6 +74,24 @@ def test_second_look_joins_what_stars_miss(spark, monkeypatch):
     check(spark, list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("tops", [0, 2, 16])
+def test_second_look_makes_near_copies_a_pair_once(spark, monkeypatch, tops):
+    monkeypatch.setattr(parity_join, "TOPS", tops)
+    rng = random.Random(6)
+    rows, sigs = [], {}
+    for k in range(30):  # near copies that share many signatures, and others that share few
+        sigs[k] = {s for s in range(40) if rng.random() < 0.8} if k < 20 else set(rng.sample(range(40), 3))
+        rows += [(s, k // 15, k, k // 2, 1000, [0] * (parity_join.SKETCH // 64)) for s in sigs[k]]
+    sigs[15] |= {90, 91}  # a class of several bands
+    rows += [(s, 5, k, k // 2, 1000, [0] * (parity_join.SKETCH // 64)) for s in (90, 91) for k in (15, 3)]
+    live = spark.createDataFrame(rows, "sig long, band int, class_id long, component long, n long, sketch array<bigint>")
+    found = [(r.a, r.b) for r in parity_join._meetings(live, 75).collect()]
+    assert set(found) == {(a, b) for b in range(30) for a in range(b) if a // 2 != b // 2 and sigs[a] & sigs[b] or (a, b) == (3, 15)}
+    if tops == 16:
+        copies = [(a, b) for a, b in found if b < 20 and not {a, b} & {3, 15}]
+        assert len(copies) == len(set(copies))
+
+
 def test_real_rows(spark):
     table = pq.read_table("/root/testdata/sf0.001/documents.parquet")
     check(spark, list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)))
