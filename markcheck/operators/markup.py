@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ ATTRIBUTE = rf"{BRACES}|[^\s=/>\"'{{]++(?:\s*+=\s*+(?:{QUOTED}|(?:{BRACES}|[^\s>
 
 #: A brace behind which a string holds a brace or does not end.
 _ODD_STRING = r"\{(?:[^{}\"'`]++|\"[^\"{}]*+\"|'[^'{}]*+'|`[^`{}]*+`)*+[\"'`]"
+#: Bytes of text that are cut at a time in Python, where pieces take many times as much.
+SLICE = 1 << 20
 _PIECES = "array<struct<gap:string,text:string,flat:string>>"
 
 
@@ -37,22 +40,39 @@ def _deep(text: Column) -> Column:
     return F.coalesce(text.contains("{") & (F.regexp_replace(text, BRACES, "").rlike("[{}]") | text.rlike(_ODD_STRING)), F.lit(False))
 
 
-def _rows(cut: Callable[[str], Iterator[tuple[int, int, str]]], keep: list[str], text: str) -> Callable:
-    """Texts with ``cut``: pieces by what stands before them, the last without a piece."""
+def _slices(b: pa.RecordBatch, text: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of ``b`` with their texts, a few at a time: up to ``SLICE`` bytes, or one row."""
+    lo, held = 0, 0
+    for k, size in enumerate(pa.compute.binary_length(text).to_pylist()):
+        if k > lo and held + (size or 0) > SLICE:
+            yield b.slice(lo, k - lo), text.slice(lo, k - lo).to_pylist()
+            lo, held = k, 0
+        held += size or 0
+    if lo < b.num_rows:
+        yield b.slice(lo), text.slice(lo).to_pylist()
 
-    def pieces(value: str) -> list[dict]:
-        out, at = [], 0
-        for start, end, flat in cut(value):
-            out.append({"gap": value[at:start], "text": value[start:end], "flat": flat})
-            at = end
-        return [*out, {"gap": value[at:], "text": None, "flat": None}]
 
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("gap", "text", "flat")]))
+def _rows(cut: Callable[[str], Iterator[tuple[int, int, str]]], keep: list[str], text: str) -> Callable:
+    """Texts with ``cut``: pieces by what stands before them, the last without a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [pieces(v) for v in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.nulls(b.num_rows, pa.string()), pa.array(found, kind)], [*keep, text, "cut"])
+            for some, texts in _slices(b, b.column(b.schema.get_field_index(text))):
+                ends, gap, piece, flat = [0], [], [], []
+                for value in texts:
+                    at = 0
+                    for start, end, as_flat in cut(value):
+                        gap.append(value[at:start])
+                        piece.append(value[start:end])
+                        flat.append(as_flat)
+                        at = end
+                    gap.append(value[at:])
+                    piece.append(None)
+                    flat.append(None)
+                    ends.append(len(gap))
+                pieces = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (gap, piece, flat)], ["gap", "text", "flat"])
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
+                yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(c)) for c in keep), pa.nulls(some.num_rows, pa.string()), found], [*keep, text, "cut"])
 
     return run
 

@@ -72,3 +72,17 @@ def test_flat_tokens_keep_every_length():
     for text in (f"<b x={NESTED}>", "<b {'}'}>{", "<b {a", "<b x={`${'{'}`}>", "<script>{</script>"):
         assert all(len(flat) == end - start for start, end, flat in braces.flat_tokens(text, True))
         assert len(braces.flat_text(text)) == len(text)
+
+
+def test_deep_texts_are_cut_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"<b x={NESTED}>é", "", "t", "<a>" * 30]
+    batch = pa.RecordBatch.from_pydict({"doc": range(4), "html": texts})
+    run = markup._rows(lambda t: braces.flat_tokens(t, True), ["doc"], "html")
+    whole = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(markup, "SLICE", 40)
+    few = list(run(iter([batch])))
+    assert [b.num_rows for b in few] == [3, 1]
+    assert [r for b in few for r in b.to_pylist()] == whole
+    assert ["".join(p["gap"] + (p["text"] or "") for p in r["cut"]) for r in whole] == texts
