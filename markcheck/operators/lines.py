@@ -10,9 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that a task splits into rows; what it then sorts is some ten times as much.
+SHARE = 8 << 20
+
+
+def by_document(rows: DataFrame, texts: DataFrame, text: str, doc: str = "doc") -> DataFrame:
+    """``rows`` dealt by ``doc`` to so many tasks that each has ``SHARE`` bytes of the ``texts``, whatever these add up to.
+
+    Rows of equal texts are dealt alike. Counted in a job of its own, as adaptive execution goes by packed bytes, which
+    say little of the rows that they are split into.
+    """
+    if texts.isStreaming:
+        return rows.repartition(doc)
+    total = texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return rows.repartition(total // SHARE + 1, doc)
+
+
 def line_table(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """``doc, line, start, end, text``: lines from 0 with byte spans; a last line feed opens one more, empty line."""
-    parts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("__t")).repartition("doc").select("doc", F.posexplode(F.split("__t", "\n", -1)).alias("line", "text"))
+    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("__t"))
+    parts = by_document(texts, texts, "__t").select("doc", F.posexplode(F.split("__t", "\n", -1)).alias("line", "text"))
     size = F.octet_length("text").cast("long")
     w = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(size + 1).over(w) - size - 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from markcheck.functions import braces
 from markcheck.functions.text import is_void
+from markcheck.operators import lines
 
 # Java regular expressions; possessive, so that a text of any length needs no stack. Braces nest three deep here; texts
 # where they nest deeper, or where strings in them hold braces, are cut by ``functions.braces`` instead.
@@ -93,8 +94,9 @@ def _tokens(pages: DataFrame, pattern: str, masked: bool, doc: str, html: str) -
 
     ``flat`` is the text of the same length in which braces do not nest.
     """
-    placed, both = _cut(pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")), pattern, lambda t: braces.flat_tokens(t, masked), "html")
-    rows = placed.repartition("doc").select("doc", F.posexplode(both).alias("i", "z")).select("doc", "i", "z.gap", "z.text", F.coalesce("z.flat", "z.text").alias("flat"))
+    texts = pages.select(F.col(doc).alias("doc"), F.col(html).alias("html"))
+    placed, both = _cut(texts, pattern, lambda t: braces.flat_tokens(t, masked), "html")
+    rows = lines.by_document(placed, texts, "html").select("doc", F.posexplode(both).alias("i", "z")).select("doc", "i", "z.gap", "z.text", F.coalesce("z.flat", "z.text").alias("flat"))
     w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     return rows.withColumn("start", (F.sum(F.octet_length("gap").cast("long") + size).over(w) - size).cast("long"))

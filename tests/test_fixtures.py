@@ -547,3 +547,12 @@ def test_a_long_span_touches_few_cells(spark):
     some = spark.createDataFrame([(k, n) for n in sizes for k in (0, 777)], "s long, n long").selectExpr("s", "s + n as e", "n")
     counts = {(r.s, r.n): r["count"] for r in spans._in_cells(some, "s", "e", spans.LEVELS).groupBy("s", "n").count().collect()}
     assert len(counts) == 2 * len(sizes) and max(counts.values()) <= 65
+
+
+def test_texts_are_dealt_to_tasks_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARE", 1000)
+    docs = spark.createDataFrame([(k, "<b>\n" * 100) for k in range(20)], "doc long, text string")
+    for rows in (lines.line_table(docs), markup.tag_events(docs, html="text")):
+        assert rows.rdd.getNumPartitions() == 9 and rows.count() in (2020, 2000)
+    empty = docs.where("doc < 0")
+    assert lines.line_table(empty).count() == markup.tag_events(empty, html="text").count() == 0
