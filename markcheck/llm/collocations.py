@@ -73,8 +73,13 @@ class Words:
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.start, self.end = edges[::2], edges[1::2]
         up, down = _powers(len(data))
-        sums = np.cumsum(_BYTE[data] * up)
-        own = (sums[self.end - 1] - sums[self.start - 1]) * down[self.start]
+        sums = _BYTE[data]  # eight bytes for each of the text: changed in place, and let go
+        sums *= up
+        np.cumsum(sums, out=sums)
+        own = sums[self.end - 1]
+        own -= sums[self.start - 1]
+        own *= down[self.start]
+        del sums
         piece = np.cumsum(cut, dtype=np.int32)[self.start]
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         self.doc = np.searchsorted(ends, self.start - 1, side="right")

@@ -138,3 +138,18 @@ def test_very_long_texts(spark):
     rng = random.Random(5)
     rows = [(" ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(60_000)), "en"), ("z" * 300_000 + " y", "en")]
     assert sorted(map(tuple, collocations.collocations(frame(spark, rows)).collect())) == plain(rows)
+
+
+def test_word_keys_take_few_bytes_for_each_of_the_text():
+    import tracemalloc
+
+    import pyarrow.parquet as pq
+
+    texts = [x.encode() for x in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    size = sum(map(len, texts))
+    collocations._powers(size + len(texts) + 2)
+    tracemalloc.start()
+    collocations.Words(texts, ["und"] * len(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 23 * size
